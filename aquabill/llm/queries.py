@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aquabill.llm import line_dedup
+from aquabill.llm import line_dedup, secrets, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_line_dedup": line_dedup.op9}
+    return {
+        "op1_secret_scan": secrets.op1,
+        "op2_warc_revisits": warc.op2,
+        "op3_url_filter": url_filter.op3,
+        "op9_line_dedup": line_dedup.op9,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": line_dedup.ORACLE}
+    return {"op2_warc_revisits": warc.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
