@@ -6,8 +6,9 @@ payload. Archives are written by Spark's text sink with the record end `CRLF CRL
 are run again and only committed files count. Reading goes by Content-Length, so payloads may hold anything. Revisit
 records are joined to the responses that they name by payload digest.
 
-Bounds: an archive file holds about `file_mb` MB of payload, since rows are dealt by hash to as many files as the total
-asks for; a reader task holds one file. Digests with very many pages are joined by broadcast (see common.join_by_key).
+Payloads are shuffled once at most, by the join that marks revisits, and each partition of it becomes archive files of at
+most `records` records. A reader task holds one compressed file and one record. Digests with very many pages are joined by
+broadcast (see common.join_by_key).
 
 Defined results: null html is an empty payload. Payloads under `min_bytes` are all responses. A null page_id can be
 response only if all ids of its digest are null. Rows that repeat the smallest page_id are all responses. A null URL
@@ -19,7 +20,9 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,25 +85,24 @@ def record(original: Column) -> Column:
     return F.concat(*fields)
 
 
-def write_archives(resolved: DataFrame, path: str, total_bytes: int, file_mb: int = 16) -> None:
-    """Writes gzip-compressed WARC files of about file_mb MB of payload each."""
-    files = max(1, -(-total_bytes // (file_mb << 20)))
-    rows = resolved.select(record(F.col("original")).alias("value"), F.xxhash64("page_id", "digest").alias("h"))
-    rows.repartition(int(files), "h").select("value").write.option("lineSep", END).option("compression", "gzip").text(path)
+def write_archives(resolved: DataFrame, path: str, records: int = 20_000) -> None:
+    """Writes gzip-compressed WARC files of at most so many records."""
+    rows = resolved.select(record(F.col("original")).alias("value"))
+    rows.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (lower-case names) and content block of each record of a WARC file."""
-    at = 0
-    while at < len(data):
-        stop = data.index(b"\r\n\r\n", at)
-        lines = data[at:stop].decode("utf-8", "replace").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        size = int(fields["content-length"])
-        yield fields, data[stop + 4 : stop + 4 + size]
-        at = stop + 4 + size + 4  # the block's end
+def parse(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields (lower-case names) and content block of each record of a WARC stream."""
+    while first := stream.readline():
+        if not first.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record: {first[:40]!r}")
+        fields = {}
+        while (line := stream.readline().strip()) != b"":
+            name, _, value = line.decode("utf-8", "replace").partition(":")
+            fields[name.strip().lower()] = value.strip()
+        block = stream.read(int(fields["content-length"]))
+        stream.read(len(END))
+        yield fields, block
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +110,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for content in batch.column("content"):
             data = content.as_py()
             rows = []
-            for f, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+            for f, block in parse(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data))) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)):
                 revisit = f["warc-type"] == "revisit"
                 named = f.get("warc-payload-digest", "").removeprefix("sha1:") or None
                 digest = named if revisit else base64.b32encode(hashlib.sha1(block).digest()).decode()
@@ -138,8 +140,7 @@ def follow_revisits(records: DataFrame) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     path = common.new_path(spark, "warc")
-    total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    write_archives(resolve(pages), path, total)
+    write_archives(resolve(pages), path)
     back = follow_revisits(common.materialise(read_archives(spark, path), "warc-records"))
     return back.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
