@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from aquabill.llm import line_dedup, secrets, url_filter, warc
+from aquabill.llm import bpe, decontaminate, language_id, line_dedup, near_dedup, quality, secrets, token_shards, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,7 +15,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secret_scan": secrets.op1,
         "op2_warc_revisits": warc.op2,
         "op3_url_filter": url_filter.op3,
+        "op4_decontaminate": decontaminate.op4,
+        "op5_language_id": language_id.op5,
+        "op6_bpe": bpe.op6,
+        "op7_quality_rules": quality.op7,
+        "op8_near_dedup": near_dedup.op8,
         "op9_line_dedup": line_dedup.op9,
+        "op10_token_shards": token_shards.op10,
+        "pipeline": corpus_pipeline.run,
     }
 
 
