@@ -112,6 +112,7 @@ class Index:
         order = np.argsort(h, kind="stable")
         self.keys, first, self.counts = np.unique(h[order], return_index=True, return_counts=True)
         self.first, self.owners, self.places = first, np.array(owners, np.int64)[order], np.array(places, np.int64)[order]
+        self.shift = 4 * STEP * (int(self.lengths.max(initial=0)) // STEP + 2)  # makes diagonals positive
         self.seen = np.zeros(1 << 22, bool)
         self.seen[(self.keys >> np.uint64(42)).astype(np.int64)] = True
 
@@ -125,14 +126,14 @@ class Index:
         n = self.counts[slot]
         ends = np.cumsum(n)
         which = np.repeat(self.first[slot] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-        owner, diagonal = self.owners[which], np.repeat(at, n) - self.places[which] + WINDOW * 4  # not negative
+        owner, diagonal = self.owners[which], np.repeat(at, n) - self.places[which] + self.shift
         band = diagonal // STEP
         # band b covers diagonals from b * STEP up to (b + 2) * STEP
         key = np.concatenate([owner * (1 << 40) + band, owner * (1 << 40) + band - 1])
         key, shared = np.unique(key, return_counts=True)
         owner, band = key >> 40, key & ((1 << 40) - 1)
         enough = shared >= self.least[owner]
-        return owner[enough], band[enough] * STEP - WINDOW * 4
+        return owner[enough], band[enough] * STEP - self.shift
 
     def verify(self, codes: np.ndarray, owner: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least edits of each window within its band, and the place after its last character."""
