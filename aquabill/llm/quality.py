@@ -27,9 +27,10 @@ from aquabill.llm import common
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: What the scan measures.
-FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_exclaim", "n_ended_lines", "n_distinct", "n_letters"]
+FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_exclaim", "n_ended_lines", "n_distinct", "n_letters", "n_marked", "n_bare"]
 ENDS = tuple(".?…\"')")
 _ASCII, _LETTERS = bytes(range(128)), (common.UPPER + common.LOWER).encode()
+_SYMBOLS = SYMBOLS.encode()
 
 
 def repeated_words(ids: list[int], distinct: int) -> int:
@@ -47,6 +48,14 @@ def repeated_words(ids: list[int], distinct: int) -> int:
     return int(inside.sum())
 
 
+def marked_words(ids: list[int], index: dict[bytes, int]) -> tuple[int, int]:
+    """Words that end in a symbol, and words of nothing but symbols."""
+    n = np.bincount(np.array(ids, np.int64), minlength=len(index))
+    marked = [i for w, i in index.items() if w[-1] in _SYMBOLS]
+    bare = [i for w, i in index.items() if w[-1] in _SYMBOLS and not w.strip(_SYMBOLS)]
+    return int(n[marked].sum()), int(n[bare].sum())
+
+
 def measure(text: str) -> tuple[int, ...]:
     data = text.encode("utf-8", "surrogatepass")
     words = data.split()  # bytes are split at ASCII white space only
@@ -62,9 +71,11 @@ def measure(text: str) -> tuple[int, ...]:
             ended += bare.endswith(ENDS)
             dups += line in seen
             seen.add(line)
+    symbols = sum(map(text.count, SYMBOLS))
     return (
-        len(words), len(text) - sum(map(text.count, common.ASCII_SPACE)), sum(map(text.count, SYMBOLS)), dups, repeated_words(ids, len(index)),
+        len(words), len(text) - sum(map(text.count, common.ASCII_SPACE)), symbols, dups, repeated_words(ids, len(index)),
         lines, len(data) - len(data.translate(None, common.UPPER.encode())), text.count("!"), ended, len(index), letters,
+        *(marked_words(ids, index) if symbols else (0, 0)),
     )
 
 
@@ -91,6 +102,7 @@ def rules() -> dict[str, Column]:
     length = share("word_chars", "n_words")
     symbols, dups, repeats = share("n_symbols", "n_words"), share("n_dup_lines", "n_lines"), share("n_repeat_words", "n_words")
     upper, exclaim, ended = share("n_upper", "word_chars"), share("n_exclaim", "n_words"), share("n_ended_lines", "n_lines")
+    marked, bare = share("n_marked", "n_words"), share("n_bare", "n_words")
     distinct, letters = share("n_distinct", "n_words"), share("n_letters", "word_chars")
     return {
         "words": vote(c["n_words"] >= 50, c["n_words"] < 20),
@@ -102,6 +114,8 @@ def rules() -> dict[str, Column]:
         "exclaim": vote(exclaim < 0.05, exclaim > 0.3),
         "ended": vote(ended > 0.5, ended < 0.1),
         "letters": vote(letters > 0.85, letters < 0.75),
+        "marked": vote(marked < 0.05, marked > 0.2),
+        "bare": vote(bare < 0.02, bare > 0.1),
         "distinct": vote((distinct > 0.25) | (c["n_words"] >= 1000) & (distinct > 0.1), distinct < 0.05),
     }
 
