@@ -133,14 +133,15 @@ def posteriors(counts: dict[int, int], n_rules: int, steps: int = 100) -> dict[i
 
     Rules are taken as independent given the truth, and abstaining as saying nothing. The prior on each rule's rates
     (keep votes on 0.98 of the good and on 0.7 of the bad documents, since each rule knows one kind of bad) keeps the classes
-    from changing places.
+    from changing places. No rule counts as right on more than 0.97 of the good documents, so that one drop vote among keep
+    votes never decides.
     """
     if not counts:
         return {}
     codes = np.array(sorted(counts))
     n = np.array([counts[c] for c in codes], float)
     votes = np.stack([codes // 3**k % 3 - 1 for k in reversed(range(n_rules))], axis=1)
-    good, bad, prior = np.full(n_rules, 0.98), np.full(n_rules, 0.7), 0.8  # P(vote keep | good), P(vote keep | bad)
+    good, bad, prior = np.full(n_rules, 0.97), np.full(n_rules, 0.7), 0.8  # P(vote keep | good), P(vote keep | bad)
     weight = 0.01 * n.sum() + 1
     for _ in range(steps):
         logit = math.log(prior / (1 - prior)) + np.where(votes == 1, np.log(good / bad), np.where(votes == 0, np.log((1 - good) / (1 - bad)), 0)).sum(axis=1)
@@ -151,7 +152,7 @@ def posteriors(counts: dict[int, int], n_rules: int, steps: int = 100) -> dict[i
             kept, told = (w[:, None] * (votes == 1)).sum(axis=0), (w[:, None] * (votes >= 0)).sum(axis=0)
             return np.clip((kept + weight * start) / (told + weight), 0.001, 0.999)
 
-        good, bad = rate(p * n, 0.98), rate((1 - p) * n, 0.7)
+        good, bad = np.minimum(rate(p * n, 0.98), 0.97), rate((1 - p) * n, 0.7)
         bad = np.minimum(bad, good)  # a rule is no better than chance at worst
     return dict(zip(codes.tolist(), p.tolist()))
 
