@@ -6,14 +6,16 @@ r"""MinHash near-dedup: exact Jaccard links between word-shingle sets, found by
 3. Nodes that share a band hash are in one bucket. A bucket never emits all its pairs: every member is paired with the
    bucket's smallest node and, in buckets of more than `SUB` nodes, with the leader of a random subgroup of about SUB.
 4. Pairs are confirmed on the full shingle sets, and the links' components come from alternating large-star and small-star.
-5. Buckets of three or more nodes that still hold several components go on: members outside of the bucket's largest
-   component are compared with the others in blocks, by signature; pairs of different components whose signatures agree
-   in `cut` of their minima or more are confirmed too. This repeats until no pair is left untested.
+5. In buckets of three or more nodes that still hold several components, members outside of the bucket's largest component
+   are compared with all others, block against block: pairs of different components whose signatures agree in `cut` of
+   their minima or more are confirmed there and then on the full sets, and only links leave the task. With these links
+   the components are final, since every pair of two components that shares a bucket has been judged.
 
 A pair at the threshold t shares no band with probability (1 - t^4)^25, 2e-6 at 0.8 and 9e-9 at 0.85, and is cut by
 signature with about 1e-4 if no bucket leader found it before. Shingles are compared by 64-bit hashes.
 
-Step 5 is quadratic only in what is unlinked and yet alike: members near the threshold that no chain of links connects.
+Step 5 compares each unlinked member with its bucket, so its work is quadratic in what is alike and yet no link or chain of
+links connects; its memory is bounded by the blocks, and no pairs are emitted.
 
 Defined results: A-Z are lower-cased, words are runs without ASCII white space. Fewer words than a shingle has give one
 shingle; null text or text without words has none and is linked with nothing. Rows with one doc_id are one node. Rows
@@ -34,7 +36,8 @@ from aquabill.llm import common
 
 BANDS, ROWS = 25, 4
 HASHES = BANDS * ROWS
-SUB, BLOCK = 64, 256
+#: Nodes of a subgroup; nodes and shingles of a block.
+SUB, BLOCK, BLOCK_SHINGLES = 64, 1024, 500_000
 MAX_WORDS = 300_000
 _LOWER = bytes.maketrans(common.UPPER.encode(), common.LOWER.encode())
 _random = np.random.default_rng(20240601)
@@ -112,13 +115,13 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc, s): the distinct shingle hashes of each row."""
+    """(doc, s): the distinct shingle hashes of each row, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
             for a in range(0, len(batch), 500):
-                sets = [shingles(words(t.as_py()), k).view(np.int64) for t in texts.slice(a, 500)]
+                sets = [np.sort(shingles(words(t.as_py()), k).view(np.int64)) for t in texts.slice(a, 500)]
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc").slice(a, 500), lists], ["doc", "s"])
@@ -168,45 +171,51 @@ def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
     return members.join(parts, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
 
 
-def unresolved_pairs(members: DataFrame, found: DataFrame, signatures: DataFrame, cut: float) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket whose signatures agree in a share of cut or more."""
-    # buckets of two nodes have had their only pair tested
+def unresolved_links(members: DataFrame, found: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int, cut: float) -> DataFrame:
+    """Links (a, b) of different components in one bucket, of the pairs whose signatures agree in a share of cut or more."""
+    # buckets of two nodes have had their only pair judged
     at = common.materialise(_labelled(members.where("size > 2"), found), "near-members")
-    parts = at.groupBy("h", "comp").agg(F.count("*").alias("n"))
-    largest = parts.groupBy("h").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("all"), F.max("n").alias("most")).where("parts > 1")
+    parts = at.groupBy("h", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    largest = parts.groupBy("h").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("all"), F.max("n").alias("most"), F.sum("s").alias("s")).where("parts > 1")
     table = common.materialise(largest, "near-buckets")
     open_ = common.join_by_key(at, table, ["h"], "all")
-    n_members, n_asking = F.ceil(F.col("all") / BLOCK).cast("int"), F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int")
+    blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.ceil(F.col("s") * n / F.col("all") / BLOCK_SHINGLES)).cast("int")
+    n_members, n_asking = blocks(F.col("all")), blocks(F.col("all") - F.col("most"))
     block = lambda n: F.pmod(F.xxhash64("doc"), n).cast("int")
     # every member meets every asking block of its bucket, in one block of members; no task holds more than both
     told = open_.select("h", "band", "doc", "comp", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), n_asking - 1)).alias("x"), block(n_members).alias("y"))
     asking = open_.where("comp <> main").select("h", "band", "doc", "comp", F.lit(True).alias("asks"), block(n_asking).alias("x"), F.explode(F.sequence(F.lit(0), n_members - 1)).alias("y"))
-    rows = told.unionByName(asking).join(signatures.select("doc", "signature"), "doc")
+    rows = told.unionByName(asking).join(signatures.join(sets, "doc"), "doc")
 
     def compare(table):
         asks = table.column("asks").to_numpy()
         doc, comp = table.column("doc").to_numpy(), table.column("comp").to_numpy()
         sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(-1, HASHES)
+        own = [x.values.to_numpy() for x in table.column("s")]
         band, a, b = table.column("band")[0].as_py(), [], []
         other = np.flatnonzero(~asks)
         for i in np.flatnonzero(asks):
             same = sig[other] == sig[i]
-            # a pair is reported in the first bucket that it shares
-            first = same.reshape(len(other), BANDS, ROWS).all(axis=2).argmax(axis=1) == band
-            j = other[(same.mean(axis=1) >= cut) & first & (comp[other] != comp[i])]
-            a.append(np.minimum(doc[i], doc[j]))
-            b.append(np.maximum(doc[i], doc[j]))
-        return pa.table({"a": np.concatenate([*a, np.zeros(0, np.int64)]).astype(np.int64), "b": np.concatenate([*b, np.zeros(0, np.int64)]).astype(np.int64)})
+            # a pair is judged in the first bucket that it shares
+            alike = (np.count_nonzero(same, axis=1) >= cut * HASHES) & (comp[other] != comp[i])
+            rest = same[alike].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+            for j in other[alike][rest]:
+                mine, its = own[i], own[j]
+                both = np.count_nonzero(its[np.minimum(np.searchsorted(its, mine), len(its) - 1)] == mine)
+                if 100 * both >= percent * (len(mine) + len(its) - both):
+                    a.append(min(doc[i], doc[j]))
+                    b.append(max(doc[i], doc[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return rows.groupBy("h", "x", "y").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links): one row per row of docs. n_links counts the confirmed links of its node."""
+    """(doc_id, n_shingles, component_id): one row per row of docs."""
     own = common.materialise(sketch(docs, k), "near-sketches")
     groups = common.materialise(own.where("n_shingles > 0 and doc_id is not null").groupBy("w1", "w2").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n")), "near-groups")
     nodes = own.where("n_shingles > 0").join(groups.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "doc")
-    entries = nodes.select("doc", F.posexplode("bands").alias("band", "h"))
+    entries = nodes.select("doc", "n_shingles", F.posexplode("bands").alias("band", "h"))
     buckets = common.materialise(entries.groupBy("h").agg(F.count("*").alias("size"), F.min("doc").alias("lead")).where("size > 1"), "near-buckets")
     members = common.materialise(common.join_by_key(entries, buckets, ["h"], "size"), "near-members")
     signatures = nodes.join(members.select("doc").distinct(), "doc", "left_semi").select("doc", "signature")
@@ -216,23 +225,19 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     big = members.where(F.col("size") > SUB).withColumn("sub", F.pmod(F.xxhash64("doc", "h"), F.ceil(F.col("size") / SUB)))
     heads = big.groupBy("h", "sub").agg(F.min_by("doc", F.xxhash64("h", "doc")).alias("head"))
     pairs = members.select(F.col("lead").alias("a"), F.col("doc").alias("b")).unionByName(big.join(heads, ["h", "sub"]).select(F.least("head", "doc").alias("a"), F.greatest("head", "doc").alias("b")))
-    tested = pairs = common.materialise(pairs.where("a <> b").distinct(), "near-pairs")
+    pairs = common.materialise(pairs.where("a <> b").distinct(), "near-pairs")
     links = common.materialise(confirm(pairs, sets, percent), "near-links")
+    found = common.materialise(components(links), "near-components")
     cut = percent / 100 - 3.7 * (percent / 100 * (1 - percent / 100) / HASHES) ** 0.5
-    while True:
-        found = common.materialise(components(links), "near-components")
-        more = common.materialise(unresolved_pairs(members, found, signatures, cut).join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        if more.isEmpty():
-            break
-        tested, fresh = tested.unionByName(more), common.materialise(confirm(more, sets, percent), "near-links")
-        links = links.unionByName(fresh)
+    more = common.materialise(unresolved_links(members, found, signatures, sets, percent, cut), "near-links")
+    if not more.isEmpty():
+        found = components(links.unionByName(more))
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    named = groups.join(found.withColumnRenamed("node", "doc"), "doc", "left").join(degree.withColumnRenamed("node", "doc"), "doc", "left")
-    table = common.materialise(named.select("w1", "w2", "n", F.coalesce("component", "doc").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "near-table")
+    named = groups.join(found.withColumnRenamed("node", "doc"), "doc", "left")
+    table = common.materialise(named.select("w1", "w2", "n", F.coalesce("component", "doc").alias("component_id")), "near-table")
     some, none = own.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "w1", "w2"), own.where("n_shingles = 0 or doc_id is null")
-    linked = common.join_by_key(some, table, ["w1", "w2"], "n").select("doc_id", "n_shingles", "component_id", "n_links")
-    return linked.unionByName(none.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
+    linked = common.join_by_key(some, table, ["w1", "w2"], "n").select("doc_id", "n_shingles", "component_id")
+    return linked.unionByName(none.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
