@@ -4,7 +4,8 @@ Texts become token ids, cut into sequences of `length` ids; the last one of a te
 N sequences of the table are numbered, and a keyed Feistel permutation with cycle-walking gives each number a slot in
 [0, N). Rows are range-partitioned by shard (a run of `per_shard` slots), sorted by slot and written: sequence i of shard s
 is the record at byte i * stride of the one file in folder shard=s, and holds slot s * per_shard + i. A reader that stopped
-after a slot goes on at that byte. A manifest table says which document each slot came from.
+after a slot goes on at that byte. Each record begins with the doc_id, the sequence's number in its document and its number
+of ids, so shards describe themselves and need no join.
 
 The ids here are the text's UTF-8 bytes, one byte an id; 0xFE and 0xFF never occur in UTF-8 and are END and PAD. A record
 ends with a line feed, which the text sink adds, so that Spark's own commit protocol writes the shards and a lost task is
@@ -15,11 +16,12 @@ the task that reads a split goes on from its split's offset. A split is named by
 read is split otherwise, the lookup fails and nothing wrong is written.
 
 Defined results: null or empty text is one sequence of END and PAD. Repeated rows are sequences of their own, and null
-doc_ids stay null. An empty table writes nothing and gives an empty result.
+doc_ids stay null (the smallest 64-bit number stands for them in shards). An empty table writes nothing and gives an empty result.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +33,9 @@ from aquabill.llm import common
 
 END, PAD, LENGTH, PER_SHARD, KEY = 0xFE, 0xFF, 512, 16_384, 20_240_601
 ROUNDS = 6
+#: Before a record's ids: doc_id, seq_no, n_tokens.
+HEAD, NO_ID = "<qiH", -(1 << 63)
+HEAD_BYTES = struct.calcsize(HEAD)
 SPLIT = ["file_path", "file_block_start", "file_block_length"]
 
 
@@ -70,7 +75,7 @@ def offsets(table: DataFrame, length: int) -> tuple[dict[tuple, int], int]:
 
 
 def sequences(table: DataFrame, length: int, key: int) -> tuple[DataFrame, int]:
-    """(slot, doc_id, seq_no, n_tokens, tokens binary) of a table read from files, and the number of sequences."""
+    """(slot, record binary: HEAD and ids) of a table read from files, and the number of sequences."""
     first, total = offsets(table, length)
     shared = table.sparkSession.sparkContext.broadcast(first)
 
@@ -81,38 +86,35 @@ def sequences(table: DataFrame, length: int, key: int) -> tuple[DataFrame, int]:
             ids = batch.column("doc_id").to_pylist()
             texts = batch.column("text")
             for a in range(0, len(batch), 1000):
-                numbers, docs, seqs, sizes, tokens = [], [], [], [], []
+                numbers, records = [], []
                 for i in range(a, min(a + 1000, len(batch))):
                     data = (texts[i].as_py() or "").encode("utf-8", "surrogatepass") + bytes([END])
                     n = -(-len(data) // length)
                     start = at[splits[i]] if splits[i] in at else shared.value[splits[i]]
                     at[splits[i]] = start + n
                     numbers += range(start, start + n)
-                    docs += [ids[i]] * n
-                    seqs += range(n)
-                    sizes += [length] * (n - 1) + [len(data) - (n - 1) * length]
-                    data = data.ljust(n * length, bytes([PAD]))
-                    tokens += [data[k : k + length] for k in range(0, n * length, length)]
+                    doc = NO_ID if ids[i] is None else ids[i]
+                    whole = data.ljust(n * length, bytes([PAD]))
+                    records += [struct.pack(HEAD, doc, k, min(length, len(data) - k * length)) + whole[k * length : (k + 1) * length] for k in range(n)]
                 slots = feistel(np.array(numbers, np.int64), total, key)
-                yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(docs, pa.int64()), pa.array(seqs, pa.int32()), pa.array(sizes, pa.int32()), pa.array(tokens, pa.binary())], ["slot", "doc_id", "seq_no", "n_tokens", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(records, pa.binary())], ["slot", "record"])
 
     rows = table.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(f"_metadata.{c}").alias(c) for c in SPLIT])
-    return rows.mapInArrow(run, "slot long, doc_id long, seq_no int, n_tokens int, tokens binary"), total
+    return rows.mapInArrow(run, "slot long, record binary"), total
 
 
 def write_shards(rows: DataFrame, total: int, path: str, per_shard: int) -> None:
-    """Writes shards and manifest under path: one file a shard, records in slot order."""
+    """Writes shards under path: one file a shard, records in slot order."""
     shards = max(1, -(-total // per_shard))
     dealt = rows.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int"))
     dealt = dealt.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "slot")
     # binary to string keeps the bytes as they are
-    dealt.select(F.col("tokens").cast("string").alias("value"), "shard").write.partitionBy("shard").option("lineSep", "\n").text(f"{path}/shards")
-    rows.select("slot", "doc_id", "seq_no", "n_tokens").write.parquet(f"{path}/manifest")
+    dealt.select(F.col("record").cast("string").alias("value"), "shard").write.partitionBy("shard").option("lineSep", "\n").text(path)
 
 
 def read_shards(spark: SparkSession, path: str, length: int, per_shard: int, first_slot: int = 0) -> DataFrame:
-    """(slot, shard, byte_offset, tokens) from first_slot on; earlier shards are not opened."""
-    stride = length + 1
+    """(slot, shard, byte_offset, doc_id, seq_no, n_tokens, tokens) from first_slot on; earlier shards are not opened."""
+    stride = HEAD_BYTES + length + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,11 +125,14 @@ def read_shards(spark: SparkSession, path: str, length: int, per_shard: int, fir
                 begin = max(0, first_slot - shard * per_shard)
                 for a in range(begin, len(data) // stride, 2000):
                     k = np.arange(a, min(a + 2000, len(data) // stride))
-                    tokens = [data[i * stride : i * stride + length] for i in k.tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array(k + shard * per_shard), pa.array(np.full(len(k), shard), pa.int32()), pa.array(k * stride), pa.array(tokens, pa.binary())], ["slot", "shard", "byte_offset", "tokens"])
+                    heads = [struct.unpack_from(HEAD, data, i * stride) for i in k.tolist()]
+                    doc, seq, size = (list(x) for x in zip(*heads))
+                    tokens = [data[i * stride + HEAD_BYTES : (i + 1) * stride - 1] for i in k.tolist()]
+                    columns = [pa.array(k + shard * per_shard), pa.array(np.full(len(k), shard), pa.int32()), pa.array(k * stride), pa.array([None if d == NO_ID else d for d in doc], pa.int64()), pa.array(seq, pa.int32()), pa.array(size, pa.int32()), pa.array(tokens, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["slot", "shard", "byte_offset", "doc_id", "seq_no", "n_tokens", "tokens"])
 
-    files = spark.read.format("binaryFile").load(f"{path}/shards").where(F.col("shard") >= first_slot // per_shard)
-    return files.select("shard", "content").mapInArrow(run, "slot long, shard int, byte_offset long, tokens binary")
+    files = spark.read.format("binaryFile").load(path).where(F.col("shard") >= first_slot // per_shard)
+    return files.select("shard", "content").mapInArrow(run, "slot long, shard int, byte_offset long, doc_id long, seq_no int, n_tokens int, tokens binary")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,6 +141,5 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     if not total:
         return spark.createDataFrame([], "slot long, shard int, byte_offset long, doc_id long, seq_no int, n_tokens int, tokens_sha256 string")
     write_shards(rows, total, path, PER_SHARD)
-    back = read_shards(spark, path, LENGTH, PER_SHARD).select("slot", "shard", "byte_offset", F.sha2("tokens", 256).alias("tokens_sha256"))
-    manifest = spark.read.schema("slot long, doc_id long, seq_no int, n_tokens int").parquet(f"{path}/manifest")
-    return back.join(manifest, "slot").select("slot", "shard", "byte_offset", "doc_id", "seq_no", "n_tokens", "tokens_sha256")
+    back = read_shards(spark, path, LENGTH, PER_SHARD)
+    return back.select("slot", "shard", "byte_offset", "doc_id", "seq_no", "n_tokens", F.sha2("tokens", 256).alias("tokens_sha256"))
