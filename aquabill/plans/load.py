@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from aquabill.functions import text as T
+from aquabill.operators import route
 from aquabill.operators.meters import keep_first
 from aquabill.schema import KEYS
 from aquabill.sources import files
@@ -12,7 +14,7 @@ from aquabill.sources import files
 
 def new_rows(rows: DataFrame, store: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Rows whose keys the store does not hold; null and '' are the same key. Duplicates inside rows stay."""
-    known = store.select(*[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"known_{k}") for k in keys]).distinct()
+    known = store.select(*[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"known_{k}") for k in keys])
     same = [F.coalesce(F.col(k).cast("string"), F.lit("")) == F.col(f"known_{k}") for k in keys]
     return rows.join(known, same, "left_anti")
 
@@ -33,6 +35,19 @@ def report(batch: DataFrame, added: DataFrame) -> DataFrame:
     return out.select("EMPRESA", "bills", "added", (F.col("bills") - F.col("added")).alias("ignored"), "files", "no_total")
 
 
+def routing_report(docs: DataFrame) -> DataFrame:
+    """(EMPRESA, documents, parsed): what the router did with DOC rows, unknown and layout-less issuers included."""
+    names = T.fold(F.concat_ws(" ", "file_name", "dir"))
+    issuer = F.coalesce(route.first_match(names, route.ISSUERS), F.lit("UNKNOWN"))
+    parsed = ~F.col("EMPRESA").isin("UNKNOWN", *route.UNPARSED)
+    return docs.select(issuer.alias("EMPRESA")).groupBy("EMPRESA").agg(F.count("*").alias("documents")).withColumn("parsed", parsed)
+
+
+def file_report(bills: DataFrame) -> DataFrame:
+    """(EMPRESA, PASTA_ORIGEM, ARQUIVO_ORIGEM, bills, total): one row a file that gave bills."""
+    return bills.groupBy("EMPRESA", "PASTA_ORIGEM", "ARQUIVO_ORIGEM").agg(F.count("*").alias("bills"), F.round(F.sum("VALOR_TOTAL"), 2).alias("total"))
+
+
 def load(batch: DataFrame, path: str, dedupe_batch: bool = False) -> DataFrame:
     """Appends the batch's new bills to the store at path and returns the report."""
     batch = batch.persist()

@@ -191,6 +191,18 @@ def load_report(spark, d):
     return load.report(batch, load.new_rows(batch, batch.where("try_cast(NUM_FATURA as bigint) % 3 = 0")))
 
 
+def routing_report(spark, d):
+    """Orders dealt over folders of issuers with and without a layout, and of nobody."""
+    folders = ["SANEAGO", "Saneago analítica", "SAAE Outra", "CHESP", "Sanesc", "SAE Catalão", "outros"]
+    docs = table(spark, d, "orders").select(F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("file_name"), F.element_at(F.array(*map(F.lit, folders)), (F.col("o_orderkey") % 7 + 1).cast("int")).alias("dir"))
+    return load.routing_report(docs)
+
+
+def file_report(spark, d):
+    docs = route.route(render.grouped_documents(table(spark, d, "orders")))
+    return load.file_report(grouped.extract(docs)).select("ARQUIVO_ORIGEM", "bills", F.col("total").cast("decimal(18,2)").cast("double").alias("total"))
+
+
 def csv_round_trip(spark, d):
     path = scratch(spark)
     files.export_csv(blocks.extract(route.route(render.documents(table(spark, d, "orders")))), path)
@@ -236,7 +248,7 @@ QUERIES = {
     for f in (
         norm_text, br_number, month_names, residual_fee, route_first_match, scan_lineage, split_lines, split_blocks, extract_all, extract_grouped,
         extract_meters, forward_fill, table_state, last_in_block, latest_per_key, distinct_keep_first, exact_then_fallback, relate_meters,
-        enrich_left, new_only, union_by_name, redistribute, load_report, csv_round_trip, incremental_twice, stream_load, bills_pipeline,
+        enrich_left, new_only, union_by_name, redistribute, load_report, routing_report, file_report, csv_round_trip, incremental_twice, stream_load, bills_pipeline,
     )
 } | {f"extract_{x.issuer.lower()}": _extract(x.issuer) for x in LAYOUTS}
 
@@ -294,6 +306,9 @@ ORACLES = {
   from (select *, list_filter([l_extendedprice, l_tax, l_discount], lambda v: v > 0) p, l_returnflag = 'A' fa, l_linestatus = 'O' fe, l_linenumber = 1 fx from lineitem)""",
     "load_report": f"""with {_BILLS}, s as (select *, try_cast(NUM_FATURA as bigint) % 3 = 0 as old from b)
   select EMPRESA, count(*) as bills, count(*) filter (where old is distinct from true) as added, count(*) filter (where old) as ignored, count(*) as files, 0::bigint as no_total from s group by 1""",
+    "routing_report": """select n as EMPRESA, count(*) as documents, n not in ('UNKNOWN', 'CHESP', 'SANESC') as parsed
+  from (select ['SANEAGO', 'SANEAGO_ANALITICA', 'UNKNOWN', 'CHESP', 'SANESC', 'SAE', 'UNKNOWN'][1 + (o_orderkey % 7)] as n from orders) group by 1""",
+    "file_report": f"with {_ORDERS} select 'fatura_' || acc || '.txt' as ARQUIVO_ORIGEM, count(*) as bills, sum((water + sewage)::decimal(18,2) + o_totalprice::decimal(18,2))::double as total from o group by 1",
     "csv_round_trip": f"with {_BILLS} select EMPRESA, NUM_FATURA, MES_ANO_REF, CONTA_DV, o_totalprice as VALOR_TOTAL, null::varchar as NUM_HIDROMETRO from b",
     "incremental_twice": f"""with {_BILLS}, c as (select EMPRESA, count(*) n, count(*) filter (where half) h from b group by 1)
   select 0::int as load, EMPRESA, h as added, 0::bigint as ignored, n as stored from c where h > 0 union all select 1, EMPRESA, 0, h, n from c where h > 0 union all select 2, EMPRESA, n - h, h, n from c""",
