@@ -11,6 +11,9 @@ The ids here are the text's UTF-8 bytes, one byte an id; 0xFE and 0xFF never occ
 ends with a line feed, which the text sink adds, so that Spark's own commit protocol writes the shards and a lost task is
 simply run again.
 
+Records cross the shuffle compressed against a dictionary of sampled text, since they are too short and too mixed there to
+compress by themselves; the dictionary decides nothing but their size.
+
 Numbering needs no shuffle: the sequences of each file split are counted first (the driver holds one number a split), and
 the task that reads a split goes on from its split's offset. A split is named by file, start and length; if the second
 read is split otherwise, the lookup fails and nothing wrong is written.
@@ -26,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +37,8 @@ from aquabill.llm import common
 
 END, PAD, LENGTH, PER_SHARD, KEY = 0xFE, 0xFF, 512, 16_384, 20_240_601
 ROUNDS = 6
+#: Tasks that write shards, at most.
+MAX_TASKS = 20_000
 #: Before a record's ids: doc_id, seq_no, n_tokens.
 HEAD, NO_ID = "<qiH", -(1 << 63)
 HEAD_BYTES = struct.calcsize(HEAD)
@@ -74,12 +80,23 @@ def offsets(table: DataFrame, length: int) -> tuple[dict[tuple, int], int]:
     return out, total
 
 
-def sequences(table: DataFrame, length: int, key: int) -> tuple[DataFrame, int]:
-    """(slot, record binary: HEAD and ids) of a table read from files, and the number of sequences."""
+def dictionary(table: DataFrame, texts: int = 128, chars: int = 512) -> bytes:
+    """Text for the compressor, of at most texts x chars characters."""
+    rows = table.select(F.substring("text", 1, chars).alias("t")).where("t <> ''").limit(texts).collect()
+    return "".join(r["t"] for r in rows).encode("utf-8", "surrogatepass")
+
+
+def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
+    return zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(data) >= 8 else None
+
+
+def sequences(table: DataFrame, length: int, key: int, sample: bytes = b"") -> tuple[DataFrame, int]:
+    """(slot, packed binary: HEAD and ids, compressed) of a table read from files, and the number of sequences."""
     first, total = offsets(table, length)
     shared = table.sparkSession.sparkContext.broadcast(first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1, dict_data=_dictionary(sample), write_checksum=False).compress
         at: dict[tuple, int] = {}  # the next number of each split that this task reads
         for batch in batches:
             splits = list(zip(*[batch.column(c).to_pylist() for c in SPLIT]))
@@ -95,21 +112,31 @@ def sequences(table: DataFrame, length: int, key: int) -> tuple[DataFrame, int]:
                     numbers += range(start, start + n)
                     doc = NO_ID if ids[i] is None else ids[i]
                     whole = data.ljust(n * length, bytes([PAD]))
-                    records += [struct.pack(HEAD, doc, k, min(length, len(data) - k * length)) + whole[k * length : (k + 1) * length] for k in range(n)]
+                    records += [pack(struct.pack(HEAD, doc, k, min(length, len(data) - k * length)) + whole[k * length : (k + 1) * length]) for k in range(n)]
                 slots = feistel(np.array(numbers, np.int64), total, key)
-                yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(records, pa.binary())], ["slot", "record"])
+                yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(records, pa.binary())], ["slot", "packed"])
 
     rows = table.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(f"_metadata.{c}").alias(c) for c in SPLIT])
-    return rows.mapInArrow(run, "slot long, record binary"), total
+    return rows.mapInArrow(run, "slot long, packed binary"), total
 
 
-def write_shards(rows: DataFrame, total: int, path: str, per_shard: int) -> None:
-    """Writes shards under path: one file a shard, records in slot order."""
+def write_shards(rows: DataFrame, total: int, path: str, per_shard: int, sample: bytes = b"") -> None:
+    """Writes shards under path: one file a shard, records in slot order. sample must be the one given to sequences()."""
     shards = max(1, -(-total // per_shard))
-    dealt = rows.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int"))
-    dealt = dealt.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "slot")
+    parts = min(shards, MAX_TASKS)
+    shard = F.floor(F.col("slot") / per_shard).cast("int")
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = zstandard.ZstdDecompressor(dict_data=_dictionary(sample)).decompress
+        for batch in batches:
+            records = [whole(x) for x in batch.column("packed").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("slot"), pa.array(records, pa.binary())], ["slot", "record"])
+
+    # the ranges are known, so no sampling pass is needed to find them: each task gets a run of whole shards
+    task = F.floor(shard.cast("long") * parts / shards).cast("int")
+    dealt = rows.repartitionById(parts, task).mapInArrow(unpack, "slot long, record binary").withColumn("shard", shard)
     # binary to string keeps the bytes as they are
-    dealt.select(F.col("record").cast("string").alias("value"), "shard").write.partitionBy("shard").option("lineSep", "\n").text(path)
+    dealt.sortWithinPartitions("shard", "slot").select(F.col("record").cast("string").alias("value"), "shard").write.partitionBy("shard").option("lineSep", "\n").text(path)
 
 
 def read_shards(spark: SparkSession, path: str, length: int, per_shard: int, first_slot: int = 0) -> DataFrame:
@@ -137,9 +164,11 @@ def read_shards(spark: SparkSession, path: str, length: int, per_shard: int, fir
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.new_path(spark, "shards")
-    rows, total = sequences(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "_metadata"), LENGTH, KEY)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "_metadata")
+    sample = dictionary(docs)
+    rows, total = sequences(docs, LENGTH, KEY, sample)
     if not total:
         return spark.createDataFrame([], "slot long, shard int, byte_offset long, doc_id long, seq_no int, n_tokens int, tokens_sha256 string")
-    write_shards(rows, total, path, PER_SHARD)
+    write_shards(rows, total, path, PER_SHARD, sample)
     back = read_shards(spark, path, LENGTH, PER_SHARD)
     return back.select("slot", "shard", "byte_offset", "doc_id", "seq_no", "n_tokens", F.sha2("tokens", 256).alias("tokens_sha256"))

@@ -411,8 +411,9 @@ def test_shards_round_trip(spark, tmp_path):
     rows = [(i, t) for i, t in enumerate(texts)] + [(2, texts[2]), (None, "null id")]
     odd(spark, rows).repartition(5).write.parquet(f"{tmp_path}/t")
     read = spark.read.parquet(f"{tmp_path}/t").select("doc_id", "text", "_metadata")
-    seqs, total = token_shards.sequences(read, 16, 5)
-    token_shards.write_shards(seqs, total, f"{tmp_path}/out", 50)
+    sample = token_shards.dictionary(read)
+    seqs, total = token_shards.sequences(read, 16, 5, sample)
+    token_shards.write_shards(seqs, total, f"{tmp_path}/out", 50, sample)
     back = token_shards.read_shards(spark, f"{tmp_path}/out", 16, 50).collect()
     assert sorted(r["slot"] for r in back) == list(range(total))
     assert all((r["shard"], r["byte_offset"]) == (r["slot"] // 50, r["slot"] % 50 * 31) for r in back)
