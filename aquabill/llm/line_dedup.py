@@ -56,7 +56,9 @@ class LineRuns:
     def add(self, batch: DataFrame) -> None:
         """Adds a batch (doc_id, text); its doc_ids must not exceed those of earlier batches."""
         # distinct within a row first: one count per document, and the shuffle needs one partial aggregate only
-        own = batch.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array_distinct(_hashes(F.col("text"), self.min_chars))).alias("k")).where("k is not null").groupBy("k.h1", "k.h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("holder"))
+        hashes = F.explode(F.array_distinct(_hashes(F.col("text"), self.min_chars)))
+        lines = batch.select(F.col("doc_id").cast("long").alias("doc_id"), hashes.alias("k")).where("k is not null")
+        own = lines.groupBy("k.h1", "k.h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("holder"))
         seen = self.rows()
         if seen is not None:
             own = common.materialise(own, "line-batch")
@@ -87,7 +89,9 @@ def index(docs: DataFrame, n_batches: int, min_chars: int) -> LineRuns:
     cuts = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [i / n_batches for i in range(1, n_batches)], 10000)).first()[0] or []
     low, d = sorted(set(cuts)), F.col("doc_id").cast("long")
     for i in range(len(low), -1, -1):
-        part = F.lit(True) if not low else d.isNull() | (d < low[0]) if i == 0 else d >= low[i - 1] if i == len(low) else (d >= low[i - 1]) & (d < low[i])
+        part = d >= low[i - 1] if i else d.isNull() | (d < low[0]) if low else F.lit(True)
+        if 0 < i < len(low):
+            part = part & (d < low[i])
         runs.add(docs.select("doc_id", "text").where(part))
     return runs
 
@@ -95,7 +99,8 @@ def index(docs: DataFrame, n_batches: int, min_chars: int) -> LineRuns:
 def dropped_lines(docs: DataFrame, frequent: DataFrame, min_chars: int) -> DataFrame:
     """(doc_id, t1, t2, drops): per distinct row, the numbers of its lines that go."""
     t1, t2 = common.text_hash(F.coalesce(F.col("text"), F.lit("")))
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), t1.alias("t1"), t2.alias("t2"), F.posexplode(_hashes(F.col("text"), min_chars)).alias("line", "k")).where("k is not null").select("doc_id", "t1", "t2", "line", "k.*")
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), t1.alias("t1"), t2.alias("t2"), F.posexplode(_hashes(F.col("text"), min_chars)).alias("line", "k"))
+    lines = every.where("k is not null").select("doc_id", "t1", "t2", "line", "k.*")
     gone = common.join_by_key(lines, frequent, KEY, "n").where(~F.col("doc_id").eqNullSafe(F.col("holder")))
     return gone.groupBy("doc_id", "t1", "t2").agg(F.collect_set("line").alias("drops"))
 

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from aquabill.llm import common
 
 END = "\r\n\r\n"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "page_id long, url string, record_type string, digest string, payload_bytes long, refers_digest string"
 
 
@@ -47,19 +48,24 @@ def base32_sha1(data: Column) -> Column:
 def headers(pages: DataFrame) -> DataFrame:
     """(page_id, url, payload, payload_bytes, digest) of each page."""
     payload = F.coalesce(F.col("html"), F.lit(""))
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), base32_sha1(payload.cast("binary")).alias("digest"))
+    return pages.select(
+        F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"),
+        F.octet_length(payload).cast("long").alias("payload_bytes"), base32_sha1(payload.cast("binary")).alias("digest"),
+    )
 
 
 def resolve(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """headers() with `original`: null for responses, else the page_id that the row revisits."""
     head = headers(pages)
-    groups = head.where(F.col("payload_bytes") >= min_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first"))
+    large = head.where(F.col("payload_bytes") >= min_bytes).select("page_id", "digest")
+    groups = large.groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first"))
     repeated = common.materialise(groups.where("n > 1"), "warc-digests")
     # only ids and digests meet the shuffle of repeated digests
-    copies = common.join_by_key(head.where(F.col("payload_bytes") >= min_bytes).select("page_id", "digest"), repeated, ["digest"], "n").where(~F.col("page_id").eqNullSafe(F.col("first")))
+    copies = common.join_by_key(large, repeated, ["digest"], "n").where(~F.col("page_id").eqNullSafe(F.col("first")))
     marks = copies.groupBy("page_id", "digest").agg(F.max("first").alias("original"))
     m = marks.select(F.col("page_id").alias("m_id"), F.col("digest").alias("m_digest"), "original")
-    return head.join(m, F.col("page_id").eqNullSafe(F.col("m_id")) & (F.col("digest") == F.col("m_digest")), "left").select("page_id", "url", "payload", "payload_bytes", "digest", "original")
+    same = F.col("page_id").eqNullSafe(F.col("m_id")) & (F.col("digest") == F.col("m_digest"))
+    return head.join(m, same, "left").select(*head.columns, "original")
 
 
 def record(original: Column) -> Column:
@@ -76,7 +82,7 @@ def record(original: Column) -> Column:
         F.coalesce(line("WARC-Target-URI", uri), F.lit("")),
         F.coalesce(line("X-Page-Id", F.col("page_id").cast("string")), F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", uuid(original.cast("string"), F.col("digest"))))).otherwise(F.lit("")),
+        F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", uuid(original.cast("string"), F.col("digest"))))).otherwise(F.lit("")),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
         line("Content-Length", F.when(revisit, F.lit(0)).otherwise(F.col("payload_bytes")).cast("string")),
         F.lit("\r\n"),
@@ -106,19 +112,26 @@ def parse(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = {"long": pa.int64(), "string": pa.string()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in RECORD.split(","))])
     for batch in batches:
         for content in batch.column("content"):
-            data = content.as_py()
+            stream: BinaryIO = io.BytesIO(content.as_py())
+            if stream.getbuffer()[:2] == b"\x1f\x8b":
+                stream = io.BufferedReader(gzip.GzipFile(fileobj=stream))
             rows = []
-            for f, block in parse(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data))) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)):
+            for f, block in parse(stream):
                 revisit = f["warc-type"] == "revisit"
                 named = f.get("warc-payload-digest", "").removeprefix("sha1:") or None
                 digest = named if revisit else base64.b32encode(hashlib.sha1(block).digest()).decode()
                 if named != digest:
                     raise ValueError("payload digest does not fit")
                 page = f.get("x-page-id")
-                rows.append({"page_id": int(page) if page else None, "url": f.get("warc-target-uri"), "record_type": f["warc-type"], "digest": digest, "payload_bytes": None if revisit else len(block), "refers_digest": named if revisit else None})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_digest", pa.string())]))
+                rows.append({
+                    "page_id": int(page) if page else None, "url": f.get("warc-target-uri"), "record_type": f["warc-type"], "digest": digest,
+                    "payload_bytes": None if revisit else len(block), "refers_digest": named if revisit else None,
+                })
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
