@@ -33,7 +33,8 @@ def find(text: Column, gate: str, pattern: str, kind: int, keep) -> Column:
 
     Texts without a match of `gate` are not taken apart. `keep` judges a match's text; failing matches are dropped.
     """
-    pairs = F.arrays_zip(F.transform(F.split(text, pattern), lambda p: F.length(p)).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    gaps = F.transform(F.split(text, pattern), lambda p: F.length(p))
+    pairs = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
@@ -65,11 +66,14 @@ def labelled_samples(docs: DataFrame, max_docs: int = 2000, n_random: int = 3000
     w = sample.select(words.alias("w")).where(F.size("w") >= 3)
     part = lambda i, k: F.get("w", i + k)
     joined = [F.concat_ws(sep, *[part(F.col("i"), k) for k in range(3)]) for sep in ("_", "-", "")]
-    ordinary = w.select("w", F.explode(F.sequence(F.lit(0), F.size("w") - 3, F.lit(3))).alias("i")).select(F.explode(F.array(*joined, F.get("w", F.col("i")))).alias("token"))
+    triples = w.select("w", F.explode(F.sequence(F.lit(0), F.size("w") - 3, F.lit(3))).alias("i"))
+    ordinary = triples.select(F.explode(F.array(*joined, F.get("w", F.col("i")))).alias("token"))
     digest = F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 256)
     base64 = F.base64(F.unhex(digest))
-    made = spark.range(n_random).select(F.explode(F.array(F.substring(digest, 1, 40), base64, F.regexp_replace(F.upper(base64), "[^A-Z0-9]", ""), F.translate(base64, "+/", "-_"))).alias("token"))
-    caught = sample.select(F.explode(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2))).alias("token")).where((F.length("token") >= MIN_ASSIGN) & F.col("token").rlike("[0-9]"))
+    forms = [F.substring(digest, 1, 40), base64, F.regexp_replace(F.upper(base64), "[^A-Z0-9]", ""), F.translate(base64, "+/", "-_")]
+    made = spark.range(n_random).select(F.explode(F.array(*forms)).alias("token"))
+    values = sample.select(F.explode(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2))).alias("token"))
+    caught = values.where((F.length("token") >= MIN_ASSIGN) & F.col("token").rlike("[0-9]"))
     return ordinary.withColumn("random", F.lit(False)).unionByName(made.unionByName(caught).withColumn("random", F.lit(True)))
 
 
@@ -77,7 +81,8 @@ def train(samples: DataFrame) -> list[float]:
     """Log-likelihood ratio of each character pair, as a flat 128 x 128 table; position 0 stands for the start."""
     chars = F.split("token", "")
     pairs = F.transform(chars, lambda c, i: F.struct(F.when(i == 0, 0).otherwise(F.ascii(F.get(chars, i - 1))).alias("a"), F.ascii(c).alias("b")))
-    counts = samples.select("random", F.explode(pairs).alias("p")).where("p.a between 0 and 127 and p.b between 1 and 127").groupBy("random", "p.a", "p.b").count().collect()  # at most 2 x 128 x 128 rows
+    ascii_pairs = samples.select("random", F.explode(pairs).alias("p")).where("p.a between 0 and 127 and p.b between 1 and 127")
+    counts = ascii_pairs.groupBy("random", "p.a", "p.b").count().collect()  # at most 2 x 128 x 128 rows
     n = [[[0.0] * 128 for _ in range(128)] for _ in range(2)]
     for r in counts:
         n[r["random"]][r["a"]][r["b"]] = float(r["count"])
@@ -105,7 +110,8 @@ def markov_spans(text: Column, model: list[float], min_chars: int, min_llr: floa
 def scan(docs: DataFrame, model: list[float], min_chars: int = 20, min_llr: float = 12.0) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base, spans): base and spans are arrays of (start, kind, end), sorted."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.select("doc_id", *[c.alias(f"s{i}") for i, c in enumerate([*pattern_spans(text), markov_spans(text, model, min_chars, min_llr)])])
+    kinds = [*pattern_spans(text), markov_spans(text, model, min_chars, min_llr)]
+    found = docs.select("doc_id", *[c.alias(f"s{i}") for i, c in enumerate(kinds)])
     clear = lambda x: ~F.exists("base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
     out = found.withColumn("base", F.array_sort(F.concat("s0", "s1", "s2")))
     return out.select(
@@ -116,7 +122,8 @@ def scan(docs: DataFrame, model: list[float], min_chars: int = 20, min_llr: floa
 
 def spelled(spans: str) -> Column:
     """kind:start:end of each span, comma-joined."""
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), s["start"], s["end"])), ",")
+    names = F.array(*map(F.lit, KINDS))
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

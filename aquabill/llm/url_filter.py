@@ -17,7 +17,13 @@ from pyspark.sql import functions as F
 from aquabill.llm import common
 
 #: Fixed rules (host, path, verdict).
-RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
 NGRAMS = (3, 4)
 
 
@@ -82,8 +88,10 @@ def train(labelled: DataFrame, dims: int = 4096, steps: int = 12, rate: float =
     weights, bias, speed, bias_speed = [0.0] * dims, 0.0, [0.0] * dims, 0.0
     if n[0] and 0 < n[1] < n[0]:
         for _ in range(steps):
-            wrong = data.select("f", (probability(margin(F.col("f"), weights, bias)) - F.col("block")).alias("e"), F.sqrt(F.greatest(F.size("f"), F.lit(1))).alias("scale"))
-            rows = wrong.select(F.explode(F.concat("f", F.array(F.lit(-1)))).alias("k"), (F.col("e") / F.col("scale")).alias("g"), "e").groupBy("k").agg(F.sum("g").alias("g"), F.sum("e").alias("e")).collect()  # at most dims + 1 rows
+            error = probability(margin(F.col("f"), weights, bias)) - F.col("block")
+            wrong = data.select("f", error.alias("e"), F.sqrt(F.greatest(F.size("f"), F.lit(1))).alias("scale"))
+            parts = wrong.select(F.explode(F.concat("f", F.array(F.lit(-1)))).alias("k"), (F.col("e") / F.col("scale")).alias("g"), "e")
+            rows = parts.groupBy("k").agg(F.sum("g").alias("g"), F.sum("e").alias("e")).collect()  # at most dims + 1 rows
             grad = [0.0] * dims
             bias_grad = 0.0
             for r in rows:
