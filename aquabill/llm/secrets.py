@@ -60,7 +60,7 @@ def pattern_spans(text: Column) -> list[Column]:
 def labelled_samples(docs: DataFrame, max_docs: int = 2000, n_random: int = 3000) -> DataFrame:
     """(token, random): labelled strings. max_docs bounds the documents that identifiers and caught values come from."""
     spark = docs.sparkSession
-    ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
+    ids = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
     words = F.regexp_extract_all("text", F.lit("[A-Za-z]{2,}"), F.lit(0))
     w = sample.select(words.alias("w")).where(F.size("w") >= 3)
