@@ -101,17 +101,21 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, signatures = np.zeros((len(batch), 2), np.uint64), np.zeros(len(batch), np.int64), np.zeros((len(batch), HASHES), np.uint32)
+            n = len(batch)
+            keys, sizes, signatures = np.zeros((n, 2), np.uint64), np.zeros(n, np.int64), np.zeros((n, HASHES), np.uint32)
             for i, t in enumerate(batch.column("text")):
                 own = words(t.as_py())
                 s = shingles(own, k)
                 whole = xxhash.xxh3_128_intdigest(b" ".join(own))
                 keys[i], sizes[i], signatures[i] = (whole >> 64, whole & ((1 << 64) - 1)), len(s), minima(s)
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * BANDS, pa.int32()), pa.array(np.ascontiguousarray(band_hashes(signatures)).ravel()))
-            columns = [batch.column("doc_id"), pa.array(keys[:, 0].view(np.int64)), pa.array(keys[:, 1].view(np.int64)), pa.array(sizes), bands, pa.array([x.tobytes() for x in signatures], pa.binary())]
+            flat = np.ascontiguousarray(band_hashes(signatures)).ravel()
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(flat))
+            w1, w2 = (pa.array(np.ascontiguousarray(keys[:, k]).view(np.int64)) for k in range(2))
+            columns = [batch.column("doc_id"), w1, w2, pa.array(sizes), bands, pa.array([x.tobytes() for x in signatures], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "w1", "w2", "n_shingles", "bands", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, w1 long, w2 long, n_shingles long, bands array<long>, signature binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "doc_id long, w1 long, w2 long, n_shingles long, bands array<long>, signature binary")
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -131,7 +135,8 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= percent * union."""
-    left, right = sets.select(F.col("doc").alias("a"), F.col("s").alias("sa")), sets.select(F.col("doc").alias("b"), F.col("s").alias("sb"))
+    left = sets.select(F.col("doc").alias("a"), F.col("s").alias("sa"))
+    right = sets.select(F.col("doc").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     # the side that many pairs name (a leader) joins last, so that its set is copied only where it is compared
     return pairs.join(right, "b").join(left, "a").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
@@ -145,16 +150,20 @@ def components(links: DataFrame) -> DataFrame:
     """
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        if large:
+            both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = common.materialise(both.groupBy("a").agg(F.least("a", F.min("b")).alias("low"), F.count("*").alias("n")), "star-minima")
         at = common.join_by_key(both, low, ["a"], "n")
-        moved = at.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")) if large else at.select("b", "low").unionByName(low.select(F.col("a").alias("b"), "low")).select(F.col("b").alias("a"), F.col("low").alias("b"))
+        movers = at.where("b > a").select("b", "low") if large else at.select("b", "low").unionByName(low.select(F.col("a").alias("b"), "low"))
+        moved = movers.select(F.col("b").alias("a"), F.col("low").alias("b"))
         return common.materialise(moved.where("a <> b").distinct(), "star-edges")
 
     def mark(edges: DataFrame) -> tuple:
         return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
-    edges = common.materialise(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "star-edges")
+    ordered = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges = common.materialise(ordered.distinct(), "star-edges")
     before = mark(edges)
     while before[0]:
         edges = star(star(edges, large=True), large=False)
@@ -176,15 +185,20 @@ def unresolved_links(members: DataFrame, found: DataFrame, signatures: DataFrame
     # buckets of two nodes have had their only pair judged
     at = common.materialise(_labelled(members.where("size > 2"), found), "near-members")
     parts = at.groupBy("h", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    largest = parts.groupBy("h").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("all"), F.max("n").alias("most"), F.sum("s").alias("s")).where("parts > 1")
-    table = common.materialise(largest, "near-buckets")
+    largest = parts.groupBy("h").agg(
+        F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("parts"),
+        F.sum("n").alias("all"), F.max("n").alias("most"), F.sum("s").alias("s"),
+    )
+    table = common.materialise(largest.where("parts > 1"), "near-buckets")
     open_ = common.join_by_key(at, table, ["h"], "all")
     blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.ceil(F.col("s") * n / F.col("all") / BLOCK_SHINGLES)).cast("int")
     n_members, n_asking = blocks(F.col("all")), blocks(F.col("all") - F.col("most"))
     block = lambda n: F.pmod(F.xxhash64("doc"), n).cast("int")
     # every member meets every asking block of its bucket, in one block of members; no task holds more than both
-    told = open_.select("h", "band", "doc", "comp", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), n_asking - 1)).alias("x"), block(n_members).alias("y"))
-    asking = open_.where("comp <> main").select("h", "band", "doc", "comp", F.lit(True).alias("asks"), block(n_asking).alias("x"), F.explode(F.sequence(F.lit(0), n_members - 1)).alias("y"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    own = ["h", "band", "doc", "comp"]
+    told = open_.select(*own, F.lit(False).alias("asks"), every(n_asking).alias("x"), block(n_members).alias("y"))
+    asking = open_.where("comp <> main").select(*own, F.lit(True).alias("asks"), block(n_asking).alias("x"), every(n_members).alias("y"))
     rows = told.unionByName(asking).join(signatures.join(sets, "doc"), "doc")
 
     def compare(table):
@@ -213,18 +227,22 @@ def unresolved_links(members: DataFrame, found: DataFrame, signatures: DataFrame
 def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row per row of docs."""
     own = common.materialise(sketch(docs, k), "near-sketches")
-    groups = common.materialise(own.where("n_shingles > 0 and doc_id is not null").groupBy("w1", "w2").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n")), "near-groups")
+    some, none = own.where("n_shingles > 0 and doc_id is not null"), own.where("n_shingles = 0 or doc_id is null")
+    copies = some.groupBy("w1", "w2").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n"))
+    groups = common.materialise(copies, "near-groups")
     nodes = own.where("n_shingles > 0").join(groups.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "doc")
     entries = nodes.select("doc", "n_shingles", F.posexplode("bands").alias("band", "h"))
     buckets = common.materialise(entries.groupBy("h").agg(F.count("*").alias("size"), F.min("doc").alias("lead")).where("size > 1"), "near-buckets")
     members = common.materialise(common.join_by_key(entries, buckets, ["h"], "size"), "near-members")
     signatures = nodes.join(members.select("doc").distinct(), "doc", "left_semi").select("doc", "signature")
     asked = members.select(F.col("doc").alias("doc_id")).distinct()
-    sets = common.materialise(shingle_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, "doc_id", "left_semi"), k).dropDuplicates(["doc"]), "near-sets")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, "doc_id", "left_semi")
+    sets = common.materialise(shingle_sets(texts, k).dropDuplicates(["doc"]), "near-sets")
 
     big = members.where(F.col("size") > SUB).withColumn("sub", F.pmod(F.xxhash64("doc", "h"), F.ceil(F.col("size") / SUB)))
     heads = big.groupBy("h", "sub").agg(F.min_by("doc", F.xxhash64("h", "doc")).alias("head"))
-    pairs = members.select(F.col("lead").alias("a"), F.col("doc").alias("b")).unionByName(big.join(heads, ["h", "sub"]).select(F.least("head", "doc").alias("a"), F.greatest("head", "doc").alias("b")))
+    led = big.join(heads, ["h", "sub"]).select(F.least("head", "doc").alias("a"), F.greatest("head", "doc").alias("b"))
+    pairs = members.select(F.col("lead").alias("a"), F.col("doc").alias("b")).unionByName(led)
     pairs = common.materialise(pairs.where("a <> b").distinct(), "near-pairs")
     links = common.materialise(confirm(pairs, sets, percent), "near-links")
     found = common.materialise(components(links), "near-components")
@@ -235,8 +253,7 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     named = groups.join(found.withColumnRenamed("node", "doc"), "doc", "left")
     table = common.materialise(named.select("w1", "w2", "n", F.coalesce("component", "doc").alias("component_id")), "near-table")
-    some, none = own.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "w1", "w2"), own.where("n_shingles = 0 or doc_id is null")
-    linked = common.join_by_key(some, table, ["w1", "w2"], "n").select("doc_id", "n_shingles", "component_id")
+    linked = common.join_by_key(some.select("doc_id", "n_shingles", "w1", "w2"), table, ["w1", "w2"], "n").select("doc_id", "n_shingles", "component_id")
     return linked.unionByName(none.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
