@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key with this many rows is joined by broadcast instead of being dealt to one task.
@@ -37,17 +37,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lower_ascii(text: Column) -> Column:
+    """A-Z in lower case, nothing else; text without other letters takes the fast way."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
 def join_by_key(rows: DataFrame, table: DataFrame, key: list[str], n: str) -> DataFrame:
     """Inner join of many rows with a table of one row per key that also holds the key's row count in column n.
 
-    The most frequent keys (MAX_HOT_KEYS at most, HOT_ROWS rows or more each) are broadcast, so their rows stay where
-    they are; the others are shuffled. Null keys match nothing.
+    The most frequent keys (MAX_HOT_KEYS at most, HOT_ROWS rows or more each) are broadcast. Their rows then go through the
+    shuffle of the others spread by a salt instead of their key, so that rows is computed once and no task gets a whole hot
+    key. Null keys match nothing.
     """
-    hot = F.broadcast(table.where(F.col(n) >= HOT_ROWS).orderBy(F.desc(n), *key).limit(MAX_HOT_KEYS))
+    values = [c for c in table.columns if c not in key]
+    hot = table.where(F.col(n) >= HOT_ROWS).orderBy(F.desc(n), *key).limit(MAX_HOT_KEYS)
     cold = table.join(F.broadcast(hot.select(*key)), key, "left_anti")
-    return rows.join(hot, key).unionByName(rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(cold, key))
+    marked = rows.join(F.broadcast(hot.select(*key, F.struct(*values).alias("join_hot"))), key, "left")
+    marked = marked.withColumn("join_salt", F.when(F.col("join_hot").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(*rows.columns)))
+    others = cold.select(*key, F.struct(*values).alias("join_cold"), F.lit(0).cast("long").alias("join_salt"))
+    both = marked.join(others, [*key, "join_salt"], "left").withColumn("join_found", F.coalesce("join_hot", "join_cold"))
+    return both.where("join_found is not null").select(*rows.columns, *[F.col("join_found").getField(v).alias(v) for v in values])
 
 
-def text_hash(text) -> list:
+def text_hash(text: Column) -> list[Column]:
     """Two 64-bit hashes of a string column, 128 bits in all."""
     return [F.xxhash64(text), F.xxhash64(F.lit("second"), text)]

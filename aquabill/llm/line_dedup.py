@@ -21,7 +21,7 @@ KEY = ["h1", "h2"]
 
 
 def line_key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(common.ASCII_SPACE)), common.UPPER, common.LOWER)
+    return common.lower_ascii(F.btrim(line, F.lit(common.ASCII_SPACE)))
 
 
 def split_lines(text: Column) -> Column:
