@@ -80,7 +80,7 @@ def offsets(table: DataFrame, length: int) -> tuple[dict[tuple, int], int]:
     return out, total
 
 
-def dictionary(table: DataFrame, texts: int = 128, chars: int = 512) -> bytes:
+def dictionary(table: DataFrame, texts: int = 512, chars: int = 512) -> bytes:
     """Text for the compressor, of at most texts x chars characters."""
     rows = table.select(F.substring("text", 1, chars).alias("t")).where("t <> ''").limit(texts).collect()
     return "".join(r["t"] for r in rows).encode("utf-8", "surrogatepass")
@@ -96,7 +96,7 @@ def sequences(table: DataFrame, length: int, key: int, sample: bytes = b"") -> t
     shared = table.sparkSession.sparkContext.broadcast(first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1, dict_data=_dictionary(sample), write_checksum=False).compress
+        pack = zstandard.ZstdCompressor(level=5, dict_data=_dictionary(sample), write_checksum=False).compress
         at: dict[tuple, int] = {}  # the next number of each split that this task reads
         for batch in batches:
             splits = list(zip(*[batch.column(c).to_pylist() for c in SPLIT]))
