@@ -153,11 +153,13 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         if large:
             both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = common.materialise(both.groupBy("a").agg(F.least("a", F.min("b")).alias("low"), F.count("*").alias("n")), "star-minima")
+        low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("low"), F.count("*").alias("n")).persist()
         at = common.join_by_key(both, low, ["a"], "n")
         movers = at.where("b > a").select("b", "low") if large else at.select("b", "low").unionByName(low.select(F.col("a").alias("b"), "low"))
         moved = movers.select(F.col("b").alias("a"), F.col("low").alias("b"))
-        return common.materialise(moved.where("a <> b").distinct(), "star-edges")
+        out = common.materialise(moved.where("a <> b").distinct(), "star-edges")
+        low.unpersist()
+        return out
 
     def mark(edges: DataFrame) -> tuple:
         return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
@@ -249,7 +251,8 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     cut = percent / 100 - 3.7 * (percent / 100 * (1 - percent / 100) / HASHES) ** 0.5
     more = common.materialise(unresolved_links(members, found, signatures, sets, percent, cut), "near-links")
     if not more.isEmpty():
-        found = components(links.unionByName(more))
+        # the stars found so far stand for their links
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     named = groups.join(found.withColumnRenamed("node", "doc"), "doc", "left")
     table = common.materialise(named.select("w1", "w2", "n", F.coalesce("component", "doc").alias("component_id")), "near-table")
