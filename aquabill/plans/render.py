@@ -25,8 +25,11 @@ def _month(table: dict[str, str], date: Column) -> Column:
 
 
 def order_fields(orders: DataFrame) -> DataFrame:
-    """The bill that an order stands for: number, account, date, name and amounts."""
-    return orders.select(
+    """The bill that an order stands for: number, account, date, name and amounts.
+
+    Rows are dealt out first, since a small file of orders becomes much text.
+    """
+    return orders.repartition(orders.sparkSession.sparkContext.defaultParallelism).select(
         "o_orderkey", "o_custkey", F.lpad(F.col("o_orderkey").cast("string"), 9, "0").alias("number"), F.lpad(F.col("o_custkey").cast("string"), 7, "0").alias("account"),
         (F.col("o_custkey") % 10).cast("string").alias("digit"), "o_orderdate", F.concat(F.lit("CLIENTE "), F.col("o_orderpriority")).alias("name"),
         (F.col("o_orderkey") % 100).alias("m3"), F.floor("o_totalprice").cast("double").alias("water"), F.floor(F.col("o_totalprice") / 4).cast("double").alias("sewage"), F.col("o_totalprice").alias("total"),
