@@ -1,13 +1,15 @@
 r"""Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
 Texts are normalised: lower case, and every run of characters that are neither letters nor digits is one blank. Benchmark
-items are cut into windows of `window` characters (half overlapping, the last one flush with the item's end; a shorter item
-is one window). A document leaks an item when some window lies within `max_errors` x its length edits of a part of it.
+items are cut into windows of `window` characters, one every tenth of that, and of PART characters, one every STRIDE (the
+last one flush with the item's end; a shorter item is one window). A document leaks an item when some window lies within
+`max_errors` x its length edits of a part of it. So a passage of PART + STRIDE - 1 characters or more is found wherever
+in the item it begins.
 
 A window of m characters with at most e edits shares at least m + 1 - q (e + 1) of its q-grams with that part, and all of
-them lie on diagonals (place in the document less place in the window) that differ by at most e. So shared q-grams are
-counted in bands of 2 * STEP diagonals that overlap by half; bands that meet the bound are kept and verified by an
-alignment over the band's diagonals. The bound never drops a true match as long as e < STEP.
+them lie on diagonals (place in the document less place in the item) that differ by at most e. So shared q-grams are
+counted in bands of 2 * STEP diagonals that overlap by half, for an item first and for its windows where that is enough;
+windows that meet the bound in a band are verified by an alignment over the band's diagonals. The bound never drops a true match as long as e < STEP.
 
 Documents are worked through in chunks of CHUNK characters, so memory does not grow with the input. Benchmark items are a
 stated query set: they are read in blocks of at most `block_chars` characters, each block one broadcast index and one pass
@@ -29,7 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Q, WINDOW, STEP = 12, 100, 8
-CHUNK, BATCH = 1_000_000, 2048
+PART, STRIDE = 50, 5
+CHUNK, BATCH, TRIES = 1_000_000, 2048, 1_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 RESULT = "doc_id long, item_id long, start int, end int, edits int"
 _wordish: list[np.ndarray] = []
@@ -82,42 +85,57 @@ def qgrams(codes: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def window_starts(n: int, window: int) -> list[tuple[int, int]]:
+    """(start, length) of the windows of an item of n characters."""
+    out = {(s, m): None for m, step in ((window, max(window // 10, 1)), (min(PART, window), STRIDE)) for s in [*range(0, max(n - m, 0), step), max(n - m, 0)]}
+    return sorted({(s, min(m, n)) for s, m in out})
+
+
 class Index:
-    """q-grams of the windows of a block of items."""
+    """q-grams of a block of items, each place once, and the items' windows."""
 
     def __init__(self, items: list[tuple[int, str]], max_errors: float, window: int):
-        self.items, self.windows, self.whole = [], [], {}
-        grams, owners, places = [], [], []
+        self.whole: dict[bytes, list[int]] = {}
+        names, texts, cuts, sizes, at = [], [], [], [], 0
         for item, text in items:
-            codes = normalised([text])[0][:-1]
-            if not len(codes):
+            codes = normalised([text])[0]  # a zero at the end
+            n = len(codes) - 1
+            if n < Q:
+                if n:
+                    self.whole.setdefault(codes[:-1].tobytes(), []).append(item)
                 continue
-            if len(codes) < Q:
-                self.whole.setdefault(codes.tobytes(), []).append(item)
-                continue
-            starts = [*range(0, max(len(codes) - window, 0), max(window // 2, 1)), max(len(codes) - window, 0)]
-            for s in starts:
-                own = codes[s : s + window]
-                h = qgrams(own)
-                grams.append(h)
-                owners += [len(self.windows)] * len(h)
-                places += range(len(h))
-                self.windows.append(own)
-                self.items.append(item)
-        self.lengths = np.array([len(w) for w in self.windows], np.int64)
+            own = window_starts(n, window)
+            names += [item] * len(own)
+            cuts += [(at + s, m) for s, m in own]
+            sizes.append((at, len(own)))
+            texts.append(codes)
+            at += n + 1
+        self.items = np.array(names, np.int64)
+        self.starts, self.lengths = np.array(cuts, np.int64).reshape(-1, 2).T
+        self.item_starts, self.n_windows = np.array(sizes, np.int64).reshape(-1, 2).T
+        self.first_window = np.cumsum(self.n_windows) - self.n_windows
+        self.codes = np.concatenate(texts) if texts else np.zeros(0, np.uint32)
         self.edits = np.where(self.lengths < 2 * Q, 0, np.minimum(np.floor(self.lengths * max_errors), np.minimum((self.lengths + 1) // Q - 2, STEP - 1))).astype(np.int64)
         self.edits = np.maximum(self.edits, 0)
         self.least = self.lengths + 1 - Q * (self.edits + 1)
-        h = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
+        self.item_least = np.minimum.reduceat(self.least, self.first_window) if texts else self.least
+        h = qgrams(self.codes)
+        zeros = np.concatenate([[0], np.cumsum(self.codes == 0)])
+        places = np.flatnonzero(zeros[Q:] == zeros[: len(h)]) if len(h) else np.zeros(0, np.int64)  # within one item
+        h = h[places]
         order = np.argsort(h, kind="stable")
-        self.keys, first, self.counts = np.unique(h[order], return_index=True, return_counts=True)
-        self.first, self.owners, self.places = first, np.array(owners, np.int64)[order], np.array(places, np.int64)[order]
-        self.shift = 4 * STEP * (int(self.lengths.max(initial=0)) // STEP + 2)  # makes diagonals positive
+        self.keys, self.first, self.counts = np.unique(h[order], return_index=True, return_counts=True)
+        self.places = places[order]
+        self.shift = STEP * (len(self.codes) // STEP + 4)  # makes diagonals positive
         self.seen = np.zeros(1 << 22, bool)
         self.seen[(self.keys >> np.uint64(42)).astype(np.int64)] = True
 
+    @property
+    def windows(self) -> list[np.ndarray]:
+        return [self.codes[s : s + m] for s, m in zip(self.starts, self.lengths)]
+
     def candidates(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, band) of the bands of diagonals that share enough q-grams."""
+        """(window, first diagonal) of the bands of diagonals that share enough q-grams."""
         h = qgrams(codes)
         at = np.flatnonzero(self.seen[(h >> np.uint64(42)).astype(np.int64)])
         slot = np.minimum(np.searchsorted(self.keys, h[at]), max(len(self.keys) - 1, 0))
@@ -125,15 +143,32 @@ class Index:
         at, slot = at[good], slot[good]
         n = self.counts[slot]
         ends = np.cumsum(n)
-        which = np.repeat(self.first[slot] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-        owner, diagonal = self.owners[which], np.repeat(at, n) - self.places[which] + self.shift
-        band = diagonal // STEP
-        # band b covers diagonals from b * STEP up to (b + 2) * STEP
-        key = np.concatenate([owner * (1 << 40) + band, owner * (1 << 40) + band - 1])
-        key, shared = np.unique(key, return_counts=True)
-        owner, band = key >> 40, key & ((1 << 40) - 1)
-        enough = shared >= self.least[owner]
-        return owner[enough], band[enough] * STEP - self.shift
+        place = self.places[np.repeat(self.first[slot] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        band = (np.repeat(at, n) - place + self.shift) // STEP
+        # band b covers diagonals from b * STEP up to (b + 2) * STEP; hits are sorted by band and place
+        hits = np.sort(np.concatenate([band << 32 | place, (band - 1) << 32 | place]))
+        item = np.searchsorted(self.item_starts, hits & 0xFFFFFFFF, "right") - 1
+        new = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (hits[1:] >> 32 != hits[:-1] >> 32)])) if len(hits) else np.zeros(0, np.int64)
+        shared = np.diff(np.append(new, len(hits)))
+        new = new[shared >= self.item_least[item[new]]]
+        item, band = item[new], hits[new] >> 32
+        owners, bands = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        ends = np.cumsum(self.n_windows[item])
+        a = 0
+        while a < len(item):  # every window of the items, at most TRIES or one item's at a time
+            done = ends[a - 1] if a else 0
+            b = max(a + 1, int(np.searchsorted(ends, done + TRIES, "right")))
+            n = self.n_windows[item[a:b]]
+            owner = np.repeat(self.first_window[item[a:b]] - (ends[a:b] - n - done), n) + np.arange(ends[b - 1] - done)
+            own = np.repeat(band[a:b], n)
+            low = own << 32 | self.starts[owner]
+            shared = np.searchsorted(hits, low + self.lengths[owner] - Q, "right") - np.searchsorted(hits, low)
+            enough = shared >= self.least[owner]
+            owners.append(owner[enough])
+            bands.append(own[enough])
+            a = b
+        owner = np.concatenate(owners)
+        return owner, np.concatenate(bands) * STEP - self.shift + self.starts[owner]
 
     def verify(self, codes: np.ndarray, owner: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least edits of each window within its band, and the place after its last character."""
@@ -143,7 +178,7 @@ class Index:
             every = np.flatnonzero(self.lengths[owner] == m)
             for a in range(0, len(every), BATCH):
                 rows = every[a : a + BATCH]
-                pattern = np.array([self.windows[w] for w in owner[rows]])
+                pattern = self.codes[self.starts[owner[rows]][:, None] + np.arange(m)[None]]
                 left = diagonal[rows] - STEP
                 place = left[:, None] + np.arange(m + width)[None]
                 text = np.where((place >= 0) & (place < len(codes)), codes[np.clip(place, 0, len(codes) - 1)], 0)
@@ -166,14 +201,14 @@ class Index:
                 own = codes[starts[t] : starts[t + 1] - 1]
                 for item in self.whole.get(own.tobytes(), []) if len(own) < Q else []:
                     found[t, item] = (0, len(texts[t]), 0)
-        if self.windows:
+        if len(self.items):
             owner, diagonal = self.candidates(codes)
             edits, stops = self.verify(codes, owner, diagonal)
             for k in np.flatnonzero(edits <= self.edits[owner]):
                 last = min(max(int(stops[k]) - 1, 0), len(codes) - 1)
                 t = int(np.searchsorted(starts, last, "right")) - 1
                 first = max(int(stops[k] - self.lengths[owner[k]]), int(starts[t]))
-                key, span = (t, self.items[owner[k]]), (int(place[first]), int(place[last]) + 1, int(edits[k]))
+                key, span = (t, int(self.items[owner[k]])), (int(place[first]), int(place[last]) + 1, int(edits[k]))
                 old = found.get(key, span)
                 found[key] = (min(old[0], span[0]), max(old[1], span[1]), min(old[2], span[2]))
         return [(t, item, *span) for (t, item), span in sorted(found.items())]

@@ -182,6 +182,31 @@ def test_leak_places(spark):
     assert (r["edits"], text[r["start"] : r["end"]].split()) == (0, item.split())
 
 
+def test_every_passage_of_an_item_is_found(spark):
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    items = [(i, prose(n)) for i, n in enumerate([9, 12, 20, 40, 120])]
+    docs, want = [], set()
+    for item, text in items:
+        for n in (54, 60, 80, 100, 117, 130):
+            for start in range(0, len(text) - n + 1, 7):
+                passage = text[start : start + n]
+                if passage != passage.strip():
+                    continue
+                for edits in (0, 2):
+                    changed = list(passage)
+                    for p in rnd.sample(range(n), edits):
+                        changed[p] = "é"
+                    docs.append((len(docs), prose(8) + " " + "".join(changed) + " " + prose(8)))
+                    want.add((len(docs) - 1, item))
+    docs += [(len(docs) + i, prose(60)) for i in range(50)]
+    for bad in (0, 3):  # a passage of 30 characters, and one whose every part of 50 has more edits than allowed, are no leaks
+        docs.append((len(docs), prose(8) + " " + (items[4][1][100:130] if not bad else "".join("é" if k % 12 == 5 else c for k, c in enumerate(items[4][1][100:180]))) + " " + prose(8)))
+    got = decontaminate.leaks(table(spark, docs), table(spark, items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want and len(want) > 500
+
+
 # 5 languages
 
 
