@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aquabill.functions import text as T
-from aquabill.operators import route
+from aquabill.operators import grouped, meters, route
 from aquabill.operators.meters import keep_first
-from aquabill.schema import KEYS
+from aquabill.schema import KEYS, METER_ROW
 from aquabill.sources import files
 
 
@@ -48,6 +48,22 @@ def file_report(bills: DataFrame) -> DataFrame:
     return bills.groupBy("EMPRESA", "PASTA_ORIGEM", "ARQUIVO_ORIGEM").agg(F.count("*").alias("bills"), F.round(F.sum("VALOR_TOTAL"), 2).alias("total"))
 
 
+def remember_meters(told: DataFrame, path: str) -> DataFrame:
+    """Adds unseen meter rows to those kept beside the store at path, and returns all of them."""
+    files.append_meters(new_rows(told, files.read_meters(told.sparkSession, path), METER_ROW.names), path)
+    return files.read_meters(told.sparkSession, path)
+
+
+def relate_again(spark: SparkSession, path: str) -> None:
+    """Relates the stored bills of the grouped layout to all stored meter rows, and writes them anew if a meter changed."""
+    stored = files.read_store(spark, path).where(F.col("EMPRESA") == grouped.GROUPED)
+    # the relation depends on account and month alone
+    known = stored.select("CONTA_DV", "MES_ANO_REF", "NUM_HIDROMETRO").distinct()
+    told = files.read_meters(spark, path)
+    if not meters.relate(known, told).exceptAll(known).isEmpty():
+        files.replace_in_store(meters.relate(stored, told), path)
+
+
 def load(batch: DataFrame, path: str, dedupe_batch: bool = False) -> DataFrame:
     """Appends the batch's new bills to the store at path and returns the report."""
     batch = batch.persist()

@@ -5,22 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from aquabill.operators import blocks, enrich, grouped, meters, route
-from aquabill.plans.load import load
+from aquabill.plans.load import load, relate_again, remember_meters
 from aquabill.schema import BILL
 from aquabill.sources import files
 
 
-def bills_of(docs: DataFrame, register: DataFrame | None = None, redistribute: bool = False) -> DataFrame:
-    """BILL rows of DOC rows, with the register's columns if there is one."""
+def bills_of(docs: DataFrame, register: DataFrame | None = None, redistribute: bool = False, told: DataFrame | None = None) -> DataFrame:
+    """BILL rows of DOC rows, with the register's columns if there is one. told: meter rows instead of those of docs."""
     routed = route.route(docs)
-    accounts = meters.relate(grouped.extract(routed), meters.extract(routed))
+    accounts = meters.relate(grouped.extract(routed), meters.extract(routed) if told is None else told)
     bills = blocks.extract(routed).unionByName(accounts).select(*BILL.names)
     out = enrich.enrich(bills, register)
     return enrich.redistribute(out) if redistribute and register is not None else out
 
 
 def run(spark: SparkSession, root: str, store: str, register_path: str | None = None) -> DataFrame:
-    """Loads the unseen bills of all texts under root into the store; returns the report."""
+    """Loads the unseen bills of all texts under root into the store; returns the report.
+
+    Meter rows are kept beside the store: bills are related to those of earlier runs too, and stored bills to new ones.
+    """
     register = files.read_register(spark, register_path) if register_path else None
-    bills = bills_of(files.scan_texts(spark, root), register, redistribute=False)
-    return load(bills.select(*BILL.names), store)
+    docs = files.scan_texts(spark, root)
+    told = remember_meters(meters.extract(route.route(docs)), store)
+    out = load(bills_of(docs, register, redistribute=False, told=told).select(*BILL.names), store)
+    relate_again(spark, store)
+    return out

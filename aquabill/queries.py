@@ -230,7 +230,7 @@ def stream_load(spark, d):
     whole = docs.groupBy((F.xxhash64("path") % 8).alias("part")).agg(F.array_join(F.collect_list("content"), "\nautenticação no verso\n").alias("value"))
     whole.select("value").repartition(4).write.text(f"{root}/in/DEMAE")
     for i in range(2):
-        load_stream(spark, f"{root}/in", f"{root}/store", f"{root}/checkpoint{i}").awaitTermination()
+        load_stream(spark, f"{root}/in", f"{root}/store", f"{root}/checkpoint{i}", max_files=2).awaitTermination()
     return files.read_store(spark, f"{root}/store").select("EMPRESA", *KEYS, "VALOR_TOTAL")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructType
 
 _TYPES = {"string": StringType(), "double": DoubleType(), "long": LongType(), "boolean": BooleanType()}
 
@@ -24,6 +24,8 @@ BILL = _struct(
     "VALOR_TAXAS_EXTRAS double, VALOR_TOTAL double, DATA_PROCESSAMENTO string, ARQUIVO_ORIGEM string, PASTA_ORIGEM string, EMPRESA string"
 )
 METER = _struct("CONTA_DV string, MES_ANO_REF string, NUM_HIDROMETRO_EXTRAIDO string, ARQUIVO_ORIGEM string, PASTA_ORIGEM string")
+#: Stored meter rows also keep their place, which decides ties.
+METER_ROW = StructType([*METER.fields, *DOC.fields[:1]]).add("line_no", IntegerType())
 #: Columns of the account register, with the other spelling that is read too.
 REGISTER = _struct(
     "id_CONTA long, id_UJ long, id_ORDEM long, CONTA_DV string, CONTA long, UNIDADE string, ENDERECO string, "

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from aquabill.schema import BILL, REGISTER, REGISTER_ALIASES
+from aquabill.schema import BILL, METER_ROW, REGISTER, REGISTER_ALIASES
 
 
 def decoded(content: Column) -> Column:
@@ -58,12 +58,16 @@ def read_register(spark: SparkSession, path: str) -> DataFrame | None:
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """The Parquet store; empty if there is none yet."""
+    return _parquet(spark, path, BILL)
+
+
+def _parquet(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     try:
-        return spark.read.schema(BILL).parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], BILL)
+        return spark.createDataFrame([], schema)
 
 
 def append_store(bills: DataFrame, path: str) -> None:
@@ -71,6 +75,24 @@ def append_store(bills: DataFrame, path: str) -> None:
     bills.select(*BILL.names).write.mode("append").partitionBy("EMPRESA").parquet(path)
 
 
+def replace_in_store(bills: DataFrame, path: str) -> None:
+    """Puts bills in place of the folders of their issuers; they may be read from those folders."""
+    bills.select(*BILL.names).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("EMPRESA").parquet(path)
+
+
+def _meter_path(path: str) -> str:
+    return path.rstrip("/") + "-meters"
+
+
+def read_meters(spark: SparkSession, path: str) -> DataFrame:
+    """All meter rows that came with the bills of the store at path; they lie in a folder beside it."""
+    return _parquet(spark, _meter_path(path), METER_ROW)
+
+
+def append_meters(meters: DataFrame, path: str) -> None:
+    meters.select(*METER_ROW.names).write.mode("append").parquet(_meter_path(path))
+
+
 def export_csv(bills: DataFrame, path: str) -> None:
     """Semicolon CSV with a header, one folder an issuer; nulls are empty fields."""
     bills.select(*BILL.names).write.mode("overwrite").partitionBy("EMPRESA").option("sep", ";").option("header", True).option("emptyValue", "").csv(path)

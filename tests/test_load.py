@@ -1,4 +1,5 @@
 import json
+import os
 
 from pyspark.sql import functions as F
 from test_extraction import GROUPED, REPORT, TEXTS
@@ -52,6 +53,30 @@ def test_pipeline_stream_and_store(spark, tmp_path):
     assert sorted(map(str, back.select(*BILL.names[:8]).collect())) == sorted(map(str, stored.select(*[F.nullif(c, F.lit("")).alias(c) for c in BILL.names[:8]]).collect()))
 
 
+def test_stream_in_many_batches_equals_one(spark, tmp_path):
+    root = tmp_path / "in" / "Saneago"
+    root.mkdir(parents=True)
+    late = REPORT.replace("A2", "A3").replace("Conta N. 77 - 2\nsem medidor", "Conta N. 77 - 2\nHidrometro: C7")
+    # bills before and after their reports, and a repeat of one file's bills
+    texts = [("fatura.txt", GROUPED), ("saneago_analitica_01-2021.txt", REPORT), ("fatura_2.txt", GROUPED), ("saneago_analitica_02-2021.txt", late), ("fatura_3.txt", GROUPED.replace("555", "556"))]
+    for i, (name, text) in enumerate(texts):
+        (root / name).write_text(text)
+        os.utime(root / name, (1_600_000_000 + 100 * i,) * 2)
+    shown = lambda df: sorted(map(str, df.select("ARQUIVO_ORIGEM", "NUM_FATURA", "CONTA_DV", "NUM_HIDROMETRO").collect()))
+    want = shown(pipeline.bills_of(files.scan_texts(spark, str(tmp_path / "in"))))
+    assert len(want) == 9 and sum("A3" in w for w in want) == 3
+    store = str(tmp_path / "store")
+    for i in range(2):  # a second stream adds nothing
+        load_stream(spark, str(tmp_path / "in"), store, str(tmp_path / f"checkpoint{i}"), max_files=1).awaitTermination()
+        assert shown(files.read_store(spark, store)) == want
+    # a report of a later run, by itself
+    (tmp_path / "more" / "Saneago").mkdir(parents=True)
+    (tmp_path / "more" / "Saneago" / "saneago_analitica_03-2021.txt").write_text(REPORT.replace("A2", "A4"))
+    assert pipeline.run(spark, str(tmp_path / "more"), store).count() == 0
+    assert shown(files.read_store(spark, store)) == [w.replace("A3", "A4") for w in want]
+    assert files.read_meters(spark, store).count() == 7
+
+
 def test_relation(spark):
     made = lambda *rows: {r["CONTA_DV"] + r["MES_ANO_REF"]: r["NUM_HIDROMETRO"] for r in rows}
     bills = bill(spark, ("1", "03/2021", "12345  6"), ("1", "04/2021", "12345 6"), ("1", "02/2022", "7 7"), ("1", "03/2021", "55 5")).withColumn("NUM_HIDROMETRO", F.lit(""))
