@@ -7,11 +7,13 @@ is the record at byte i * stride of the one file in folder shard=s, and holds sl
 after a slot goes on at that byte. Each record begins with the doc_id, the sequence's number in its document and its number
 of ids, so shards describe themselves and need no join.
 
-The ids here are the text's UTF-8 bytes, one byte an id; 0xFE and 0xFF never occur in UTF-8 and are END and PAD. A record
-ends with a line feed, which the text sink adds, so that Spark's own commit protocol writes the shards and a lost task is
-simply run again.
+The ids are those of a BPE vocabulary, two bytes an id (little end first); 0xFFFE and 0xFFFF are END and PAD, and a vocabulary
+that needs them is refused. `encoded` writes each text's ids once to a table, so that they can be counted before they are
+numbered. Without a vocabulary the ids are the text's UTF-8 bytes, one byte an id, where 0xFE and 0xFF never occur and are
+END and PAD. A record ends with a line feed, which the text sink adds, so that Spark's own commit protocol writes the shards
+and a lost task is simply run again.
 
-Records cross the shuffle compressed against a dictionary of sampled text, since they are too short and too mixed there to
+Records cross the shuffle compressed against a dictionary of sampled texts or ids, since they are too short and too mixed there to
 compress by themselves; the dictionary decides nothing but their size.
 
 Numbering needs no shuffle: the sequences of each file split are counted first (the driver holds one number a split), and
@@ -33,7 +35,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aquabill.llm import common
+from aquabill.llm import bpe, common
 
 END, PAD, LENGTH, PER_SHARD, KEY = 0xFE, 0xFF, 512, 16_384, 20_240_601
 ROUNDS = 6
@@ -42,6 +44,8 @@ MAX_TASKS = 20_000
 #: Before a record's ids: doc_id, seq_no, n_tokens.
 HEAD, NO_ID = "<qiH", -(1 << 63)
 HEAD_BYTES = struct.calcsize(HEAD)
+#: END and PAD as bytes, by the width of an id.
+MARKS = {1: (bytes([END]), bytes([PAD])), 2: (struct.pack("<H", 0xFF00 | END), struct.pack("<H", 0xFF00 | PAD))}
 SPLIT = ["file_path", "file_block_start", "file_block_length"]
 
 
@@ -64,15 +68,35 @@ def feistel(numbers: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def n_sequences(text: Column, length: int) -> Column:
-    """Sequences of a text: its bytes and END, in parts of length."""
-    return F.floor(F.octet_length(F.coalesce(text, F.lit(""))) / length).cast("long") + 1
+def encoded(table: DataFrame, vocabulary: bpe.Vocabulary, path: str, name: str = bpe.TOKENIZER) -> DataFrame:
+    """(doc_id, text: the text's ids, two bytes each) of each row, in order, written to path and read from there."""
+    if vocabulary.size > 0xFF00 | END:
+        raise ValueError(f"ids of a vocabulary of {vocabulary.size} do not fit in two bytes beside END and PAD")
+    shared = table.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = bpe.coder(name, shared.value)
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for a, b in bpe.chunks(texts):
+                ids, starts = c.encode(texts[a:b])
+                buffers = [None, pa.py_buffer((starts * 2).astype(np.int32)), pa.py_buffer(ids.astype("<u2"))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.Array.from_buffers(pa.binary(), b - a, buffers)], ["doc_id", "text"])
+
+    schema = "doc_id long, text binary"
+    table.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
+    return table.sparkSession.read.schema(schema).parquet(path).select("doc_id", "text", "_metadata")
 
 
-def offsets(table: DataFrame, length: int) -> tuple[dict[tuple, int], int]:
+def n_sequences(text: Column, size: int) -> Column:
+    """Sequences of a text: its ids and END, in parts of size bytes."""
+    return F.floor(F.coalesce(F.octet_length(text), F.lit(0)) / size).cast("long") + 1
+
+
+def offsets(table: DataFrame, size: int) -> tuple[dict[tuple, int], int]:
     """The number of the first sequence of each file split, and the number of all."""
     meta = [F.col(f"_metadata.{c}") for c in SPLIT]
-    counts = table.select(*meta, n_sequences(F.col("text"), length).alias("n")).groupBy(*SPLIT).agg(F.sum("n").alias("n")).orderBy(*SPLIT).collect()  # one row a split
+    counts = table.select(*meta, n_sequences(F.col("text"), size).alias("n")).groupBy(*SPLIT).agg(F.sum("n").alias("n")).orderBy(*SPLIT).collect()  # one row a split
     out, total = {}, 0
     for r in counts:
         out[tuple(r[c] for c in SPLIT)] = total
@@ -81,18 +105,22 @@ def offsets(table: DataFrame, length: int) -> tuple[dict[tuple, int], int]:
 
 
 def dictionary(table: DataFrame, texts: int = 512, chars: int = 512) -> bytes:
-    """Text for the compressor, of at most texts x chars characters."""
-    rows = table.select(F.substring("text", 1, chars).alias("t")).where("t <> ''").limit(texts).collect()
-    return "".join(r["t"] for r in rows).encode("utf-8", "surrogatepass")
+    """Text for the compressor, of at most texts x chars characters; of ids as many bytes."""
+    rows = table.select(F.substring("text", 1, chars).alias("t")).where(F.octet_length("t") > 0).limit(texts).collect()
+    return b"".join(r["t"].encode("utf-8", "surrogatepass") if isinstance(r["t"], str) else bytes(r["t"]) for r in rows)
 
 
 def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(data) >= 8 else None
 
 
-def sequences(table: DataFrame, length: int, key: int, sample: bytes = b"") -> tuple[DataFrame, int]:
-    """(slot, packed binary: HEAD and ids, compressed) of a table read from files, and the number of sequences."""
-    first, total = offsets(table, length)
+def sequences(table: DataFrame, length: int, key: int, sample: bytes = b"", width: int = 1) -> tuple[DataFrame, int]:
+    """(slot, packed binary: HEAD and ids, compressed) of a table read from files, and the number of sequences.
+
+    width is the bytes of an id: 1 for a table of texts, 2 for one of encoded().
+    """
+    size, (end, pad) = length * width, MARKS[width]
+    first, total = offsets(table, size)
     shared = table.sparkSession.sparkContext.broadcast(first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,14 +133,15 @@ def sequences(table: DataFrame, length: int, key: int, sample: bytes = b"") -> t
             for a in range(0, len(batch), 1000):
                 numbers, records = [], []
                 for i in range(a, min(a + 1000, len(batch))):
-                    data = (texts[i].as_py() or "").encode("utf-8", "surrogatepass") + bytes([END])
-                    n = -(-len(data) // length)
+                    data = texts[i].as_py() or b""
+                    data = (data.encode("utf-8", "surrogatepass") if isinstance(data, str) else data) + end
+                    n = -(-len(data) // size)
                     start = at[splits[i]] if splits[i] in at else shared.value[splits[i]]
                     at[splits[i]] = start + n
                     numbers += range(start, start + n)
                     doc = NO_ID if ids[i] is None else ids[i]
-                    whole = data.ljust(n * length, bytes([PAD]))
-                    records += [pack(struct.pack(HEAD, doc, k, min(length, len(data) - k * length)) + whole[k * length : (k + 1) * length]) for k in range(n)]
+                    whole = data + pad * ((n * size - len(data)) // width)
+                    records += [pack(struct.pack(HEAD, doc, k, min(length, len(data) // width - k * length)) + whole[k * size : (k + 1) * size]) for k in range(n)]
                 slots = feistel(np.array(numbers, np.int64), total, key)
                 yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(records, pa.binary())], ["slot", "packed"])
 
@@ -139,9 +168,9 @@ def write_shards(rows: DataFrame, total: int, path: str, per_shard: int, sample:
     dealt.sortWithinPartitions("shard", "slot").select(F.col("record").cast("string").alias("value"), "shard").write.partitionBy("shard").option("lineSep", "\n").text(path)
 
 
-def read_shards(spark: SparkSession, path: str, length: int, per_shard: int, first_slot: int = 0) -> DataFrame:
+def read_shards(spark: SparkSession, path: str, length: int, per_shard: int, first_slot: int = 0, width: int = 1) -> DataFrame:
     """(slot, shard, byte_offset, doc_id, seq_no, n_tokens, tokens) from first_slot on; earlier shards are not opened."""
-    stride = HEAD_BYTES + length + 1
+    stride = HEAD_BYTES + length * width + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,10 +194,11 @@ def read_shards(spark: SparkSession, path: str, length: int, per_shard: int, fir
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.new_path(spark, "shards")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "_metadata")
-    sample = dictionary(docs)
-    rows, total = sequences(docs, LENGTH, KEY, sample)
+    ids = encoded(docs, bpe.load(), common.new_path(spark, "ids"))
+    sample = dictionary(ids)
+    rows, total = sequences(ids, LENGTH, KEY, sample, width=2)
     if not total:
         return spark.createDataFrame([], "slot long, shard int, byte_offset long, doc_id long, seq_no int, n_tokens int, tokens_sha256 string")
     write_shards(rows, total, path, PER_SHARD, sample)
-    back = read_shards(spark, path, LENGTH, PER_SHARD)
+    back = read_shards(spark, path, LENGTH, PER_SHARD, width=2)
     return back.select("slot", "shard", "byte_offset", "doc_id", "seq_no", "n_tokens", F.sha2("tokens", 256).alias("tokens_sha256"))

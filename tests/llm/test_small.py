@@ -451,3 +451,22 @@ def test_shards_round_trip(spark, tmp_path):
         assert b"".join(parts) == (t or "").encode() + bytes([token_shards.END])
     late = token_shards.read_shards(spark, f"{tmp_path}/out", 16, 50, first_slot=120).collect()
     assert sorted(r["slot"] for r in late) == list(range(120, total))
+
+
+def test_shards_hold_bpe_ids(spark, sf_dir, tmp_path):
+    texts = [None, "", "One text.", "é\n\0 😀" * 40, "words of a text " * 300] + [f"text {i} " * (i % 7) for i in range(30)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "null id")]
+    vocabulary = bpe.load()
+    ids = token_shards.encoded(odd(spark, rows).repartition(3), vocabulary, f"{tmp_path}/ids")
+    seqs, total = token_shards.sequences(ids, 16, 5, token_shards.dictionary(ids), width=2)
+    token_shards.write_shards(seqs, total, f"{tmp_path}/out", 50, token_shards.dictionary(ids))
+    back = token_shards.read_shards(spark, f"{tmp_path}/out", 16, 50, width=2).orderBy("doc_id", "seq_no").collect()
+    assert sorted(r["slot"] for r in back) == list(range(total)) and {len(r["tokens"]) for r in back} == {32}
+    got = collections.defaultdict(list)
+    for r in back:
+        got[r["doc_id"]] += np.frombuffer(r["tokens"], "<u2").tolist()[: r["n_tokens"]]
+    coder = bpe.Coder(vocabulary)
+    assert got == {d: [*coder.encode([t or ""])[0].tolist(), 0xFFFE] for d, t in rows}
+    # the query's ids are those of the tokenizer
+    n_ids = bpe.op6(spark, sf_dir).agg(F.sum(F.col("n_tokens") + 1)).first()[0]
+    assert token_shards.op10(spark, sf_dir).agg(F.sum("n_tokens")).first()[0] == n_ids
