@@ -2,8 +2,9 @@ r"""Secret scans: fixed patterns, and character Markov models for strings that n
 
 Two first-order Markov models over ASCII characters are trained from labelled samples: random strings (hex, base64 and
 upper-case keys made from digests, and values that the patterns catch) and ordinary identifiers (words of a bounded
-sample of documents, joined as snake_case, kebab-case and plain). A run of `[A-Za-z0-9+/_=-]` of `min_chars` characters
-or more that holds a digit is a secret when the log-likelihood ratio of the two models reaches `min_llr`.
+sample of documents, joined as snake_case, kebab-case, plain, paths and queries, some with a number, and dates and
+numbers). A run of `[A-Za-z0-9+/_=-]` is a secret when the log-likelihood ratio of the two models reaches `min_llr` in some part of it of
+`min_chars` characters or more; the whole run is the span, so a key behind a long path is found with its path.
 
 Everything is DataFrame functions. The driver holds only bigram counts, at most 2 x 128 x 128 numbers.
 
@@ -65,9 +66,13 @@ def labelled_samples(docs: DataFrame, max_docs: int = 2000, n_random: int = 3000
     words = F.regexp_extract_all("text", F.lit("[A-Za-z]{2,}"), F.lit(0))
     w = sample.select(words.alias("w")).where(F.size("w") >= 3)
     part = lambda i, k: F.get("w", i + k)
-    joined = [F.concat_ws(sep, *[part(F.col("i"), k) for k in range(3)]) for sep in ("_", "-", "")]
+    joined = [F.concat_ws(sep, *[part(F.col("i"), k) for k in range(3)]) for sep in ("_", "-", "", "/", "=", "+")]
+    joined += [F.concat_ws(sep, part(F.col("i"), 0), (F.col("i") % 100).cast("string")) for sep in ("_", "-", "")]
     triples = w.select("w", F.explode(F.sequence(F.lit(0), F.size("w") - 3, F.lit(3))).alias("i"))
     ordinary = triples.select(F.explode(F.array(*joined, F.get("w", F.col("i")))).alias("token"))
+    day = F.date_add(F.lit("1970-01-01").cast("date"), (F.col("id") * 7).cast("int")).cast("string")
+    numbers = spark.range(n_random).select(F.explode(F.array(day, F.abs(F.xxhash64("id")).cast("string"))).alias("token"))
+    ordinary = ordinary.unionByName(numbers)
     digest = F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 256)
     base64 = F.base64(F.unhex(digest))
     forms = [F.substring(digest, 1, 40), base64, F.regexp_replace(F.upper(base64), "[^A-Z0-9]", ""), F.translate(base64, "+/", "-_")]
@@ -102,12 +107,37 @@ def llr(token: Column, model: list[float]) -> Column:
     return F.aggregate(codes, F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("prev")), add, lambda acc: acc["s"])
 
 
+def best_llr(token: Column, model: list[float], min_chars: int) -> Column:
+    """The highest log-likelihood ratio of the parts of min_chars characters or more of an ASCII string column.
+
+    A part's first character is given; that of the string counts where it raises the ratio, so no string has less than llr().
+    """
+    table = F.split(F.lit(",".join(map(str, model))), ",").cast("array<double>")
+    codes = F.transform(F.split(token, ""), lambda c: F.ascii(c))
+    # state: the sum up to this character, the sum up to the last one that a part may begin with, and the least of those
+    zero = F.lit(0.0)
+    start = F.struct(zero.alias("s"), F.lit(0).alias("prev"), F.lit(0).alias("i"), zero.alias("lag"), F.lit(0).alias("lag_prev"), zero.alias("low"), F.lit(float("-inf")).alias("best"))
+    pair = lambda a, b: F.get(table, a * 128 + b)
+
+    def step(acc: Column, x: Column) -> Column:
+        c, old = x["c"], x["old"]
+        s = acc["s"] + pair(acc["prev"], c)
+        lag = F.when(old.isNull(), zero).otherwise(acc["lag"] + pair(acc["lag_prev"], F.coalesce(old, F.lit(0))))
+        low = F.least(acc["low"], lag)
+        best = F.when(acc["i"] + 1 >= min_chars, F.greatest(acc["best"], s - low)).otherwise(acc["best"])
+        return F.struct(s.alias("s"), c.alias("prev"), (acc["i"] + 1).alias("i"), lag.alias("lag"), F.coalesce(old, F.lit(0)).alias("lag_prev"), low.alias("low"), best.alias("best"))
+
+    early = F.concat(F.array_repeat(F.lit(None).cast("int"), min_chars - 1), codes)
+    both = F.slice(F.arrays_zip(codes.alias("c"), early.alias("old")), F.lit(1), F.size(codes))
+    return F.aggregate(both, start, step, lambda acc: acc["best"])
+
+
 def markov_spans(text: Column, model: list[float], min_chars: int, min_llr: float) -> Column:
     pattern = CANDIDATE[:-1] + f"{{{min_chars},}}"
-    return find(text, pattern, pattern, 3, lambda m: m.rlike("[0-9]") & (llr(m, model) >= min_llr))
+    return find(text, pattern, pattern, 3, lambda m: best_llr(m, model, min_chars) >= min_llr)
 
 
-def scan(docs: DataFrame, model: list[float], min_chars: int = 20, min_llr: float = 12.0) -> DataFrame:
+def scan(docs: DataFrame, model: list[float], min_chars: int = min(MIN_ASSIGN, MIN_ACCESS, MIN_HEX), min_llr: float = 12.0) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base, spans): base and spans are arrays of (start, kind, end), sorted."""
     text = F.coalesce(F.col("text"), F.lit(""))
     kinds = [*pattern_spans(text), markov_spans(text, model, min_chars, min_llr)]

@@ -70,6 +70,28 @@ def test_secret_model_on_held_out_strings(spark, sf_dir):
     assert "markov:4:36" in found.split(",") or "hex" in found
 
 
+def test_secrets_without_digits_short_or_behind_a_path(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = secrets.train(secrets.labelled_samples(docs, n_random=1000))
+    rnd = random.Random(7)
+    letters, base64 = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    key = lambda signs, n: "".join(rnd.choice(signs) for _ in range(n))
+    words = docs.select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{3,}"), F.lit(0))).alias("w")).limit(2000).toPandas()["w"].tolist()
+    path = lambda: "/".join(rnd.choice(words) for _ in range(25)) + "/"
+    kinds = {"letters": [key(letters, 32) for _ in range(60)], "short": [key(base64, 18) for _ in range(60)], "behind": [path() + key(base64, 32) for _ in range(60)]}
+    plain = {"paths": [path() for _ in range(60)], "names": ["-".join(rnd.choice(words) for _ in range(4)) + f"-{rnd.randrange(100)}" for _ in range(60)], "numbers": [f"{rnd.randrange(10**15, 10**16)}" for _ in range(60)], "dates": [f"20{rnd.randrange(10, 30)}-{rnd.randrange(10, 13)}-{rnd.randrange(10, 29)}-{rnd.randrange(10, 24)}" for _ in range(60)]}
+    markov = secrets.markov_spans(F.col("t"), model, 12, 12.0)
+    share = lambda texts: np.mean([bool(r[0]) for r in table(spark, [("see " + t + " here",) for t in texts], "t string").select(F.size(markov) > 0).collect()])
+    found = {k: share(v) for k, v in {**kinds, **plain}.items()}
+    assert min(found[k] for k in kinds) > 0.9, found
+    assert max(found[k] for k in plain) < 0.05, found
+    # every part by plain sums
+    score = lambda t: max(sum(model[ord(a) * 128 + ord(b)] for a, b in zip(t[i:j], t[i + 1 : j])) + (max(model[ord(t[0])], 0) if i == 0 else 0) for i in range(len(t)) for j in range(i + 12, len(t) + 1))
+    some = [x for v in (*kinds.values(), *plain.values()) for x in v[:3]] + ["a" * 12]
+    got = [r[0] for r in table(spark, [(x,) for x in some], "t string").select(secrets.best_llr(F.col("t"), model, 12)).collect()]
+    assert np.allclose(got, [score(x) for x in some])
+
+
 # 2 WARC
 
 
