@@ -13,6 +13,15 @@ SEPARATORS = {"IPAMERI": "AUTENTICAÇÂO NO VERSO", "BURITI_ALEGRE": "AUTENTICA
 FILE_NAMES = {"IPAMERI": "Águas de Ipameri", "BURITI_ALEGRE": "Buriti Alegre", "DEMAE": "DEMAE", "SAAE_ABADIANIA": "SAAE Abadiânia", "SAAE_CORUMBA": "SAAE Corumbá", "SAAE_MINEIROS": "SAAE Mineiros", "CODEGO": "Codego", "SAE": "SAE Catalão"}
 
 
+#: Orders of a rendered file, about: files grow in number with the orders, not in size.
+FILE_ORDERS = 5_000
+
+
+def part(n: Column, key: Column, size: int = FILE_ORDERS) -> Column:
+    """The file that a row goes to, of as many as n rows need."""
+    return F.pmod(F.xxhash64(key), F.ceil(n / size))
+
+
 def br(number: Column) -> Column:
     """1234.5 -> 1.234,50"""
     return F.translate(F.format_number(number, 2), ",.", ".,")
@@ -86,10 +95,12 @@ def grouped_documents(orders: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws("/", F.lit("Saneago"), name).alias("path"), name.alias("file_name"), F.lit("Saneago").alias("dir"), content.alias("content"))
 
 
-def meter_documents(orders: DataFrame) -> DataFrame:
-    """DOC rows: one meter report a month, a block of two meters for each order of it (the last one wins)."""
-    fields = order_fields(orders)
+def meter_documents(orders: DataFrame, size: int = FILE_ORDERS) -> DataFrame:
+    """DOC rows: meter reports of a month and about size orders, a block of two meters for each (the last one wins)."""
+    month = F.date_format("o_orderdate", "MM-yyyy").alias("month")
+    counts = orders.groupBy(month).agg(F.count("*").alias("n"))
+    fields = order_fields(orders).select("*", month).join(counts, "month")
     block = F.concat(F.lit("Conta Nº: "), F.col("number"), F.lit("-"), F.col("digit"), F.lit("\nHidrômetro: X1\nlinha\nHidrometro: M"), F.col("account"), F.lit("\n"))
-    months = fields.groupBy(F.date_format("o_orderdate", "MM-yyyy").alias("month")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", block.alias("b")))), lambda x: x["b"]), "").alias("blocks"))
-    name = F.concat(F.lit("saneago_analitica_"), F.col("month"), F.lit(".txt"))
+    months = fields.groupBy("month", part(F.col("n"), F.col("o_orderkey"), size).alias("part")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", block.alias("b")))), lambda x: x["b"]), "").alias("blocks"))
+    name = F.concat(F.lit("saneago_analitica_"), F.col("month"), F.lit("_"), F.col("part").cast("string"), F.lit(".txt"))
     return months.select(F.concat_ws("/", F.lit("Saneago"), name).alias("path"), name.alias("file_name"), F.lit("Saneago").alias("dir"), F.concat(F.lit("Hidrômetro: X0\n"), F.col("blocks"), F.lit("Conta Nº 1-1\nsem medidor\n")).alias("content"))

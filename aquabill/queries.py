@@ -226,11 +226,14 @@ def incremental_twice(spark, d):
 def stream_load(spark, d):
     """Bill texts arrive as files; the stream is run twice with checkpoints of their own and adds each bill once."""
     root = scratch(spark)
-    docs = render.documents(table(spark, d, "orders"), ["DEMAE"])
-    whole = docs.groupBy((F.xxhash64("path") % 8).alias("part")).agg(F.array_join(F.collect_list("content"), "\nautenticação no verso\n").alias("value"))
-    whole.select("value").repartition(4).write.text(f"{root}/in/DEMAE")
+    orders = table(spark, d, "orders")
+    docs = render.documents(orders, ["DEMAE"])
+    n = max(8 * render.FILE_ORDERS, orders.count())  # eight files at least
+    whole = docs.groupBy(render.part(F.lit(n), F.col("path")).alias("part")).agg(F.array_join(F.collect_list("content"), "\nautenticação no verso\n").alias("value"))
+    n_files = -(-n // (2 * render.FILE_ORDERS))
+    whole.select("value").repartition(n_files).write.option("maxRecordsPerFile", 2).text(f"{root}/in/DEMAE")
     for i in range(2):
-        load_stream(spark, f"{root}/in", f"{root}/store", f"{root}/checkpoint{i}", max_files=2).awaitTermination()
+        load_stream(spark, f"{root}/in", f"{root}/store", f"{root}/checkpoint{i}", max_files=n_files // 2).awaitTermination()
     return files.read_store(spark, f"{root}/store").select("EMPRESA", *KEYS, "VALOR_TOTAL")
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from test_extraction import GROUPED, REPORT, TEXTS
 
 from aquabill.operators import enrich, meters
-from aquabill.plans import load, pipeline
+from aquabill.plans import load, pipeline, render
 from aquabill.schema import BILL
 from aquabill.sources import files
 from aquabill.streaming.load import load_stream
@@ -109,3 +109,11 @@ def test_redistribute(spark):
     rows = spark.createDataFrame([(i, *v, *f) for i, (v, f, _) in enumerate(cases)], "i int, VALOR_AGUA double, VALOR_ESGOTO double, VALOR_TAXAS_EXTRAS double, AGUA boolean, ESGOTO boolean, SMRSU boolean")
     got = enrich.redistribute(rows).orderBy("i").collect()
     assert [(r["VALOR_AGUA"], r["VALOR_ESGOTO"], r["VALOR_TAXAS_EXTRAS"]) for r in got] == [c[2] for c in cases]
+
+
+def test_rendered_reports_grow_in_number(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    largest = orders.groupBy(F.date_format("o_orderdate", "yyyyMM")).count().agg(F.max("count")).first()[0]
+    docs = render.meter_documents(orders, size=3).select("path", F.regexp_count("content", F.lit("linha")).alias("n")).collect()
+    assert sum(r["n"] for r in docs) == orders.count() and len({r["path"] for r in docs}) == len(docs)
+    assert max(r["n"] for r in docs) < largest * 0.6
