@@ -3,8 +3,8 @@ r"""BPE encoding and decoding by batched numpy merge rounds.
 A text is split at special tokens, normalised (NFC, lower case), and cut into words by the tokenizer's own pattern. Words
 that a worker has not seen are encoded together: the symbols of all of them lie in one flat array, and each round looks
 up all neighbouring pairs by binary search over the sorted pair keys, takes every word's lowest-rank pair and merges its
-occurrences from left to right. Texts are then gathered from the word table. A worker keeps at most MAX_WORDS words, and
-works through a batch in chunks of CHUNK_CHARS characters, so its memory does not grow with the input.
+occurrences from left to right. Texts are then gathered from the word table. A task keeps about MAX_WORDS words, which go
+with it, and works through a batch in parts of a bounded size, so its memory does not grow with the input.
 
 Merging all occurrences of a pair in one round equals merging them one by one unless a merged symbol enters a pair of lower
 rank; `Vocabulary` checks that, and merges only the leftmost occurrence for such ranks.
@@ -27,9 +27,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aquabill.llm import common
+
 TOKENIZER = "word_bpe_49k.json"
-MAX_WORDS = 250_000
-CHUNK_CHARS = 2_000_000
+MAX_WORDS = 100_000
 #: Letters, numbers and blanks of Latin-1, for patterns that run on most texts without Unicode tables.
 LATIN = {r"\p{L}": "a-zA-Zªµºß-öø-ÿÀ-ÖØ-Þ", r"\p{N}": "0-9²³¹¼-¾", r"\s": "\t-\r \x85\xa0"}
 #: Rank of a pair that no merge joins.
@@ -74,6 +75,14 @@ class Vocabulary:
         np.minimum.at(first_use, left, rank)
         np.minimum.at(first_use, right, rank)
         self.one_by_one = first_use[made] < rank
+        # ranks of all pairs of two bytes, by the same search: the first round asks for nothing else
+        pairs = self.inner[:, None] * self.size + np.stack([self.inner, self.last])[:, None, :]
+        self.byte_ranks = self.rank_of(pairs.ravel()).reshape(2, 256, 256)
+
+    def rank_of(self, pairs: np.ndarray) -> np.ndarray:
+        """Ranks of pair keys by binary search, NONE for pairs that no merge joins."""
+        found = np.minimum(np.searchsorted(self.keys, pairs), len(self.keys) - 1)
+        return np.where(self.keys[found] == pairs, self.ranks[found], NONE)
 
 
 class Coder:
@@ -143,7 +152,10 @@ class Coder:
         ends = np.cumsum(lengths)[lengths > 0] - 1
         symbols[ends] = self.v.last[data[ends]]
         done_symbols, done_owner = [], []
-        ranks = self._ranks(symbols, owner, np.arange(len(symbols)))
+        ends_word = np.zeros(len(data) + 1, np.int8)
+        ends_word[ends] = 1
+        ranks = np.append(self.v.byte_ranks[ends_word[1:-1], data[:-1], data[1:]], NONE) if len(data) else np.zeros(0, np.int64)
+        ranks[ends] = NONE  # no pair spans two words
         while len(symbols):
             first = np.flatnonzero(np.diff(owner, prepend=-1))
             best = np.repeat(np.minimum.reduceat(ranks, first), np.diff(first, append=len(owner)))
@@ -181,10 +193,9 @@ class Coder:
         out = np.full(len(at), NONE)
         inside = np.flatnonzero(at + 1 < len(symbols))
         left = at[inside]
-        pair = symbols[left] * self.v.size + symbols[left + 1]
-        found = np.minimum(np.searchsorted(self.v.keys, pair), len(self.v.keys) - 1)
-        known = (self.v.keys[found] == pair) & (owner[left] == owner[left + 1])
-        out[inside[known]] = self.v.ranks[found[known]]
+        same = owner[left] == owner[left + 1]
+        left = left[same]
+        out[inside[same]] = self.v.rank_of(symbols[left] * self.v.size + symbols[left + 1])
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -192,42 +203,19 @@ class Coder:
         return " ".join(map(self.v.tokens.__getitem__, ids))
 
 
-_coders: dict[str, Coder] = {}
-
-
-def coder(name: str, vocabulary: Vocabulary) -> Coder:
-    """A worker process keeps its word table from task to task."""
-    if name not in _coders:
-        _coders[name] = Coder(vocabulary)
-    return _coders[name]
-
-
-def chunks(texts: list[str], chars: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about so many characters; one longer text is a range of its own."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if i > start and size + len(t) > chars:
-            yield start, i
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def load(path: str | None = None) -> Vocabulary:
     return Vocabulary(path or public_tokenizers.path(TOKENIZER))
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, name: str = TOKENIZER, decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, decoded: bool = False) -> DataFrame:
     """(doc_id, ids array<int>) of each row's whole text, and decoded: the string that the ids decode to."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # of the vocabulary's size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(name, shared.value)
+        c = Coder(shared.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in chunks(texts):
-                ids, starts = c.encode(texts[a:b])
+            for a, b, texts in common.text_parts(batch.column("text")):
+                ids, starts = c.encode(texts)
                 columns = [batch.column("doc_id").slice(a, b - a), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))]
                 if decoded:
                     whole = ids.tolist()

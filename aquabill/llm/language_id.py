@@ -6,7 +6,7 @@ prediction is the language of the highest posterior under equal priors. Piece pr
 maximisation from the word counts of a bounded sample: about `per_lang` labelled documents a language, chosen by a hash.
 
 A word is a run of letters, lower-cased; words over MAX_WORD letters are cut every MAX_WORD letters, so whole texts count.
-The words of a chunk of texts are looked up once each, and a worker keeps at most MAX_WORDS of them.
+The words of a part of a batch are looked up once each, and a task keeps about MAX_WORDS of them.
 
 Defined results: null text or text without a letter is `und` with score 0. Ties go to the language that sorts first. With no
 labelled document every text is `und`. Rows are independent, so repeated rows repeat and an empty table stays empty.
@@ -25,13 +25,13 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aquabill.llm.bpe import chunks
+from aquabill.llm import common
 
 VOCABULARY = "piece_bpe_32k.model"
 UNKNOWN = "und"
 MARK = "▁"
 WORD = re.compile(r"[^\W\d_]+")
-MAX_PIECE, MAX_WORD, MAX_WORDS = 10, 32, 200_000
+MAX_PIECE, MAX_WORD, MAX_WORDS = 10, 32, 100_000
 #: Probability of a letter that no piece holds, and pseudo-count of a piece.
 RARE, PSEUDO = 1e-7, 0.01
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -224,9 +224,6 @@ class Scorer:
         return total[ends[1:]] - total[ends[:-1]], number[ends[1:]] - number[ends[:-1]]
 
 
-_scorers: dict[int, tuple[object, Scorer]] = {}
-
-
 def predictor(spark: SparkSession, langs: list[str], vocabulary: list[str], p: np.ndarray):
     """A column function: text -> struct(lang, score)."""
     shared = spark.sparkContext.broadcast((vocabulary, p))  # the vocabulary's size times the number of languages
@@ -235,13 +232,12 @@ def predictor(spark: SparkSession, langs: list[str], vocabulary: list[str], p: n
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(*shared.value)
         for batch in batches:
-            texts = [t or "" for t in batch.to_pylist()]
             names, scores = [], []
-            for a, b in chunks(texts):
+            for a, b, texts in common.text_parts(batch):
                 if not langs:
                     names, scores = names + [UNKNOWN] * (b - a), scores + [0.0] * (b - a)
                     continue
-                like, n = scorer.score(texts[a:b])
+                like, n = scorer.score(texts)
                 best = like.argmax(axis=1)
                 posterior = 1 / np.exp(like - like.max(axis=1, keepdims=True)).sum(axis=1)
                 names += [langs[k] if m else UNKNOWN for k, m in zip(best, n)]
