@@ -2,7 +2,8 @@ r"""MinHash near-dedup: exact Jaccard links between word-shingle sets, found by
 
 1. Each text is sketched once: number of distinct shingles, a 128-bit hash of its words, `HASHES` universal hash minima,
    and a hash of each band of `ROWS` minima.
-2. Texts with equal words are one node, named by the smallest doc_id, so a group of copies costs one node.
+2. Texts with equal words are one node, named by the smallest doc_id, so a group of copies costs one node. Where a doc_id has
+   several texts, their nodes are linked.
 3. Nodes that share a band hash are in one bucket. A bucket never emits all its pairs: every member is paired with the
    bucket's smallest node and, in buckets of more than `SUB` nodes, with the leader of a random subgroup of about SUB.
 4. Pairs are confirmed on the full shingle sets, and the links' components come from alternating large-star and small-star.
@@ -11,15 +12,16 @@ r"""MinHash near-dedup: exact Jaccard links between word-shingle sets, found by
    their minima or more are confirmed there and then on the full sets, and only links leave the task. With these links
    the components are final, since every pair of two components that shares a bucket has been judged.
 
-A pair at the threshold t shares no band with probability (1 - t^4)^25, 2e-6 at 0.8 and 9e-9 at 0.85, and is cut by
-signature with about 1e-4 if no bucket leader found it before. Shingles are compared by 64-bit hashes.
+A pair at the threshold t shares no band with probability (1 - t^4)^25, 2e-6 at 0.8 and 9e-9 at 0.85. The cut lies six standard
+deviations of the agreement below the threshold (0.56 for 0.8, 0.63 for 0.85), so a pair that no bucket leader found is lost
+there with about 1e-8. Shingles are compared by 64-bit hashes.
 
 Step 5 compares each unlinked member with its bucket, so its work is quadratic in what is alike and yet no link or chain of
 links connects; its memory is bounded by the blocks, and no pairs are emitted.
 
 Defined results: A-Z are lower-cased, words are runs without ASCII white space. Fewer words than a shingle has give one
-shingle; null text or text without words has none and is linked with nothing. Rows with one doc_id are one node. Rows
-without a doc_id are linked with nothing. An empty table gives an empty result.
+shingle; null text or text without words has none and is linked with nothing. Rows with one doc_id are one document, whose texts
+are all compared and linked. Rows without a doc_id are linked with nothing. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ BANDS, ROWS = 25, 4
 HASHES = BANDS * ROWS
 #: Nodes of a subgroup; nodes and shingles of a block.
 SUB, BLOCK, BLOCK_SHINGLES = 64, 1024, 500_000
-MAX_WORDS = 300_000
+MAX_WORDS = 100_000
 _LOWER = bytes.maketrans(common.UPPER.encode(), common.LOWER.encode())
 _random = np.random.default_rng(20240601)
 _A = _random.integers(1, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -52,9 +54,6 @@ class _WordHashes(dict):
         return h
 
 
-_hashes = _WordHashes()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _MIX[1]
     x = (x ^ (x >> np.uint64(27))) * _MIX[2]
@@ -65,13 +64,13 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
 
 
-def shingles(own: list[bytes], k: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the k-word shingles."""
+def shingles(own: list[bytes], k: int, hashes: _WordHashes) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the k-word shingles. hashes keeps those of words, about MAX_WORDS of them."""
     if not own:
         return np.zeros(0, np.uint64)
-    if len(_hashes) > MAX_WORDS:
-        _hashes.clear()
-    h = np.fromiter(map(_hashes.__getitem__, own), np.uint64, len(own))
+    if len(hashes) > MAX_WORDS:
+        hashes.clear()
+    h = np.fromiter(map(hashes.__getitem__, own), np.uint64, len(own))
     k = min(k, len(own))
     s = np.zeros(len(own) - k + 1, np.uint64)
     for j in range(k):
@@ -79,6 +78,11 @@ def shingles(own: list[bytes], k: int) -> np.ndarray:
     return np.unique(s)
 
 
+def whole_hash(own: list[bytes]) -> int:
+    """128-bit hash of a text's words."""
+    return xxhash.xxh3_128_intdigest(b" ".join(own))
+
+
 def minima(s: np.ndarray) -> np.ndarray:
     """The upper halves of the HASHES minima."""
     out = np.full(HASHES, np.iinfo(np.uint64).max)
@@ -100,13 +104,14 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, w1, w2, n_shingles, bands array<long>, signature binary) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
         for batch in batches:
             n = len(batch)
             keys, sizes, signatures = np.zeros((n, 2), np.uint64), np.zeros(n, np.int64), np.zeros((n, HASHES), np.uint32)
             for i, t in enumerate(batch.column("text")):
                 own = words(t.as_py())
-                s = shingles(own, k)
-                whole = xxhash.xxh3_128_intdigest(b" ".join(own))
+                s = shingles(own, k, hashes)
+                whole = whole_hash(own)
                 keys[i], sizes[i], signatures[i] = (whole >> 64, whole & ((1 << 64) - 1)), len(s), minima(s)
             flat = np.ascontiguousarray(band_hashes(signatures)).ravel()
             bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(flat))
@@ -119,23 +124,26 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc, s): the distinct shingle hashes of each row, sorted."""
+    """(doc, w1, s): the distinct shingle hashes of each row, sorted, and w1 as in sketch()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
         for batch in batches:
             texts = batch.column("text")
             for a in range(0, len(batch), 500):
-                sets = [np.sort(shingles(words(t.as_py()), k).view(np.int64)) for t in texts.slice(a, 500)]
+                own = [words(t.as_py()) for t in texts.slice(a, 500)]
+                sets = [np.sort(shingles(w, k, hashes).view(np.int64)) for w in own]
+                w1 = np.array([whole_hash(w) >> 64 for w in own], np.uint64).view(np.int64)
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(a, 500), lists], ["doc", "s"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(a, 500), pa.array(w1), lists], ["doc", "w1", "s"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc"), "text").mapInArrow(run, "doc long, s array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc"), "text").mapInArrow(run, "doc long, w1 long, s array<long>")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= percent * union."""
-    left = sets.select(F.col("doc").alias("a"), F.col("s").alias("sa"))
+    left = sets.select(F.col("doc").alias("a"), F.col("s").alias("sa"))  # of every text of a doc_id
     right = sets.select(F.col("doc").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     # the side that many pairs name (a leader) joins last, so that its set is copied only where it is compared
@@ -201,7 +209,7 @@ def unresolved_links(members: DataFrame, found: DataFrame, signatures: DataFrame
     own = ["h", "band", "doc", "comp"]
     told = open_.select(*own, F.lit(False).alias("asks"), every(n_asking).alias("x"), block(n_members).alias("y"))
     asking = open_.where("comp <> main").select(*own, F.lit(True).alias("asks"), block(n_asking).alias("x"), every(n_members).alias("y"))
-    rows = told.unionByName(asking).join(signatures.join(sets, "doc"), "doc")
+    rows = told.unionByName(asking).join(signatures.join(sets, ["doc", "w1"]).drop("w1"), "doc")
 
     def compare(table):
         asks = table.column("asks").to_numpy()
@@ -226,29 +234,36 @@ def unresolved_links(members: DataFrame, found: DataFrame, signatures: DataFrame
     return rows.groupBy("h", "x", "y").applyInArrow(compare, "a long, b long").distinct()
 
 
+def own_links(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Links (a, b) of each doc_id that has several texts to the nodes of its texts."""
+    several = rows.groupBy("doc_id").agg(F.min("w1").alias("low"), F.max("w1").alias("high"), F.count("*").alias("doc_rows")).where("low <> high")
+    texts = common.join_by_key(rows.select("doc_id", "w1", "w2"), several, ["doc_id"], "doc_rows").select("doc_id", "w1", "w2")
+    return common.join_by_key(texts, groups, ["w1", "w2"], "n").select(F.col("doc_id").alias("a"), F.col("doc").alias("b")).distinct()
+
+
 def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row per row of docs."""
-    own = common.materialise(sketch(docs, k), "near-sketches")
+    own = common.materialise(sketch(docs, k).withColumn("row", F.monotonically_increasing_id()), "near-sketches")
     some, none = own.where("n_shingles > 0 and doc_id is not null"), own.where("n_shingles = 0 or doc_id is null")
-    copies = some.groupBy("w1", "w2").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n"))
-    groups = common.materialise(copies, "near-groups")
-    nodes = own.where("n_shingles > 0").join(groups.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "doc")
+    copies = some.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("n"))
+    groups = common.materialise(copies.select("w1", "w2", F.col("first.doc_id").alias("doc"), F.col("first.row").alias("row"), "n"), "near-groups")
+    nodes = some.join(groups.select("row"), "row", "left_semi").withColumnRenamed("doc_id", "doc")  # one row a node
     entries = nodes.select("doc", "n_shingles", F.posexplode("bands").alias("band", "h"))
     buckets = common.materialise(entries.groupBy("h").agg(F.count("*").alias("size"), F.min("doc").alias("lead")).where("size > 1"), "near-buckets")
     members = common.materialise(common.join_by_key(entries, buckets, ["h"], "size"), "near-members")
-    signatures = nodes.join(members.select("doc").distinct(), "doc", "left_semi").select("doc", "signature")
+    signatures = nodes.join(members.select("doc").distinct(), "doc", "left_semi").select("doc", "w1", "signature")
     asked = members.select(F.col("doc").alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, "doc_id", "left_semi")
-    sets = common.materialise(shingle_sets(texts, k).dropDuplicates(["doc"]), "near-sets")
+    sets = common.materialise(shingle_sets(texts, k).dropDuplicates(["doc", "w1"]), "near-sets")
 
     big = members.where(F.col("size") > SUB).withColumn("sub", F.pmod(F.xxhash64("doc", "h"), F.ceil(F.col("size") / SUB)))
     heads = big.groupBy("h", "sub").agg(F.min_by("doc", F.xxhash64("h", "doc")).alias("head"))
     led = big.join(heads, ["h", "sub"]).select(F.least("head", "doc").alias("a"), F.greatest("head", "doc").alias("b"))
     pairs = members.select(F.col("lead").alias("a"), F.col("doc").alias("b")).unionByName(led)
     pairs = common.materialise(pairs.where("a <> b").distinct(), "near-pairs")
-    links = common.materialise(confirm(pairs, sets, percent), "near-links")
+    links = common.materialise(confirm(pairs, sets, percent).unionByName(own_links(some, groups)), "near-links")
     found = common.materialise(components(links), "near-components")
-    cut = percent / 100 - 3.7 * (percent / 100 * (1 - percent / 100) / HASHES) ** 0.5
+    cut = percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / HASHES) ** 0.5
     more = common.materialise(unresolved_links(members, found, signatures, sets, percent, cut), "near-links")
     if not more.isEmpty():
         # the stars found so far stand for their links
