@@ -8,16 +8,19 @@ in the item it begins.
 
 A window of m characters with at most e edits shares at least m + 1 - q (e + 1) of its q-grams with that part, and all of
 them lie on diagonals (place in the document less place in the item) that differ by at most e. So shared q-grams are
-counted in bands of 2 * STEP diagonals that overlap by half, for an item first and for its windows where that is enough;
-windows that meet the bound in a band are verified by an alignment over the band's diagonals. The bound never drops a true match as long as e < STEP.
+counted (each place of the window once) in bands of 2 * step diagonals that overlap by half, for an item first and for its
+windows where that is enough; windows that meet the bound in a band are verified by an alignment over the band's diagonals.
+The bound never drops a true match: q is Q, or less where a window's edits need that for the bound to be 1 or more, and step
+is STEP, or more where edits need that. A `max_errors` for which q would fall below LEAST_Q is refused.
 
-Documents are worked through in chunks of CHUNK characters, so memory does not grow with the input. Benchmark items are a
+Documents are worked through in parts of CHUNK bytes, and shared q-grams of a part at most HITS at a time, so memory does not
+grow with the input; one text is held whole. Benchmark items are a
 stated query set: they are read in blocks of at most `block_chars` characters, each block one broadcast index and one pass
 over the documents, so the benchmark may grow too.
 
-Defined results: null and empty texts and items match nothing. Windows shorter than 2 q characters take no edits, and items
-shorter than q match only a document that is equal to them after normalisation. Rows repeat as they do in the input; rows
-of items that repeat an item_id count as that item. Empty tables give an empty result.
+Defined results: null and empty texts and items match nothing. Items shorter than LEAST match only a document that is equal to
+them after normalisation. Rows repeat as they do in the input; rows of items that repeat an item_id count as that item. Empty
+tables give an empty result.
 """
 
 from __future__ import annotations
@@ -30,9 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aquabill.llm import common
+
 Q, WINDOW, STEP = 12, 100, 8
 PART, STRIDE = 50, 5
-CHUNK, BATCH, TRIES = 1_000_000, 2048, 1_000_000
+#: Characters of an item that is searched for inside of documents, and the shortest q-grams.
+LEAST, LEAST_Q = 12, 4
+CHUNK, BATCH, TRIES, HITS = 1_000_000, 2048, 250_000, 1_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 RESULT = "doc_id long, item_id long, start int, end int, edits int"
 _wordish: list[np.ndarray] = []
@@ -76,11 +83,11 @@ def normalised(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, place, np.concatenate([[0], stops + 1])
 
 
-def qgrams(codes: np.ndarray) -> np.ndarray:
-    """Hash of the q-gram that starts at each place; shorter by Q - 1."""
-    n = len(codes) - Q + 1
+def qgrams(codes: np.ndarray, q: int) -> np.ndarray:
+    """Hash of the q-gram that starts at each place; shorter by q - 1."""
+    n = len(codes) - q + 1
     h = np.zeros(max(n, 0), np.uint64)
-    for j in range(Q if n > 0 else 0):
+    for j in range(q if n > 0 else 0):
         h = h * BASE + codes[j : j + n]
     return h ^ (h >> np.uint64(29))
 
@@ -100,33 +107,35 @@ class Index:
         for item, text in items:
             codes = normalised([text])[0]  # a zero at the end
             n = len(codes) - 1
-            if n < Q:
+            if n < LEAST:
                 if n:
                     self.whole.setdefault(codes[:-1].tobytes(), []).append(item)
                 continue
             own = window_starts(n, window)
             names += [item] * len(own)
             cuts += [(at + s, m) for s, m in own]
-            sizes.append((at, len(own)))
+            sizes.append((at, n, len(own)))
             texts.append(codes)
             at += n + 1
         self.items = np.array(names, np.int64)
         self.starts, self.lengths = np.array(cuts, np.int64).reshape(-1, 2).T
-        self.item_starts, self.n_windows = np.array(sizes, np.int64).reshape(-1, 2).T
+        self.item_starts, self.item_lengths, self.n_windows = np.array(sizes, np.int64).reshape(-1, 3).T
         self.first_window = np.cumsum(self.n_windows) - self.n_windows
         self.codes = np.concatenate(texts) if texts else np.zeros(0, np.uint32)
-        self.edits = np.where(self.lengths < 2 * Q, 0, np.minimum(np.floor(self.lengths * max_errors), np.minimum((self.lengths + 1) // Q - 2, STEP - 1))).astype(np.int64)
-        self.edits = np.maximum(self.edits, 0)
-        self.least = self.lengths + 1 - Q * (self.edits + 1)
+        self.edits = np.floor(self.lengths * max_errors + 1e-9).astype(np.int64)
+        self.q, self.step = min(Q, int((self.lengths // (self.edits + 1)).min(initial=Q))), max(STEP, int(self.edits.max(initial=0)))
+        if self.q < LEAST_Q:
+            raise ValueError(f"max_errors {max_errors} would need q-grams of {self.q} characters; at least {LEAST_Q} are needed")
+        self.least = self.lengths + 1 - self.q * (self.edits + 1)
         self.item_least = np.minimum.reduceat(self.least, self.first_window) if texts else self.least
-        h = qgrams(self.codes)
+        h = qgrams(self.codes, self.q)
         zeros = np.concatenate([[0], np.cumsum(self.codes == 0)])
-        places = np.flatnonzero(zeros[Q:] == zeros[: len(h)]) if len(h) else np.zeros(0, np.int64)  # within one item
+        places = np.flatnonzero(zeros[self.q :] == zeros[: len(h)]) if len(h) else np.zeros(0, np.int64)  # within one item
         h = h[places]
         order = np.argsort(h, kind="stable")
         self.keys, self.first, self.counts = np.unique(h[order], return_index=True, return_counts=True)
         self.places = places[order]
-        self.shift = STEP * (len(self.codes) // STEP + 4)  # makes diagonals positive
+        self.shift = self.step * (len(self.codes) // self.step + 4)  # makes diagonals positive
         self.seen = np.zeros(1 << 22, bool)
         self.seen[(self.keys >> np.uint64(42)).astype(np.int64)] = True
 
@@ -134,25 +143,45 @@ class Index:
     def windows(self) -> list[np.ndarray]:
         return [self.codes[s : s + m] for s, m in zip(self.starts, self.lengths)]
 
-    def candidates(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, first diagonal) of the bands of diagonals that share enough q-grams."""
-        h = qgrams(codes)
+    def candidates(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(window, first diagonal) of the bands of diagonals that share enough q-grams, some at a time.
+
+        Shared q-grams are gathered from left to right, at most about HITS at once; a band is judged when no later place of
+        the text can be on it.
+        """
+        h = qgrams(codes, self.q)
         at = np.flatnonzero(self.seen[(h >> np.uint64(42)).astype(np.int64)])
         slot = np.minimum(np.searchsorted(self.keys, h[at]), max(len(self.keys) - 1, 0))
         good = self.keys[slot] == h[at] if len(self.keys) else np.zeros(len(at), bool)
         at, slot = at[good], slot[good]
-        n = self.counts[slot]
-        ends = np.cumsum(n)
-        place = self.places[np.repeat(self.first[slot] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-        band = (np.repeat(at, n) - place + self.shift) // STEP
-        # band b covers diagonals from b * STEP up to (b + 2) * STEP; hits are sorted by band and place
-        hits = np.sort(np.concatenate([band << 32 | place, (band - 1) << 32 | place]))
-        item = np.searchsorted(self.item_starts, hits & 0xFFFFFFFF, "right") - 1
+        # of a run of one q-gram (as in 0000...) every step-th place and the last one reach the same bands
+        same = np.concatenate([[False], (slot[1:] == slot[:-1]) & (at[1:] == at[:-1] + 1)])[: len(at)]
+        last = np.append(~same[1:], True)[: len(at)]
+        begin = np.maximum.accumulate(np.where(same, 0, at)) if len(at) else at
+        need = ~same | last | ((at - begin) % self.step == 0)
+        at, slot = at[need], slot[need]
+        ends = np.cumsum(self.counts[slot])
+        open_, a = np.zeros(0, np.int64), 0
+        while a < len(at):
+            done = ends[a - 1] if a else 0
+            b = max(a + 1, int(np.searchsorted(ends, done + HITS, "right")))
+            n = self.counts[slot[a:b]]
+            place = self.places[np.repeat(self.first[slot[a:b]] - (ends[a:b] - n - done), n) + np.arange(ends[b - 1] - done)]
+            band = (np.repeat(at[a:b], n) - place + self.shift) // self.step
+            # band b covers diagonals from b * step up to (b + 2) * step; hits are sorted by band and place, each once
+            hits = np.unique(np.concatenate([open_, band << 32 | place, (band - 1) << 32 | place]))
+            item = np.searchsorted(self.item_starts, hits & 0xFFFFFFFF, "right") - 1
+            until = ((hits >> 32) + 2) * self.step - self.shift + self.item_starts[item] + self.item_lengths[item]
+            over = until < at[b] if b < len(at) else np.ones(len(hits), bool)
+            open_, a = hits[~over], b
+            yield from self._enough(hits[over], item[over])
+
+    def _enough(self, hits: np.ndarray, item: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Windows and diagonals of the bands in which the hits reach a window's bound."""
         new = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (hits[1:] >> 32 != hits[:-1] >> 32)])) if len(hits) else np.zeros(0, np.int64)
         shared = np.diff(np.append(new, len(hits)))
         new = new[shared >= self.item_least[item[new]]]
         item, band = item[new], hits[new] >> 32
-        owners, bands = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         ends = np.cumsum(self.n_windows[item])
         a = 0
         while a < len(item):  # every window of the items, at most TRIES or one item's at a time
@@ -162,24 +191,22 @@ class Index:
             owner = np.repeat(self.first_window[item[a:b]] - (ends[a:b] - n - done), n) + np.arange(ends[b - 1] - done)
             own = np.repeat(band[a:b], n)
             low = own << 32 | self.starts[owner]
-            shared = np.searchsorted(hits, low + self.lengths[owner] - Q, "right") - np.searchsorted(hits, low)
+            shared = np.searchsorted(hits, low + self.lengths[owner] - self.q, "right") - np.searchsorted(hits, low)
             enough = shared >= self.least[owner]
-            owners.append(owner[enough])
-            bands.append(own[enough])
+            if enough.any():
+                yield owner[enough], own[enough] * self.step - self.shift + self.starts[owner[enough]]
             a = b
-        owner = np.concatenate(owners)
-        return owner, np.concatenate(bands) * STEP - self.shift + self.starts[owner]
 
     def verify(self, codes: np.ndarray, owner: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least edits of each window within its band, and the place after its last character."""
         edits, stops = np.zeros(len(owner), np.int64), np.zeros(len(owner), np.int64)
-        width = 2 * STEP + 2 * STEP  # the band and room for edits at both sides
+        width = 4 * self.step  # the band and room for edits at both sides
         for m in np.unique(self.lengths[owner]):
             every = np.flatnonzero(self.lengths[owner] == m)
             for a in range(0, len(every), BATCH):
                 rows = every[a : a + BATCH]
                 pattern = self.codes[self.starts[owner[rows]][:, None] + np.arange(m)[None]]
-                left = diagonal[rows] - STEP
+                left = diagonal[rows] - self.step
                 place = left[:, None] + np.arange(m + width)[None]
                 text = np.where((place >= 0) & (place < len(codes)), codes[np.clip(place, 0, len(codes) - 1)], 0)
                 ramp = np.arange(width)
@@ -199,16 +226,23 @@ class Index:
         if self.whole:
             for t in range(len(texts)):
                 own = codes[starts[t] : starts[t + 1] - 1]
-                for item in self.whole.get(own.tobytes(), []) if len(own) < Q else []:
+                for item in self.whole.get(own.tobytes(), []) if len(own) < LEAST else []:
                     found[t, item] = (0, len(texts[t]), 0)
-        if len(self.items):
-            owner, diagonal = self.candidates(codes)
+        for owner, diagonal in self.candidates(codes) if len(self.items) else []:
             edits, stops = self.verify(codes, owner, diagonal)
-            for k in np.flatnonzero(edits <= self.edits[owner]):
-                last = min(max(int(stops[k]) - 1, 0), len(codes) - 1)
-                t = int(np.searchsorted(starts, last, "right")) - 1
-                first = max(int(stops[k] - self.lengths[owner[k]]), int(starts[t]))
-                key, span = (t, int(self.items[owner[k]])), (int(place[first]), int(place[last]) + 1, int(edits[k]))
+            good = np.flatnonzero(edits <= self.edits[owner])
+            owner, edits, stops = owner[good], edits[good], stops[good]
+            last = np.clip(stops - 1, 0, len(codes) - 1)
+            t = np.searchsorted(starts, last, "right") - 1
+            last = np.maximum(np.minimum(last, starts[t + 1] - 2), starts[t])  # not the zero after the text
+            first = np.maximum(stops - self.lengths[owner], starts[t])
+            pair, which = np.unique(np.stack([t, self.items[owner]]), axis=1, return_inverse=True)
+            which = which.ravel()
+            low, high, least = np.full(pair.shape[1], 1 << 62), np.zeros(pair.shape[1], np.int64), np.full(pair.shape[1], 1 << 62)
+            np.minimum.at(low, which, place[first])
+            np.maximum.at(high, which, place[last] + 1)
+            np.minimum.at(least, which, edits)
+            for key, span in zip(zip(*pair.tolist()), zip(low.tolist(), high.tolist(), least.tolist())):
                 old = found.get(key, span)
                 found[key] = (min(old[0], span[0]), max(old[1], span[1]), min(old[2], span[2]))
         return [(t, item, *span) for (t, item), span in sorted(found.items())]
@@ -228,15 +262,9 @@ def leaks(docs: DataFrame, items: DataFrame, max_errors: float = 0.05, window: i
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
-                start = size = 0
-                hits = []
-                for i in range(len(texts) + 1):
-                    if i == len(texts) or i > start and size + len(texts[i]) > CHUNK:
-                        hits += [(ids[start + t], *rest) for t, *rest in (shared.value.search(texts[start:i]) if i > start else [])]
-                        start, size = i, 0
-                    if i < len(texts):
-                        size += len(texts[i])
+                ids, hits = batch.column("doc_id").to_pylist(), []
+                for a, _, texts in common.text_parts(batch.column("text"), CHUNK):
+                    hits += [(ids[a + t], *rest) for t, *rest in shared.value.search(texts)]
                 columns = list(zip(*hits)) or [[]] * 5
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "item_id", "start", "end", "edits"])
