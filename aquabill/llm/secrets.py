@@ -6,7 +6,7 @@ sample of documents, joined as snake_case, kebab-case, plain, paths and queries,
 numbers). A run of `[A-Za-z0-9+/_=-]` is a secret when the log-likelihood ratio of the two models reaches `min_llr` in some part of it of
 `min_chars` characters or more; the whole run is the span, so a key behind a long path is found with its path.
 
-Everything is DataFrame functions. The driver holds only bigram counts, at most 2 x 128 x 128 numbers.
+Everything is DataFrame functions, and the work for a text grows as its length and the number of its matches. The driver holds only bigram counts, at most 2 x 128 x 128 numbers.
 
 Defined results: null text is empty text. Positions are code points, ends exclusive. A Markov span that overlaps a span of
 a pattern is not reported again. Rows are judged one by one, so repeated rows repeat and an empty table stays empty.
@@ -15,6 +15,7 @@ a pattern is not reported again. Rows are judged one by one, so repeated rows re
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,27 +26,69 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
 KINDS = ["assign", "access", "hex", "markov"]
+MARKOV = KINDS.index("markov")
+#: Places of a text's matches that are gathered at once.
+BLOCK = 128
 CANDIDATE = r"[A-Za-z0-9+/_=-]+"
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def running(values: Column, step: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """What folding an array by an associative step has given up to each place.
+
+    An array that grows in a fold is copied at every place, so places are folded in blocks of BLOCK, each from the fold of
+    the blocks before it: n places cost n * BLOCK / 2 copies, not n * n / 2.
+    """
+    fold = lambda array, start: F.aggregate(array, start, step)
+    block = lambda array, i: F.slice(array, i * BLOCK + 1, F.lit(BLOCK))
+
+    def places(array: Column, start: Column) -> Column:
+        first = F.struct(start.alias("last"), F.array().cast("array<int>").alias("out"))
+        grow = lambda acc, x: let(step(acc["last"], x), lambda y: F.struct(y.alias("last"), F.concat(acc["out"], F.array(y)).alias("out")))
+        return F.aggregate(array, first, grow, lambda acc: acc["out"])
+
+    def blocks(array: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(array) - 1) / BLOCK).cast("int"))
+        totals = F.transform(numbers, lambda i: fold(block(array, i), zero))
+        return let(totals, lambda t: F.flatten(F.transform(numbers, lambda i: places(block(array, i), fold(F.slice(t, F.lit(1), i), zero)))))
+
+    return let(values, lambda array: F.when(F.size(array) > 0, blocks(array)).otherwise(F.array().cast("array<int>")))
+
+
 def find(text: Column, gate: str, pattern: str, kind: int, keep) -> Column:
     """Leftmost non-overlapping matches as an array of (start, kind, end).
 
     Texts without a match of `gate` are not taken apart. `keep` judges a match's text; failing matches are dropped.
     """
-    gaps = F.transform(F.split(text, pattern), lambda p: F.length(p))
-    pairs = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        good = x["hit"].isNotNull() & keep(x["hit"])
-        return F.struct(end.alias("at"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def spans(hits: Column) -> Column:
+        gaps = F.slice(F.transform(F.split(text, pattern), lambda p: F.length(p)), F.lit(1), F.size(hits))
+        ends = running(F.zip_with(gaps, hits, lambda gap, hit: gap + F.length(hit)), lambda a, b: a + b, F.lit(0))
+        span = lambda end, hit: F.when(keep(hit), F.struct((end - F.length(hit)).alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
+        return F.filter(F.zip_with(ends, hits, span), lambda s: s.isNotNull())
+
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.when(text.rlike(gate), let(hits, spans)).otherwise(F.array()).cast(SPAN)
+
+
+def without_overlaps(base: Column, more: Column) -> Column:
+    """Both arrays of spans in order, without those of more that overlap one of base; each span meets its neighbours only."""
+
+    def kept(every: Column) -> Column:
+        own = lambda s: s["kind"] == MARKOV
+        before = running(F.transform(every, lambda s: F.when(own(s), 0).otherwise(s["end"])), lambda a, b: F.greatest(a, b), F.lit(0))
+        top = F.lit((1 << 31) - 1)
+        after = F.reverse(running(F.reverse(F.transform(every, lambda s: F.when(own(s), top).otherwise(s["start"]))), lambda a, b: F.least(a, b), top))
+        near = F.arrays_zip(every.alias("s"), before.alias("before"), after.alias("after"))
+        clear = F.filter(near, lambda x: ~own(x["s"]) | (x["before"] <= x["s"]["start"]) & (x["after"] >= x["s"]["end"]))
+        return F.transform(clear, lambda x: x["s"])
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    return F.when(text.rlike(gate), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+    return F.when(F.size(more) == 0, base).when(F.size(base) == 0, more).otherwise(let(F.array_sort(F.concat(base, more)), kept))
 
 
 def pattern_spans(text: Column) -> list[Column]:
@@ -142,11 +185,10 @@ def scan(docs: DataFrame, model: list[float], min_chars: int = min(MIN_ASSIGN, M
     text = F.coalesce(F.col("text"), F.lit(""))
     kinds = [*pattern_spans(text), markov_spans(text, model, min_chars, min_llr)]
     found = docs.select("doc_id", *[c.alias(f"s{i}") for i, c in enumerate(kinds)])
-    clear = lambda x: ~F.exists("base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
     out = found.withColumn("base", F.array_sort(F.concat("s0", "s1", "s2")))
     return out.select(
         "doc_id", *[F.size(f"s{i}").cast("long").alias(f"n_{KINDS[i]}") for i in range(3)], "base",
-        F.array_sort(F.concat("base", F.filter("s3", clear))).alias("spans"),
+        without_overlaps(F.col("base"), F.col("s3")).alias("spans"),
     )
 
 
