@@ -268,11 +268,18 @@ def test_forward_sums_all_segmentations():
 # 6 BPE
 
 
-def test_bpe_equals_the_library(spark):
+def bpe_library():
     import public_tokenizers
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(public_tokenizers.path(bpe.TOKENIZER))
+    library.no_padding()
+    library.no_truncation()
+    return library
+
+
+def test_bpe_equals_the_library(spark):
+    library = bpe_library()
     rnd = random.Random(1)
     signs = "abcABCéÉßΣσİ '’\"!?.,-_123٣²́ \x1c\x85\xa0漢字가😀\n\t"
     texts = [None, "", "don't WE'LL a<|endoftext|>b<|startoftext|>", "<|endoftext|><|ENDOFTEXT|>", "a" * 3000, "ab" * 20_000, "\0<|endoftext|>"]
@@ -453,42 +460,64 @@ def test_feistel_is_a_permutation(n):
     assert n < 10 or (a != b).any() and abs(np.corrcoef(a, np.arange(n))[0, 1]) < 0.5
 
 
-def test_shards_round_trip(spark, tmp_path):
-    texts = [None, "", "a" * 15, "b" * 16, "c" * 17, "é\n\0" * 40, "x\n" * 5000] + [f"text {i} " * (i % 7) for i in range(60)]
-    rows = [(i, t) for i, t in enumerate(texts)] + [(2, texts[2]), (None, "null id")]
-    odd(spark, rows).repartition(5).write.parquet(f"{tmp_path}/t")
-    read = spark.read.parquet(f"{tmp_path}/t").select("doc_id", "text", "_metadata")
-    sample = token_shards.dictionary(read)
-    seqs, total = token_shards.sequences(read, 16, 5, sample)
-    token_shards.write_shards(seqs, total, f"{tmp_path}/out", 50, sample)
-    back = token_shards.read_shards(spark, f"{tmp_path}/out", 16, 50).collect()
-    assert sorted(r["slot"] for r in back) == list(range(total))
-    assert all((r["shard"], r["byte_offset"]) == (r["slot"] // 50, r["slot"] % 50 * 31) for r in back)
+@pytest.mark.parametrize("width", [2, 4])
+def test_shards_round_trip(spark, tmp_path, width):
+    rnd = random.Random(width)
+    top = token_shards.marks(width)[0] - 1
+    sizes = [None, 0, 15, 16, 17, 300, 5000] + [i % 40 for i in range(60)]
+    rows = [(i, None if n is None else [rnd.choice([0, 7, 258, min(top, (1 << 31) - 1)]) for _ in range(n)]) for i, n in enumerate(sizes)]
+    rows += [(2, rows[2][1]), (None, [1, 2, 3])]
+    table_ = table(spark, [(*r, "x", "y") for r in rows], "doc_id long, ids array<int>, part string, before string").repartition(5)
+    ids = token_shards.encoded(table_, f"{tmp_path}/ids", 16, width=width)
+    trained = token_shards.dictionary(ids, 16, width)
+    seqs, total = token_shards.sequences(ids, 16, 5, trained, width)
+    token_shards.write_shards(seqs, total, f"{tmp_path}/out", 50, trained)
+    back = token_shards.read_shards(spark, f"{tmp_path}/out", 16, 50, width=width).collect()
+    assert sorted(r["slot"] for r in back) == list(range(total)) and total == sum((n or 0) // 16 + 1 for n in sizes) + 2
+    stride = token_shards.HEAD_BYTES + 16 * width + 1
+    assert all((r["shard"], r["byte_offset"]) == (r["slot"] // 50, r["slot"] % 50 * stride) for r in back)
+    end, pad = token_shards.marks(width)
     docs = collections.defaultdict(dict)
     for r in back:
-        assert set(r["tokens"][r["n_tokens"] :]) <= {token_shards.PAD}
-        docs[r["doc_id"]].setdefault(r["seq_no"], []).append(bytes(r["tokens"][: r["n_tokens"]]))
-    for d, t in rows:
-        parts = [docs[d][k][0] for k in sorted(docs[d])]
-        assert b"".join(parts) == (t or "").encode() + bytes([token_shards.END])
-    late = token_shards.read_shards(spark, f"{tmp_path}/out", 16, 50, first_slot=120).collect()
+        own = np.frombuffer(r["tokens"], f"<u{width}").tolist()
+        assert len(own) == 16 and set(own[r["n_tokens"] :]) <= {pad}
+        docs[r["doc_id"]].setdefault(r["seq_no"], []).append(own[: r["n_tokens"]])
+    for d, x in rows:
+        assert [i for k in sorted(docs[d]) for i in docs[d][k][0]] == [*(x or []), end]
+    late = token_shards.read_shards(spark, f"{tmp_path}/out", 16, 50, first_slot=120, width=width).collect()
     assert sorted(r["slot"] for r in late) == list(range(120, total))
+    none = token_shards.encoded(table_.limit(0), f"{tmp_path}/none", 16, width=width)
+    assert token_shards.sequences(none, 16, 5, token_shards.dictionary(none, 16, width), width)[1] == 0
+    if width == 2:
+        with pytest.raises(Exception, match="do not fit"):
+            token_shards.encoded(table(spark, [(1, [0xFFFE])], "doc_id long, ids array<int>"), f"{tmp_path}/bad", 16)
 
 
 def test_shards_hold_bpe_ids(spark, sf_dir, tmp_path):
     texts = [None, "", "One text.", "é\n\0 😀" * 40, "words of a text " * 300] + [f"text {i} " * (i % 7) for i in range(30)]
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, "null id")]
     vocabulary = bpe.load()
-    ids = token_shards.encoded(odd(spark, rows).repartition(3), vocabulary, f"{tmp_path}/ids")
-    seqs, total = token_shards.sequences(ids, 16, 5, token_shards.dictionary(ids), width=2)
-    token_shards.write_shards(seqs, total, f"{tmp_path}/out", 50, token_shards.dictionary(ids))
-    back = token_shards.read_shards(spark, f"{tmp_path}/out", 16, 50, width=2).orderBy("doc_id", "seq_no").collect()
+    ids = token_shards.encoded(odd(spark, rows).repartition(3), f"{tmp_path}/ids", 16, vocabulary)
+    seqs, total = token_shards.sequences(ids, 16, 5, token_shards.dictionary(ids, 16, 2))
+    token_shards.write_shards(seqs, total, f"{tmp_path}/out", 50, token_shards.dictionary(ids, 16, 2))
+    back = token_shards.read_shards(spark, f"{tmp_path}/out", 16, 50).orderBy("doc_id", "seq_no").collect()
     assert sorted(r["slot"] for r in back) == list(range(total)) and {len(r["tokens"]) for r in back} == {32}
     got = collections.defaultdict(list)
     for r in back:
         got[r["doc_id"]] += np.frombuffer(r["tokens"], "<u2").tolist()[: r["n_tokens"]]
     coder = bpe.Coder(vocabulary)
     assert got == {d: [*coder.encode([t or ""])[0].tolist(), 0xFFFE] for d, t in rows}
-    # the query's ids are those of the tokenizer
-    n_ids = bpe.op6(spark, sf_dir).agg(F.sum(F.col("n_tokens") + 1)).first()[0]
-    assert token_shards.op10(spark, sf_dir).agg(F.sum("n_tokens")).first()[0] == n_ids
+
+
+def test_shards_query_equals_brute_force(spark, sf_dir):
+    library, seen = bpe_library(), collections.Counter()
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect():
+        ids = [*library.encode(r["text"] or "", add_special_tokens=False).ids, 0xFFFE]
+        for k in range(0, len(ids), token_shards.LENGTH):
+            own = ids[k : k + token_shards.LENGTH]
+            whole = np.array(own + [0xFFFF] * (token_shards.LENGTH - len(own)), "<u2").tobytes()
+            seen[r["doc_id"], k // token_shards.LENGTH, len(own), hashlib.sha256(whole).hexdigest()] += 1
+    got = token_shards.op10(spark, sf_dir).collect()
+    assert collections.Counter((r["doc_id"], r["seq_no"], r["n_tokens"], r["tokens_sha256"]) for r in got) == seen
+    assert sorted(r["slot"] for r in got) == list(range(len(got)))
+    assert {(r["shard"], r["byte_offset"]) for r in got} == {(s // token_shards.PER_SHARD, s % token_shards.PER_SHARD * (token_shards.HEAD_BYTES + 2 * token_shards.LENGTH + 1)) for s in range(len(got))}
