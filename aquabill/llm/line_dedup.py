@@ -1,9 +1,9 @@
 r"""Line dedup on levelled sorted runs of line hashes.
 
-A line's key is the line stripped of ASCII white space at both ends, with A-Z lower-cased. Batches of documents arrive in
-descending doc_id order. Each batch aggregates its own keys, merge-anti-joins them with the runs to find keys never seen
-before (their holder is the batch's largest doc_id) and adds a new sorted run. When a level has `fanout` runs they are
-merged into one run of the next level. Keys are 128-bit hashes, so a run costs 40 bytes a distinct line.
+A line's key is the line stripped of ASCII white space at both ends, with A-Z lower-cased. Each batch of documents aggregates
+its own keys, merge-anti-joins them with the runs to find keys that need a new holder (the batch's largest doc_id), and adds a
+new sorted run. When a level has `fanout` runs they are merged into one run of the next level. Keys are 128-bit hashes, so a
+run costs 40 bytes a distinct line. Runs lie in a folder, from which a later batch can go on.
 
 Defined results: null or empty text is one empty line. Each row counts as a document, also where doc_ids repeat; all rows
 with the holder's doc_id keep the line. A null doc_id counts below all others. Lines of key length under `min_chars`
@@ -12,12 +12,18 @@ always stay. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aquabill.llm import common
 
 KEY = ["h1", "h2"]
+RUN = "h1 bigint, h2 bigint, n bigint, holder bigint"
+MANIFEST = "version long, buckets int, level int, place int, name string"
+SORTED_SCANS = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 def line_key(line: Column) -> Column:
@@ -35,57 +41,111 @@ def _hashes(text: Column, min_chars: int) -> Column:
 
 
 class LineRuns:
-    """Sorted runs in the shared folder; the driver holds only their paths."""
+    """Sorted runs under root, a folder of the shared one if none is given; a later call with that root goes on from its runs.
+
+    A run is a table bucketed and sorted by key, all with the same number of buckets, so joins of runs and a batch merge bucket
+    by bucket: only the batch's own aggregate is shuffled, and nothing is sorted again. The driver holds only the runs' names.
+    """
 
-    def __init__(self, spark: SparkSession, min_chars: int = 40, fanout: int = 3):
+    def __init__(self, spark: SparkSession, min_chars: int = 40, fanout: int = 2, root: str | None = None):
         self.spark, self.min_chars, self.fanout = spark, min_chars, fanout
+        self.root = (root or common.new_path(spark, "line-runs")).rstrip("/")
         self.levels: dict[int, list[str]] = {}
+        self.version, self.buckets = 0, int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if known := self._manifest():
+            self.version, self.buckets = known[0]["version"], known[0]["buckets"]
+            for r in known:
+                if r["name"]:
+                    self.levels.setdefault(r["level"], []).append(r["name"])
+
+    def _manifest(self) -> list:
+        """The runs of the latest version; there are few, since their number grows as a logarithm of the batches."""
+        try:
+            every = self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return []
+        latest = every.agg(F.max("version")).first()[0]
+        return every.where(F.col("version") == latest).orderBy("level", "place").collect()
+
+    def _save(self) -> None:
+        self.version += 1
+        rows = [(self.version, self.buckets, level, i, name) for level, names in self.levels.items() for i, name in enumerate(names)]
+        self.spark.createDataFrame(rows or [(self.version, self.buckets, 0, 0, None)], MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
 
     def _write(self, level: int, run: DataFrame) -> None:
-        path = common.new_path(self.spark, f"runs-l{level}")
-        run.repartitionByRange("h1").sortWithinPartitions(*KEY).write.parquet(path)
-        self.levels.setdefault(level, []).append(path)
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("h1 long, h2 long, n long, holder long").parquet(*paths)
-
-    def rows(self) -> DataFrame | None:
-        paths = [p for level in self.levels.values() for p in level]
-        return self._read(paths) if paths else None
+        name = f"line_run_{uuid.uuid4().hex}"
+        before = self.spark.conf.get(SORTED_SCANS)
+        self.spark.conf.set(SORTED_SCANS, "true")  # a bucket is one file, so its order holds for the whole bucket
+        try:
+            run.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", f"{self.root}/{name}").saveAsTable(name)
+        finally:
+            self.spark.conf.set(SORTED_SCANS, before)
+        self.levels.setdefault(level, []).append(name)
+
+    def _read(self, name: str) -> DataFrame:
+        if not self.spark.catalog.tableExists(name):  # written by another session
+            keys, place = ", ".join(KEY), f"{self.root}/{name}".replace("'", "\\'")
+            self.spark.sql(f"create table {name} ({RUN}) using parquet clustered by ({keys}) sorted by ({keys}) into {self.buckets} buckets location '{place}'")
+        return self.spark.table(name)
+
+    def runs(self) -> list[DataFrame]:
+        return [self._read(name) for names in self.levels.values() for name in names]
 
     def add(self, batch: DataFrame) -> None:
-        """Adds a batch (doc_id, text); its doc_ids must not exceed those of earlier batches."""
+        """Adds a batch (doc_id, text) as a new run. Only keys that no run holds, or holds for smaller doc_ids, bring a holder."""
         # distinct within a row first: one count per document, and the shuffle needs one partial aggregate only
         hashes = F.explode(F.array_distinct(_hashes(F.col("text"), self.min_chars)))
         lines = batch.select(F.col("doc_id").cast("long").alias("doc_id"), hashes.alias("k")).where("k is not null")
-        own = lines.groupBy("k.h1", "k.h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("holder"))
-        seen = self.rows()
-        if seen is not None:
-            own = common.materialise(own, "line-batch")
-            fresh = own.join(seen, KEY, "left_anti")
-            again = own.join(seen, KEY, "left_semi").withColumn("holder", F.lit(None).cast("long"))
-            own = fresh.unionByName(again)
-        self._write(0, own)
+        own = lines.select("k.*", "doc_id").groupBy(*KEY).agg(F.count("*").alias("n"), F.max("doc_id").alias("holder"))
+        known = []
+        for i, run in enumerate(self.runs()):
+            known.append(f"known{i}")
+            own = own.join(run.select(*KEY, F.col("holder").alias(known[-1])).hint("merge"), KEY, "left")
+        seen = F.greatest(F.lit(None).cast("long"), F.lit(None).cast("long"), *known)
+        holder = F.when(seen.isNull() | (F.col("holder") > seen), F.col("holder"))
+        self._write(0, own.select(*KEY, "n", holder.alias("holder")))
         self.compact()
+        self._save()
 
     def compact(self) -> None:
-        for level in sorted(self.levels):
-            if len(self.levels[level]) >= self.fanout:
-                self._write(level + 1, self.merged(self._read(self.levels[level])))
-                self.levels[level] = []
+        """Merges the runs of each full level, two by two, into one run of the next."""
+        for level in range(len(self.levels) + 1):
+            if len(self.levels.get(level, [])) >= self.fanout:
+                self._merge(self.levels.pop(level), level + 1)
+
+    def _merge(self, names: list[str], level: int) -> None:
+        while len(names) > 1:
+            self._write(level, self.merged(self._read(names[0]), self._read(names[1])))
+            names = [*names[2:], self.levels[level].pop()]
+        self.levels.setdefault(level, []).extend(names)
 
     @staticmethod
-    def merged(runs: DataFrame) -> DataFrame:
-        return runs.groupBy(*KEY).agg(F.sum("n").alias("n"), F.max("holder").alias("holder"))
+    def merged(a: DataFrame, b: DataFrame) -> DataFrame:
+        """Two runs as one, by a merge join of their buckets."""
+        b = b.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("n").alias("m"), F.col("holder").alias("other")).hint("merge")
+        both = a.join(b, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "full")
+        zero = F.lit(0).cast("long")
+        return both.select(
+            F.coalesce("h1", "g1").alias("h1"), F.coalesce("h2", "g2").alias("h2"), (F.coalesce("n", zero) + F.coalesce("m", zero)).alias("n"),
+            F.greatest("holder", "other").alias("holder"),
+        )
 
     def frequent(self, min_docs: int) -> DataFrame:
-        """(h1, h2, n, holder) of the keys found in at least min_docs documents."""
-        return self.merged(self.rows()).where(F.col("n") >= min_docs)
+        """(h1, h2, n, holder) of the keys found in at least min_docs documents. All runs are merged into one first."""
+        names = [name for level in sorted(self.levels) for name in self.levels[level]]
+        if len(names) > 1:
+            level = max(self.levels) + 1
+            self.levels = {}
+            self._merge(names, level)
+            self._save()
+        return self.runs()[0].where(F.col("n") >= min_docs)
 
 
-def index(docs: DataFrame, n_batches: int, min_chars: int) -> LineRuns:
+def index(docs: DataFrame, n_batches: int, min_chars: int, root: str | None = None) -> LineRuns:
     """Feeds the table to LineRuns in batches of descending doc_id ranges of about equal size."""
-    runs = LineRuns(docs.sparkSession, min_chars)
+    runs = LineRuns(docs.sparkSession, min_chars, root=root)
     cuts = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [i / n_batches for i in range(1, n_batches)], 10000)).first()[0] or []
     low, d = sorted(set(cuts)), F.col("doc_id").cast("long")
     for i in range(len(low), -1, -1):

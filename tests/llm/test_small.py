@@ -443,11 +443,27 @@ def test_lines_equal_brute_force(spark, n_batches):
     assert line_dedup.dedup_lines(odd(spark, rows).limit(0)).count() == 0
 
 
-def test_runs_are_compacted(spark):
+def test_runs_are_compacted_and_go_on(spark, tmp_path):
     docs = table(spark, [(i, LONG + str(i % 5)) for i in range(60)])
-    runs = line_dedup.index(docs, 9, 40)
-    assert all(len(paths) < runs.fanout for paths in runs.levels.values()) and max(runs.levels) >= 1
-    assert {(r["n"], r["holder"]) for r in runs.frequent(5).collect()} == {(12, 55 + i) for i in range(5)}
+    root = f"{tmp_path}/it's runs"
+    runs = line_dedup.index(docs, 9, 40, root)
+    assert all(len(names) < runs.fanout for names in runs.levels.values()) and max(runs.levels) >= 1
+    frequent = lambda r: {(x["n"], x["holder"]) for x in r.frequent(5).collect()}
+    assert frequent(runs) == {(12, 55 + i) for i in range(5)}
+    # another session knows the folder only, and its batches may come in any order
+    for (name,) in [n for n in runs.levels.values() if n]:
+        spark.sql(f"drop table {name}")
+    later = line_dedup.LineRuns(spark, 40, root=root)
+    assert later.levels == {k: v for k, v in runs.levels.items() if v} and len(later.runs()) == 1
+    later.add(table(spark, [(100 + i, LONG + str(i)) for i in range(3)] + [(-1, LONG + "4")]))
+    assert frequent(later) == {(13, 100), (13, 101), (13, 102), (12, 58), (13, 59)}
+
+
+def test_runs_are_merged_without_shuffle(spark):
+    runs = line_dedup.index(table(spark, [(i, LONG + str(i % 7)) for i in range(40)]), 2, 40)
+    (run,) = runs.runs()
+    plan = runs.merged(run, run)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
 
 
 # 10 token shards
