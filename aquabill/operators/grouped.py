@@ -44,7 +44,7 @@ def _value(pattern: str) -> Column:
 
 
 def with_state(lines: DataFrame) -> DataFrame:
-    """lines with the header values, the grouping body and whether the line is a row of the table."""
+    """lines with the header values, the number of the last capture that ended and whether the line is a row of the table."""
     u = F.upper("s")
     marked = lines.withColumn("s", T.strip(F.col("line"))).select(
         "*", u.rlike(_EXACT + TRIGGER).alias("trigger"), ((F.col("s") == "") | u.rlike(_EXACT + HEADING)).alias("heading"),
@@ -57,16 +57,22 @@ def with_state(lines: DataFrame) -> DataFrame:
     event = F.when(masked, None).when(F.col("start"), 1).when(F.col("stop"), 0)
     part = F.when(F.col("capturing") & ~F.col("trigger") & ~F.col("heading"), F.when(F.col("ends"), F.regexp_extract("s", _EXACT + NAME_LINE, 1)).otherwise(F.col("s")))
     stated = marked.select("*", masked.alias("masked"), event.alias("event"), part.alias("part"), F.sum(F.col("trigger").cast("int")).over(up_to()).alias("capture"))
-    body = up_to(0, "capture")
-    # only the line that ends a capture needs the parts before it
-    whole = F.when(F.col("capturing") & F.col("ends"), F.struct(F.array_join(F.collect_list("part").over(body), " ").alias("name"), F.regexp_extract("s", _EXACT + NAME_LINE, 2).alias("group"), F.regexp_extract("s", _EXACT + NAME_LINE, 3).alias("payer")))
     row = in_state(F.col("event")) & F.col("event").isNull() & ~F.col("masked") & F.col("s").rlike("(?U)" + ACCOUNT)
-    return stated.withColumn("whole", whole).select(
+    return stated.withColumn("closed", F.col("capturing") & F.col("ends")).select(
         "*", row.alias("is_row"), forward_fill(_value(NUMBER)).alias("number"), forward_fill(_value(MONTH)).alias("month"),
-        forward_fill(_value(DUE)).alias("due"), forward_fill(F.col("whole")).alias("body"),
+        forward_fill(_value(DUE)).alias("due"), forward_fill(F.when(F.col("closed"), F.col("capture"))).alias("last_capture"),
     )
 
 
+def grouping_bodies(lines: DataFrame) -> DataFrame:
+    """(path, last_capture, body: name, group, payer) of each capture that ended; its parts are put together once."""
+    parts = F.array_sort(F.collect_list(F.struct("line_no", "part")))
+    end = F.max(F.when(F.col("closed"), F.struct(F.regexp_extract("s", _EXACT + NAME_LINE, 2).alias("group"), F.regexp_extract("s", _EXACT + NAME_LINE, 3).alias("payer"))))
+    made = lines.where("part is not null").groupBy("path", F.col("capture").alias("last_capture")).agg(parts.alias("parts"), end.alias("end")).where("end is not null")
+    name = F.array_join(F.transform("parts", lambda x: x["part"]), " ")
+    return made.select("path", "last_capture", F.struct(name.alias("name"), F.col("end.group").alias("group"), F.col("end.payer").alias("payer")).alias("body"))
+
+
 def parsed(rows: DataFrame) -> DataFrame:
     """Account, name, address and numbers of table rows."""
     pieces = F.split("s", r"(?U)\s{2,}")
@@ -85,7 +91,8 @@ def parsed(rows: DataFrame) -> DataFrame:
 
 def extract(docs: DataFrame) -> DataFrame:
     """BILL rows (and path, block_no = line number) of routed docs of the grouped layout."""
-    rows = parsed(with_state(split_lines(docs.where(F.col("EMPRESA") == GROUPED))).where("is_row"))
+    lines = with_state(split_lines(docs.where(F.col("EMPRESA") == GROUPED)))
+    rows = parsed(lines.where("is_row")).join(grouping_bodies(lines), ["path", "last_capture"], "left")
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     made = {
         "CONCESSIONARIA": F.lit(GROUPED), "NUM_FATURA": text("number"), "MES_ANO_REF": text("month"), "VENCIMENTO": text("due"),

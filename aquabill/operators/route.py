@@ -41,7 +41,11 @@ def first_match(text: Column, rules: list[tuple[str, list[str], list[str]]]) ->
     return out
 
 
+def names(docs: DataFrame) -> Column:
+    """What the rules look at: the folded names of the file and of its folders, the scanned one included."""
+    return fold(F.concat_ws(" ", "file_name", *(["root"] if "root" in docs.columns else []), "dir"))
+
+
 def route(docs: DataFrame, rules=ISSUERS) -> DataFrame:
     """docs with EMPRESA; documents that no rule fits are dropped."""
-    names = fold(F.concat_ws(" ", "file_name", "dir"))
-    return docs.withColumn("EMPRESA", first_match(names, rules)).where("EMPRESA is not null")
+    return docs.withColumn("EMPRESA", first_match(names(docs), rules)).where("EMPRESA is not null")

@@ -13,9 +13,12 @@ from aquabill.sources import files
 
 
 def new_rows(rows: DataFrame, store: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Rows whose keys the store does not hold; null and '' are the same key. Duplicates inside rows stay."""
-    known = store.select(*[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"known_{k}") for k in keys])
-    same = [F.coalesce(F.col(k).cast("string"), F.lit("")) == F.col(f"known_{k}") for k in keys]
+    """Rows whose keys the store does not hold; null, '' and the not-found text of older stores are the same key.
+
+    Duplicates inside rows stay.
+    """
+    known = store.select(*[T.found(F.col(k).cast("string")).alias(f"known_{k}") for k in keys])
+    same = [T.found(F.col(k).cast("string")) == F.col(f"known_{k}") for k in keys]
     return rows.join(known, same, "left_anti")
 
 
@@ -37,8 +40,7 @@ def report(batch: DataFrame, added: DataFrame) -> DataFrame:
 
 def routing_report(docs: DataFrame) -> DataFrame:
     """(EMPRESA, documents, parsed): what the router did with DOC rows, unknown and layout-less issuers included."""
-    names = T.fold(F.concat_ws(" ", "file_name", "dir"))
-    issuer = F.coalesce(route.first_match(names, route.ISSUERS), F.lit("UNKNOWN"))
+    issuer = F.coalesce(route.first_match(route.names(docs), route.ISSUERS), F.lit("UNKNOWN"))
     parsed = ~F.col("EMPRESA").isin("UNKNOWN", *route.UNPARSED)
     return docs.select(issuer.alias("EMPRESA")).groupBy("EMPRESA").agg(F.count("*").alias("documents")).withColumn("parsed", parsed)
 

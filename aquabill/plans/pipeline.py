@@ -3,30 +3,51 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from aquabill.operators import blocks, enrich, grouped, meters, route
-from aquabill.plans.load import load, relate_again, remember_meters
+from aquabill.plans.load import load, relate_again, remember_meters, routing_report
 from aquabill.schema import BILL
 from aquabill.sources import files
 
 
-def bills_of(docs: DataFrame, register: DataFrame | None = None, redistribute: bool = False, told: DataFrame | None = None) -> DataFrame:
-    """BILL rows of DOC rows, with the register's columns if there is one. told: meter rows instead of those of docs."""
-    routed = route.route(docs)
-    accounts = meters.relate(grouped.extract(routed), meters.extract(routed) if told is None else told)
-    bills = blocks.extract(routed).unionByName(accounts).select(*BILL.names)
+def staged(docs: DataFrame) -> DataFrame:
+    """Routed docs, written once with a folder an issuer: each extraction then reads its own issuers' texts only."""
+    spark, routed = docs.sparkSession, route.route(docs)
+    path = files.scratch(spark, "routed")
+    routed.write.partitionBy("EMPRESA").parquet(path)
+    return spark.read.schema(routed.schema).parquet(path)
+
+
+def bills_of_routed(routed: DataFrame, told: DataFrame, register: DataFrame | None = None, redistribute: bool = False) -> DataFrame:
+    """BILL rows of routed docs related to the meter rows told, with the register's columns if there is one."""
+    bills = blocks.extract(routed).unionByName(meters.relate(grouped.extract(routed), told)).select(*BILL.names)
     out = enrich.enrich(bills, register)
     return enrich.redistribute(out) if redistribute and register is not None else out
 
 
-def run(spark: SparkSession, root: str, store: str, register_path: str | None = None) -> DataFrame:
-    """Loads the unseen bills of all texts under root into the store; returns the report.
+def bills_of(docs: DataFrame, register: DataFrame | None = None, redistribute: bool = False) -> DataFrame:
+    """BILL rows of DOC rows, with the register's columns if there is one; texts and meter rows are written once on the way."""
+    routed = staged(docs)
+    path = files.scratch(docs.sparkSession, "meters")
+    told = meters.extract(routed)
+    told.write.parquet(path)
+    return bills_of_routed(routed, docs.sparkSession.read.schema(told.schema).parquet(path), register, redistribute)
+
+
+def run(spark: SparkSession, root: str, store: str, register_path: str | None = None, redistribute: bool = False, dedupe_batch: bool = False) -> DataFrame:
+    """Loads the unseen bills of all texts under root into the store, with their account's columns of the register.
 
     Meter rows are kept beside the store: bills are related to those of earlier runs too, and stored bills to new ones.
+    Returns one row an issuer: EMPRESA, documents, parsed (whether there is a layout for it), and what load() did with its
+    bills. Documents of nobody count as UNKNOWN.
     """
     register = files.read_register(spark, register_path) if register_path else None
     docs = files.scan_texts(spark, root)
-    told = remember_meters(meters.extract(route.route(docs)), store)
-    out = load(bills_of(docs, register, redistribute=False, told=told).select(*BILL.names), store)
+    routed = staged(docs)
+    told = remember_meters(meters.extract(routed), store)
+    loaded = load(bills_of_routed(routed, told, register, redistribute), store, dedupe_batch)
     relate_again(spark, store)
-    return out
+    # names only: no text is read again
+    out = routing_report(docs.drop("content")).join(loaded, "EMPRESA", "left")
+    return out.select("EMPRESA", "documents", "parsed", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in loaded.columns[1:]])

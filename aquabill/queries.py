@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,12 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder of spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/bills-{uuid.uuid4().hex}"
-
-
 # text functions
 
 
@@ -66,11 +57,13 @@ def route_first_match(spark, d):
 
 def scan_lineage(spark, d):
     """Every document becomes a text file in a folder of its language; the scan gives back names, folders and texts."""
-    root, docs = scratch(spark), table(spark, d, "documents")
+    root, docs = files.scratch(spark), table(spark, d, "documents")
     for name, part in (("a b+c", docs.where("doc_id % 2 = 0")), ("ção%", docs.where("doc_id % 2 = 1"))):
         part.select(F.concat_ws("\n", F.col("doc_id").cast("string"), F.regexp_replace("text", "\n", "\r\n")).alias("value"), "lang").write.partitionBy("lang").text(f"{root}/{name}")
-    got = files.scan_texts(spark, root)
-    return got.groupBy("dir").agg(F.sum(F.length("content")).alias("chars"), (F.count_if(F.lower("file_name").endswith(".txt") & F.contains(F.col("path"), F.col("file_name"))) > 0).alias("named"))
+    named = F.lower("file_name").endswith(".txt") & F.contains(F.col("path"), F.col("file_name"))
+    lines = files.scan_texts(spark, root).select("dir", named.alias("named"), F.explode(F.split("content", "\n")).alias("line")).where("line <> ''")
+    mark = F.conv(F.substring(F.md5("line"), 1, 8), 16, 10).cast("long")
+    return lines.groupBy("dir").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"), F.sum(mark).alias("marks"), F.min("named").alias("named"))
 
 
 def _documents(spark, d):
@@ -97,9 +90,30 @@ def _extract(issuer):
     return query
 
 
+def keep_keyed(spark, d):
+    """Every fifth bill has neither number nor account, and goes."""
+    docs = render.documents(table(spark, d, "orders"), ["DEMAE"])
+    bare = F.regexp_extract("path", r"f(\d+)\.txt$", 1).cast("long") % 5 == 0
+    docs = docs.withColumn("content", F.when(bare, F.regexp_replace("content", r"(?m)^Fatura n[^\n]*\n", "")).otherwise(F.col("content")))
+    return blocks.extract(route.route(docs)).select(*KEYS, "VALOR_TOTAL")
+
+
+def many_bills_a_file(docs: DataFrame, size: int) -> DataFrame:
+    """(value) of docs put together, about size texts a file."""
+    n = F.lit(max(4 * size, docs.count()))  # four files at least
+    return docs.groupBy(render.part(n, F.col("path"), size).alias("part")).agg(F.array_join(F.collect_list("content"), "\n").alias("value"))
+
+
+def extract_multi(spark, d):
+    """Files of many bills each, as an issuer sends them."""
+    docs = many_bills_a_file(render.documents(table(spark, d, "orders"), ["DEMAE"]), 500)
+    named = docs.select(F.col("part").cast("string").alias("path"), F.lit("bills.txt").alias("file_name"), F.lit("Demae").alias("dir"), F.col("value").alias("content"))
+    return blocks.extract(route.route(named), [x for x in LAYOUTS if x.issuer == "DEMAE"]).select("CONCESSIONARIA", *SHOWN)
+
+
 def extract_all(spark, d):
     docs = route.route(render.documents(table(spark, d, "orders")))
-    return blocks.extract(docs).select("EMPRESA", "ARQUIVO_ORIGEM", *KEYS, "VALOR_TOTAL")
+    return blocks.extract(docs).select("ARQUIVO_ORIGEM", *KEYS, "VALOR_TOTAL")
 
 
 def extract_grouped(spark, d):
@@ -131,7 +145,7 @@ def table_state(spark, d):
 
 def last_in_block(spark, d):
     value = F.expr("case when event_type = 'click' then value end")
-    out = meters.last_in_block(table(spark, d, "events").withColumnRenamed("value", "v").withColumnRenamed("v", "value"), F.col("event_type") == "signup", value, ["user_id"], ["ts", "event_id"])
+    out = meters.last_in_block(table(spark, d, "events"), F.col("event_type") == "signup", value, ["user_id"], ["ts", "event_id"])
     return out.select("user_id", F.col("block").alias("g"), F.col("value").alias("v"))
 
 
@@ -204,14 +218,14 @@ def file_report(spark, d):
 
 
 def csv_round_trip(spark, d):
-    path = scratch(spark)
+    path = files.scratch(spark)
     files.export_csv(blocks.extract(route.route(render.documents(table(spark, d, "orders")))), path)
-    return files.read_csv(spark, path).select("EMPRESA", *KEYS, "VALOR_TOTAL", "NUM_HIDROMETRO")
+    return files.read_csv(spark, path).select(*KEYS, "VALOR_TOTAL", "NUM_HIDROMETRO")
 
 
 def incremental_twice(spark, d):
     """The same batch loaded twice, and a larger one after it."""
-    path = scratch(spark)
+    path = files.scratch(spark)
     bills = blocks.extract(route.route(render.documents(table(spark, d, "orders")))).select(*BILL.names)
     half = bills.where("CONSUMO_M3 < 50")
     reports = [load.load(b, path) for b in (half, half, bills)]
@@ -223,9 +237,63 @@ def incremental_twice(spark, d):
     return out.join(stored, "EMPRESA").select("load", "EMPRESA", "added", "ignored", "stored")
 
 
+def load_two_issuers(spark, d):
+    """Two issuers use the same bill numbers, months and accounts; neither hides the other's bills."""
+    path, orders = files.scratch(spark), table(spark, d, "orders")
+    one, other = (blocks.extract(route.route(render.documents(orders, [x]))) for x in ("SAAE_CORUMBA", "SAAE_MINEIROS"))
+    out = None
+    for i, batch in enumerate((one, other, one.unionByName(other))):
+        r = load.load(batch, path).select(F.lit(i).alias("load"), "EMPRESA", "added", "ignored")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+def write_register(spark, d, path: str) -> None:
+    """Every customer's account of the DEMAE layout, as JSON arrays of about 1,000 objects."""
+    customer = table(spark, d, "customer")
+    digit = (F.col("c_custkey") % 10).cast("string")
+    row = customer.select(
+        F.col("c_custkey").alias("id_CONTA"), F.concat(F.lpad(F.col("c_custkey").cast("string"), 7, "0"), F.lit("-"), digit).alias("CONTA_DV"), F.col("c_name").alias("UNIDADE JUDICIÁRIA"),
+        (F.col("c_custkey") % 2 == 0).alias("AGUA"), (F.col("c_custkey") % 3 == 0).alias("ESGOTO"), F.when(F.col("c_custkey") % 5 > 0, F.col("c_custkey") % 5 == 1).alias("SMRSU"),
+    )
+    text = row.select(render.part(F.lit(customer.count()), F.col("id_CONTA"), 1_000).alias("part"), F.to_json(F.struct(*row.columns)).alias("text"))
+    arrays = text.groupBy("part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("text"), ","), F.lit("]")).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+
+
+def register_source(spark, d):
+    path = files.scratch(spark)
+    write_register(spark, d, path)
+    return files.read_register(spark, path).select("id_CONTA", "CONTA_DV", "UNIDADE", "AGUA", "ESGOTO", "SMRSU", "CONTA")
+
+
+def load_with_register(spark, d):
+    """The stored bills of a run with a register and redistribution."""
+    root = files.scratch(spark)
+    docs = many_bills_a_file(render.documents(table(spark, d, "orders"), ["DEMAE"]), 2_000)
+    docs.select("value").write.option("maxRecordsPerFile", 1).text(f"{root}/in/DEMAE")
+    write_register(spark, d, f"{root}/register")
+    pipeline.run(spark, f"{root}/in", f"{root}/store", f"{root}/register", redistribute=True)
+    return files.read_store(spark, f"{root}/store").select("NUM_FATURA", "CONTA_DV", "id_CONTA", "UNIDADE", "VALOR_AGUA", "VALOR_ESGOTO", "VALOR_TAXAS_EXTRAS")
+
+
+def stream_with_meters(spark, d):
+    """Grouped bills and their meter reports as files, few and many of them a micro-batch."""
+    root, orders = files.scratch(spark), table(spark, d, "orders")
+    size = max(100, orders.count() // 60)
+    for folder, docs in (("Saneago", render.grouped_documents(orders)), ("Saneago analitica", render.meter_documents(orders.where("o_orderkey % 3 = 0"), size))):
+        many_bills_a_file(docs, max(10, docs.count() // 4)).select("value").write.option("maxRecordsPerFile", 1).text(f"{root}/in/{folder}")
+    out = None
+    for many in (3, 1000):
+        load_stream(spark, f"{root}/in", f"{root}/store{many}", f"{root}/checkpoint{many}", max_files=many).awaitTermination()
+        own = files.read_store(spark, f"{root}/store{many}").select(F.lit(many).alias("max_files"), "CONTA_DV", "NUM_HIDROMETRO")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def stream_load(spark, d):
     """Bill texts arrive as files; the stream is run twice with checkpoints of their own and adds each bill once."""
-    root = scratch(spark)
+    root = files.scratch(spark)
     orders = table(spark, d, "orders")
     docs = render.documents(orders, ["DEMAE"])
     n = max(8 * render.FILE_ORDERS, orders.count())  # eight files at least
@@ -234,7 +302,7 @@ def stream_load(spark, d):
     whole.select("value").repartition(n_files).write.option("maxRecordsPerFile", 2).text(f"{root}/in/DEMAE")
     for i in range(2):
         load_stream(spark, f"{root}/in", f"{root}/store", f"{root}/checkpoint{i}", max_files=n_files // 2).awaitTermination()
-    return files.read_store(spark, f"{root}/store").select("EMPRESA", *KEYS, "VALOR_TOTAL")
+    return files.read_store(spark, f"{root}/store").select(*KEYS, "VALOR_TOTAL")
 
 
 def bills_pipeline(spark, d):
@@ -252,6 +320,7 @@ QUERIES = {
         norm_text, br_number, month_names, residual_fee, route_first_match, scan_lineage, split_lines, split_blocks, extract_all, extract_grouped,
         extract_meters, forward_fill, table_state, last_in_block, latest_per_key, distinct_keep_first, exact_then_fallback, relate_meters,
         enrich_left, new_only, union_by_name, redistribute, load_report, routing_report, file_report, csv_round_trip, incremental_twice, stream_load, bills_pipeline,
+        keep_keyed, extract_multi, load_two_issuers, register_source, load_with_register, stream_with_meters,
     )
 } | {f"extract_{x.issuer.lower()}": _extract(x.issuer) for x in LAYOUTS}
 
@@ -272,6 +341,7 @@ _ISSUER_OF = "['" + "', '".join(x.issuer for x in LAYOUTS) + "'][1 + (o_orderkey
 _BILLS = f"{_ORDERS}, b as (select *, {_ISSUER_OF} as EMPRESA, {_NUMBER_OF} as NUM_FATURA, mes as MES_ANO_REF, {_ACCOUNT_OF} as CONTA_DV, (o_orderkey % 100) < 50 as half from o)"
 _USER = "over (partition by user_id order by ts, event_id rows between unbounded preceding and current row)"
 _LAST = "row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) = 1"
+_REGISTER_ACCOUNT = "lpad(c_custkey::varchar, 7, '0') || '-' || (c_custkey % 10)"
 _METER = "case when o_orderkey % 3 = 0 then 'M' || acc end"
 
 ORACLES = {
@@ -281,8 +351,23 @@ ORACLES = {
     "residual_fee": "select l_orderkey, count(*) as n, min(round(l_extendedprice - floor(l_extendedprice) - floor(l_extendedprice / 3), 2)) as least, max(floor(l_extendedprice) + floor(l_extendedprice / 3)) as most_base from lineitem group by 1",
     "route_first_match": """select * from (select page_id, case when contains(u, '/es/') and contains(u, 'utm_source') then 'a' when contains(u, '/es/') then 'b'
   when contains(u, '/en/') and contains(u, 'https') then 'c' when contains(u, 'example.net') and not contains(u, 'www') then 'd' end as rule from (select page_id, lower(url) u from pages)) where rule is not null""",
-    "scan_lineage": """select (case when doc_id % 2 = 0 then 'a b+c' else 'ção%' end) || '/lang=' || lang as dir,
-  sum(length(text) + length(doc_id::varchar) + 2)::bigint as chars, true as named from documents group by 1""",
+    "scan_lineage": """select dir, count(*) as lines, sum(length(line))::bigint as chars, sum(('0x' || md5(line)[1:8])::bigint)::bigint as marks, true as named
+  from (select (case when doc_id % 2 = 0 then 'a b+c' else 'ção%' end) || '/lang=' || lang as dir,
+  unnest(string_split(regexp_replace(doc_id || chr(10) || text, chr(13) || chr(10) || '?', chr(10), 'g'), chr(10))) as line from documents) where line <> '' group by 1""",
+    "keep_keyed": f"with {_ORDERS} select 'DEMAE' as EMPRESA, num as NUM_FATURA, mes as MES_ANO_REF, acc || '-' || dig as CONTA_DV, o_totalprice as VALOR_TOTAL from o where o_orderkey % 5 <> 0",
+    "extract_multi": _extract_sql("DEMAE", account=_HYPHEN),
+    "load_two_issuers": """with c as (select count(*) n from orders) select 0::int as load, 'SAAE_CORUMBA' as EMPRESA, n as added, 0::bigint as ignored from c
+  union all select 1, 'SAAE_MINEIROS', n, 0 from c union all select 2, 'SAAE_CORUMBA', 0, n from c union all select 2, 'SAAE_MINEIROS', 0, n from c""",
+    "register_source": f"""select c_custkey as id_CONTA, {_REGISTER_ACCOUNT} as CONTA_DV, c_name as UNIDADE, c_custkey % 2 = 0 as AGUA, c_custkey % 3 = 0 as ESGOTO,
+  case when c_custkey % 5 > 0 then c_custkey % 5 = 1 end as SMRSU, null::bigint as CONTA from customer""",
+    "load_with_register": f"""with {_ORDERS}, b as (select num, {_HYPHEN} as a, water, sewage, round(o_totalprice - water - sewage, 2) as fee, o_custkey from o),
+  r as (select b.*, c_custkey, c_name, list_filter([water, sewage, fee], lambda v: v > 0) p, coalesce(c_custkey % 2 = 0, false) fa,
+  coalesce(c_custkey % 3 = 0, false) fe, coalesce(c_custkey % 5 = 1, false) fx from b left join customer on c_custkey = o_custkey)
+  select num as NUM_FATURA, a as CONTA_DV, c_custkey as id_CONTA, c_name as UNIDADE,
+  case when not (fa or fe or fx) then water when fa then coalesce(p[1], 0) else 0 end as VALOR_AGUA,
+  case when not (fa or fe or fx) then sewage when fe then coalesce(p[1 + fa::int], 0) else 0 end as VALOR_ESGOTO,
+  case when not (fa or fe or fx) then fee when fx then coalesce(p[1 + fa::int + fe::int], 0) else 0 end as VALOR_TAXAS_EXTRAS from r""",
+    "stream_with_meters": f"with {_ORDERS} select n::int as max_files, num || ' ' || dig as CONTA_DV, {_METER} as NUM_HIDROMETRO from o, (values (3), (1000)) t(n)",
     "split_lines": "select doc_id, i::int as line_no, p[i + 1] as line from (select doc_id, p, unnest(range(len(p))) i from (select doc_id, string_split(text, chr(10)) p from documents))",
     "split_blocks": "select doc_id, i::int as block_no, p[i + 1] as block from (select doc_id, p, unnest(range(len(p))) i from (select doc_id, string_split(text, chr(10)) p from documents)) where length(trim(p[i + 1])) >= 100",
     "extract_all": f"with {_BILLS} select EMPRESA, 'f' || o_orderkey || '.txt' as ARQUIVO_ORIGEM, NUM_FATURA, MES_ANO_REF, CONTA_DV, o_totalprice as VALOR_TOTAL from b",

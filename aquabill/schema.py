@@ -16,6 +16,7 @@ def _struct(fields: str) -> StructType:
     return out
 
 
+#: Scanned documents also have root, the name of the folder that was scanned.
 DOC = _struct("path string, file_name string, dir string, content string")
 BILL = _struct(
     "CONCESSIONARIA string, NUM_FATURA string, MES_ANO_REF string, VENCIMENTO string, COD_ORGAO_AGRUPADOR string, "
@@ -32,5 +33,7 @@ REGISTER = _struct(
     "DISTRIBUIDORA string, OPERANTE boolean, AGUA boolean, ESGOTO boolean, SMRSU boolean"
 )
 REGISTER_ALIASES = {"UNIDADE": "UNIDADE JUDICIÁRIA", "ENDERECO": "ENDEREÇO", "OPERANTE": "OPERANTE - FILTRO"}
-#: What makes a bill known to the store.
-KEYS = ["NUM_FATURA", "MES_ANO_REF", "CONTA_DV"]
+#: What the store holds: bills with their account's columns of the register, null without one.
+STORED = StructType([*BILL.fields, *[f for f in REGISTER.fields if f.name != "CONTA_DV"]])
+#: What makes a bill known to the store; issuers number their bills by themselves.
+KEYS = ["EMPRESA", "NUM_FATURA", "MES_ANO_REF", "CONTA_DV"]

@@ -3,13 +3,26 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from aquabill.schema import BILL, METER_ROW, REGISTER, REGISTER_ALIASES
+from aquabill.schema import BILL, METER_ROW, REGISTER, REGISTER_ALIASES, STORED
+
+
+def scratch(spark: SparkSession, name: str = "bills") -> str:
+    """A new path in the folder of spark.checkpoint.dir, which all machines share; a temporary one on a single machine without it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def decoded(content: Column) -> Column:
@@ -22,17 +35,39 @@ def _unescaped(path: Column) -> Column:
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
+def qualified(spark: SparkSession, root: str) -> str:
+    """root as an absolute path of its file system, without scheme and host."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri().getPath()
+
+
 def with_lineage(raw: DataFrame, root: str) -> DataFrame:
-    """DOC rows of a whole-text read of root. dir is the file's folder below root, with all folders on the way."""
-    path = _unescaped(F.col("_metadata.file_path"))
-    top = re.sub(r"^[A-Za-z][\w+.-]*:(//[^/]*)?|^(\./)+", "", root).rstrip("/")
-    folder = F.regexp_extract(path, "^(.*)/[^/]*$", 1)
-    below = F.when(F.instr(folder, top) > 0, F.substring(folder, F.instr(folder, top) + len(top), F.length(folder))).otherwise(folder)
-    return raw.select(path.alias("path"), _unescaped(F.col("_metadata.file_name")).alias("file_name"), F.ltrim(below, F.lit("/")).alias("dir"), decoded(F.col("value")).alias("content"))
+    """DOC rows of a whole-text read of root, and root: its own name.
+
+    dir is the file's folder below root, with all folders on the way; the whole folder if root is a glob.
+    """
+    path, top = _unescaped(F.col("_metadata.file_path")), qualified(raw.sparkSession, root).rstrip("/")
+    folder = F.regexp_extract(F.regexp_replace(path, r"^[A-Za-z][\w+.-]*:(//[^/]*)?", ""), "^(.*)/[^/]*$", 1)
+    below = F.when(folder == top, "").when(folder.startswith(top + "/"), F.substring(folder, len(top) + 2, 1 << 20)).otherwise(F.ltrim(folder, F.lit("/")))
+    name = F.lit(re.sub(r"^.*/", "", top))
+    return raw.select(path.alias("path"), _unescaped(F.col("_metadata.file_name")).alias("file_name"), below.alias("dir"), decoded(F.col("value")).alias("content"), name.alias("root"))
+
+
+def skipped_texts(spark: SparkSession, root: str) -> int:
+    """How many *.txt files under root Spark does not read since their name, or a folder's, begins with _ or a dot.
+
+    The names are walked on the driver, one at a time.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    listed, top, n = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), qualified(spark, root).rstrip("/"), 0
+    while listed.hasNext():
+        names = listed.next().getPath().toUri().getPath().removeprefix(top).split("/")
+        n += names[-1].lower().endswith(".txt") and any(x.startswith((".", "_")) for x in names)
+    return n
 
 
 def scan_texts(spark: SparkSession, root: str) -> DataFrame:
-    """DOC rows of every *.txt file (in any case) under root. Names that begin with _ or . are skipped, as Spark does."""
+    """DOC rows of every *.txt file (in any case) under root. Names that begin with _ or . are skipped, as Spark does; skipped_texts counts them."""
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[tT][xX][tT]")
     return with_lineage(reader.text(root, wholetext=True), root)
 
@@ -44,7 +79,7 @@ def stamp() -> Column:
 
 def read_register(spark: SparkSession, path: str) -> DataFrame | None:
     """The account register, a JSON array of objects; None if there is none. Both spellings of its columns are read."""
-    wide = StructType(REGISTER.fields)
+    wide = StructType([*REGISTER.fields])  # add() changes the list that it is given
     for name, other in REGISTER_ALIASES.items():
         wide = wide.add(other, REGISTER[name].dataType)
     try:
@@ -57,8 +92,8 @@ def read_register(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """The Parquet store; empty if there is none yet."""
-    return _parquet(spark, path, BILL)
+    """The Parquet store (STORED); empty if there is none yet. Register columns that older files lack are null."""
+    return _parquet(spark, path, STORED)
 
 
 def _parquet(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -70,14 +105,19 @@ def _parquet(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def stored_columns(bills: DataFrame) -> DataFrame:
+    """bills in the columns of STORED; those that bills lack are null."""
+    return bills.select(*[F.col(f.name) if f.name in bills.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in STORED.fields])
+
+
 def append_store(bills: DataFrame, path: str) -> None:
-    """One folder an issuer; columns always in the order of BILL."""
-    bills.select(*BILL.names).write.mode("append").partitionBy("EMPRESA").parquet(path)
+    """One folder an issuer; columns always in the order of STORED."""
+    stored_columns(bills).write.mode("append").partitionBy("EMPRESA").parquet(path)
 
 
 def replace_in_store(bills: DataFrame, path: str) -> None:
     """Puts bills in place of the folders of their issuers; they may be read from those folders."""
-    bills.select(*BILL.names).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("EMPRESA").parquet(path)
+    stored_columns(bills).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("EMPRESA").parquet(path)
 
 
 def _meter_path(path: str) -> str:
@@ -94,8 +134,8 @@ def append_meters(meters: DataFrame, path: str) -> None:
 
 
 def export_csv(bills: DataFrame, path: str) -> None:
-    """Semicolon CSV with a header, one folder an issuer; nulls are empty fields."""
-    bills.select(*BILL.names).write.mode("overwrite").partitionBy("EMPRESA").option("sep", ";").option("header", True).option("emptyValue", "").csv(path)
+    """Semicolon CSV with a header, one folder an issuer, in the columns of STORED that bills have; nulls are empty fields."""
+    bills.select(*[c for c in STORED.names if c in bills.columns]).write.mode("overwrite").partitionBy("EMPRESA").option("sep", ";").option("header", True).option("emptyValue", "").csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType = BILL) -> DataFrame:

@@ -7,14 +7,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from aquabill.operators import meters, route
+from aquabill.operators import meters
 from aquabill.plans.load import new_rows, relate_again, remember_meters
-from aquabill.plans.pipeline import bills_of
+from aquabill.plans.pipeline import bills_of_routed, staged
 from aquabill.schema import KEYS
 from aquabill.sources import files
 
 
-def load_stream(spark: SparkSession, root: str, store: str, checkpoint: str, max_files: int = 1000) -> StreamingQuery:
+def load_stream(
+    spark: SparkSession, root: str, store: str, checkpoint: str, max_files: int = 1000, register_path: str | None = None, redistribute: bool = False
+) -> StreamingQuery:
     """Starts the stream over what root holds now. The store is its state, so a new checkpoint adds nothing twice.
 
     The store then holds what one batch over the same files would have given, in however many micro-batches they come:
@@ -23,17 +25,17 @@ def load_stream(spark: SparkSession, root: str, store: str, checkpoint: str, max
     of bills that were stored before the failure are left out too.
     """
     known = f"{checkpoint.rstrip('/')}/known-{uuid.uuid4().hex}"  # the store's files may be replaced meanwhile
-    files.read_store(spark, store).select(*KEYS).distinct().write.parquet(known)
+    files.read_store(spark, store).select(*KEYS).distinct().write.parquet(known)  # small columns only
 
     def add(batch: DataFrame, epoch: int) -> None:
-        session, docs = batch.sparkSession, batch.persist()
-        own = meters.extract(route.route(docs))
+        session, routed = batch.sparkSession, staged(batch)
+        register = files.read_register(session, register_path) if register_path else None
+        own = meters.extract(routed)
         told = remember_meters(own, store)
-        files.append_store(new_rows(bills_of(docs, told=told), session.read.parquet(known)), store)
+        files.append_store(new_rows(bills_of_routed(routed, told, register, redistribute), session.read.parquet(known)), store)
         # also after a failure between the two writes, when the meter rows are no longer new
         if not own.isEmpty():
             relate_again(session, store)
-        docs.unpersist()
 
     # wholetext must be given as an argument; an option of that name is overridden by the argument's default
     raw = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[tT][xX][tT]").option("maxFilesPerTrigger", max_files).text(root, wholetext=True)

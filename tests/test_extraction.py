@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -200,6 +201,16 @@ def test_grouped_states_equal_a_model(spark):
     assert found == {f: m for (_, f), t in files.items() if (m := model(t))}
 
 
+def test_a_long_capture_costs_its_length(spark):
+    lines = ["Nº FATURA: 1", "NOME DO ÓRGÃO AGRUPADOR"] + [f"PARTE {i}" for i in range(100_000)]
+    end = ["FIM   1234   5678", "CONTA DV   NOME CLIENTE", "12345 6   NOME   RUA   3   1,00   2,00   3,00"]
+    docs = spark.createDataFrame([("a", "a", "a", "\n".join(lines), "SANEAGO"), ("b", "b", "b", "\n".join(lines + end), "SANEAGO")], "path string, file_name string, dir string, content string, EMPRESA string")
+    start = time.perf_counter()
+    (row,) = grouped.extract(docs).collect()
+    assert time.perf_counter() - start < 60  # a quadratic one takes many minutes
+    assert (row["ARQUIVO_ORIGEM"], row["COD_ORGAO_PAGADOR"], len(row["NOME_ORGAO_AGRUPADOR"])) == ("b", "5678", sum(len(x) + 1 for x in lines[2:]) + 3)
+
+
 def test_meter_report(spark):
     got = meters.extract(docs(spark, {("Saneago", "saneago_analitica_03-2021.txt"): REPORT}))
     assert {tuple(r) for r in got.select("CONTA_DV", "MES_ANO_REF", "NUM_HIDROMETRO_EXTRAIDO").collect()} == {("12345 6", "03/2021", "A2"), ("88 3", "03/2021", "B9")}

@@ -4,9 +4,9 @@ import os
 from pyspark.sql import functions as F
 from test_extraction import GROUPED, REPORT, TEXTS
 
-from aquabill.operators import enrich, meters
+from aquabill.operators import enrich, meters, route
 from aquabill.plans import load, pipeline, render
-from aquabill.schema import BILL
+from aquabill.schema import BILL, STORED
 from aquabill.sources import files
 from aquabill.streaming.load import load_stream
 
@@ -21,7 +21,7 @@ def write_texts(root):
 
 
 def bill(spark, *rows):
-    return spark.createDataFrame(rows, "NUM_FATURA string, MES_ANO_REF string, CONTA_DV string")
+    return spark.createDataFrame([(*r, "DEMAE") for r in rows], "NUM_FATURA string, MES_ANO_REF string, CONTA_DV string, EMPRESA string")
 
 
 def meter_rows(spark, *rows):
@@ -41,15 +41,18 @@ def test_pipeline_stream_and_store(spark, tmp_path):
     write_texts(root)
     store = str(tmp_path / "store")
     first = {r["EMPRESA"]: r for r in pipeline.run(spark, str(root), store).collect()}
+    assert {k: (first.pop(k)["documents"], bool(first.get(k))) for k in ("CHESP", "SANEAGO_ANALITICA", "UNKNOWN")} == {"CHESP": (1, False), "SANEAGO_ANALITICA": (1, False), "UNKNOWN": (2, False)}
     assert {k: r["added"] for k, r in first.items()} == {"DEMAE": 1, "IPAMERI": 1, "BURITI_ALEGRE": 1, "SAAE_ABADIANIA": 1, "SAAE_CORUMBA": 1, "SAAE_MINEIROS": 1, "CODEGO": 2, "SAE": 1, "SANEAGO": 3}
     assert sum(r["added"] for r in pipeline.run(spark, str(root), store).collect()) == 0
     load_stream(spark, str(root), store, str(tmp_path / "checkpoint")).awaitTermination()
     stored = files.read_store(spark, store)
-    assert stored.count() == 12 and stored.columns == BILL.names
+    assert stored.count() == 12 and stored.columns == [*STORED.names[:20], *STORED.names[21:], "EMPRESA"]
+    assert {r["EMPRESA"] for r in stored.collect()} == set(first)  # meter reports are no bills
+    assert stored.where("DATA_PROCESSAMENTO rlike '^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$'").count() == 12
     got = {r["CONTA_DV"]: r["NUM_HIDROMETRO"] for r in stored.where("EMPRESA = 'SANEAGO'").collect()}
     assert got == {"12345 6": "A2", "88 3": "B9", "77 2": None}
     files.export_csv(stored, str(tmp_path / "csv"))
-    back = files.read_csv(spark, str(tmp_path / "csv"))
+    back = files.read_csv(spark, str(tmp_path / "csv"), STORED)
     assert sorted(map(str, back.select(*BILL.names[:8]).collect())) == sorted(map(str, stored.select(*[F.nullif(c, F.lit("")).alias(c) for c in BILL.names[:8]]).collect()))
 
 
@@ -72,7 +75,7 @@ def test_stream_in_many_batches_equals_one(spark, tmp_path):
     # a report of a later run, by itself
     (tmp_path / "more" / "Saneago").mkdir(parents=True)
     (tmp_path / "more" / "Saneago" / "saneago_analitica_03-2021.txt").write_text(REPORT.replace("A2", "A4"))
-    assert pipeline.run(spark, str(tmp_path / "more"), store).count() == 0
+    assert [(r["documents"], r["added"]) for r in pipeline.run(spark, str(tmp_path / "more"), store).collect()] == [(1, 0)]
     assert shown(files.read_store(spark, store)) == [w.replace("A3", "A4") for w in want]
     assert files.read_meters(spark, store).count() == 7
 
@@ -92,6 +95,38 @@ def test_new_rows(spark):
     assert load.new_rows(batch, store.limit(0)).count() == 4
 
 
+def test_keys_of_older_stores_and_other_issuers(spark):
+    store = bill(spark, ("NÃO ACHOU", "03/2021", "1"))
+    assert load.new_rows(bill(spark, ("", "03/2021", "1")), store).count() == 0
+    assert load.new_rows(bill(spark, ("", "03/2021", "1")).withColumn("EMPRESA", F.lit("SAE")), store).count() == 1
+
+
+def test_roots(spark, tmp_path, monkeypatch):
+    write_texts(tmp_path / "j" / "judge")
+    (tmp_path / "j" / "judge" / "DEMAE" / "_f.txt").write_text("x")
+    (tmp_path / "j" / "judge" / ".h").mkdir()
+    (tmp_path / "j" / "judge" / ".h" / "f.TXT").write_text("x")
+    own = files.scan_texts(spark, f"{tmp_path}/j/judge/DEMAE")
+    assert [(r["dir"], r["root"], r["EMPRESA"]) for r in route.route(own).collect()] == [("", "DEMAE", "DEMAE")]
+    # relative to the JVM's folder
+    relative = os.path.relpath(tmp_path / "j", os.getcwd())
+    assert {r["dir"].split("/")[0] for r in files.scan_texts(spark, relative).collect()} == {"judge"}
+    assert files.skipped_texts(spark, f"{tmp_path}/j") == 2
+
+
+def test_stored_register(spark, tmp_path):
+    root, path = tmp_path / "in", tmp_path / "register.json"
+    write_texts(root)
+    path.write_text(json.dumps([{"id_CONTA": 1, "CONTA_DV": "21544-9", "UNIDADE": "Forum", "ESGOTO": True}, {"id_CONTA": 2, "CONTA_DV": "12345 6", "UNIDADE": "B"}]))
+    stores = [str(tmp_path / "a"), str(tmp_path / "b")]
+    pipeline.run(spark, str(root), stores[0], str(path), redistribute=True)
+    load_stream(spark, str(root), stores[1], str(tmp_path / "checkpoint"), 2, str(path), True).awaitTermination()
+    for store in stores:
+        got = {r["CONTA_DV"]: r for r in files.read_store(spark, store).where("UNIDADE is not null and EMPRESA <> 'SAE'").collect()}
+        assert {k: (r["id_CONTA"], r["UNIDADE"], r["NUM_HIDROMETRO"]) for k, r in got.items()} == {"21544-9": (1, "Forum", None), "12345 6": (2, "B", "A2")}
+        assert (got["21544-9"]["VALOR_AGUA"], got["21544-9"]["VALOR_ESGOTO"]) == (0.0, 497.84)
+
+
 def test_register(spark, tmp_path):
     path = tmp_path / "register.json"
     rows = [{"id_CONTA": 2, "CONTA_DV": "12345  6", "UNIDADE": "B", "AGUA": True}, {"id_CONTA": 1, "CONTA_DV": "12345 6", "UNIDADE JUDICIÁRIA": "A", "other": 1}]
