@@ -284,3 +284,18 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), k=3, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+ORACLE = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sh as (select distinct doc_id, unnest(case when len(w) = 0 then []::varchar[] when len(w) < 3 then [array_to_string(w, ' ')]
+  else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as s from d),
+n as (select doc_id, count(*) as n from sh group by 1),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+e as (select a, b from l union all select b, a from l),
+r as (select doc_id as x, doc_id as y from n union select r.x, e.b from r join e on e.a = r.y),
+c as (select x, min(y) as c from r group by 1)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(c.c, d.doc_id) as component_id, coalesce(c.c, d.doc_id) = d.doc_id as kept
+from d left join n on n.doc_id = d.doc_id left join c on c.x = d.doc_id
+"""

@@ -171,3 +171,16 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return judged.select("doc_id", *FEATURES[:5], failed.alias("base_failed"), (~failed & F.col("good")).alias("kept"))
+
+
+ORACLE = r"""
+with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
+w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from d),
+g as (select rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (select rid, w, unnest(range(1, len(w) - 1)) as i from w)),
+again as (select rid, i from (select *, count(*) over (partition by rid, g) as c from g) where c > 1),
+inside as (select rid, count(distinct p) as n from (select rid, unnest([i, i + 1, i + 2]) as p from again) group by 1)
+select doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines,
+  coalesce(n, 0)::bigint as n_repeat_words, len(w) < 50 or 100 * coalesce(n, 0) > 50 * len(w) as base_failed
+from w left join inside using (rid)
+"""

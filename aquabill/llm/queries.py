@@ -1,4 +1,7 @@
-"""Queries of the training-data operators, by name, and the SQL of those that SQL can express."""
+"""Queries of the training-data operators, by name, and the SQL of those that SQL can express.
+
+Beside each operator's own query there are some that show those of its columns that SQL can express.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +9,24 @@ from collections.abc import Callable
 
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from aquabill.llm import bpe, decontaminate, language_id, line_dedup, near_dedup, quality, secrets, token_shards, url_filter, warc
 
 
+def secret_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.op1(spark, sf_dir).drop("spans")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = url_filter.op3(spark, sf_dir)
+    return got.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op7(spark, sf_dir).drop("kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": secrets.op1,
@@ -23,8 +40,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_line_dedup": line_dedup.op9,
         "op10_token_shards": token_shards.op10,
         "pipeline": corpus_pipeline.run,
+        "secret_patterns": secret_patterns,
+        "url_rules": url_rules,
+        "quality_base": quality_base,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_revisits": warc.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
+    return {
+        "op2_warc_revisits": warc.ORACLE, "op8_near_dedup": near_dedup.ORACLE, "op9_line_dedup": line_dedup.ORACLE,
+        "secret_patterns": secrets.ORACLE, "url_rules": url_filter.ORACLE, "quality_base": quality.ORACLE,
+    }

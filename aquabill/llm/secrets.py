@@ -202,3 +202,19 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = scan(docs, train(labelled_samples(docs)))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(spelled("base"), 256).alias("base_sha256"), spelled("spans").alias("spans"))
+
+
+_ASSIGN_SQL = ASSIGN.replace("'", "''")
+ORACLE = rf"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+m as (select *, string_split_regex(t, '{_ASSIGN_SQL}') as ag, regexp_extract_all(t, '{_ASSIGN_SQL}') as ah, string_split_regex(t, 'AKIA[A-Z0-9]+') as kg,
+  regexp_extract_all(t, 'AKIA[A-Z0-9]+') as kh, string_split_regex(t, '[0-9a-f]+') as hg, regexp_extract_all(t, '[0-9a-f]+') as hh from d),
+s as (select doc_id, k, g, h, unnest(range(1, len(h) + 1)) as i from (
+  select doc_id, 0 as k, ag as g, ah as h from m union all select doc_id, 1, kg, kh from m union all select doc_id, 2, hg, hh from m)),
+good as (select *, h[i] as hit from s where case k when 0 then length(regexp_extract(h[i], '{_ASSIGN_SQL}', 2)) >= 12 when 1 then length(h[i]) >= 18 else length(h[i]) >= 16 end),
+placed as (select doc_id, k, length(hit) as n, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0) as pos from good),
+told as (select doc_id, count(*) filter (where k = 0) as a, count(*) filter (where k = 1) as c, count(*) filter (where k = 2) as x,
+  string_agg(['assign', 'access', 'hex'][k + 1] || ':' || pos::bigint || ':' || (pos + n)::bigint, ',' order by pos, k) as spans from placed group by 1)
+select doc_id, coalesce(a, 0)::bigint as n_assign, coalesce(c, 0)::bigint as n_access, coalesce(x, 0)::bigint as n_hex, sha256(coalesce(spans, '')) as base_sha256
+from d left join told using (doc_id)
+"""

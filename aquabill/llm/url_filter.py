@@ -118,3 +118,14 @@ def judge(pages: DataFrame, model: tuple[list[float], float], rules=RULES) -> Da
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return judge(pages, train(labelled_urls(pages))).select("page_id", "host", "path", "rule", "verdict")
+
+
+ORACLE = r"""
+with s as (select page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
+t as (select *, '.' || host as h from s),
+u as (select page_id, host, path, case when ends_with(h, '.example.org') and starts_with(path, '/en/1') then 'example.org/en/1'
+  when ends_with(h, '.example.org') and starts_with(path, '/es/') then 'example.org/es/' when ends_with(h, '.com') and starts_with(path, '/fr/') then 'com/fr/'
+  when ends_with(h, '.com') and starts_with(path, '/de/') then 'com/de/' when ends_with(h, '.org') and starts_with(path, '/') then 'org/' end as rule from t)
+select *, case when rule in ('org/', 'com/fr/') then 'allow' when rule is not null then 'block' end as verdict from u
+"""

@@ -4,6 +4,9 @@ import collections
 import hashlib
 import random
 import re
+import time
+import tracemalloc
+import zlib
 
 import numpy as np
 import pytest
@@ -92,6 +95,15 @@ def test_secrets_without_digits_short_or_behind_a_path(spark, sf_dir):
     assert np.allclose(got, [score(x) for x in some])
 
 
+def test_secrets_cost_the_number_of_matches(spark, sf_dir):
+    model = secrets.train(secrets.labelled_samples(spark.read.parquet(f"{sf_dir}/documents.parquet"), n_random=500))
+    text = " ".join("deadbeefdeadbeef" if i % 2 else f"ZkQx{i:07d}zzTqWvBn9" for i in range(100_000))
+    start = time.perf_counter()
+    r = secrets.scan(table(spark, [(1, text)]), model).select("n_hex", F.size("spans").alias("n"), secrets.spelled("base").alias("base")).first()
+    assert time.perf_counter() - start < 60  # a quadratic one takes many minutes
+    assert (r["n_hex"], r["n"]) == (50_000, 100_000) and r["base"].endswith(f"hex:{len(text) - 16}:{len(text)}")
+
+
 # 2 WARC
 
 
@@ -185,8 +197,8 @@ def test_leaks_equal_brute_force(spark):
     index = decontaminate.Index([x for x in items if x[1]], 0.05, 100)
     want = set()
     for d, text in docs:
-        for window, item, edits in zip(index.windows, index.items, index.edits):
-            if edit_distance_inside("".join(map(chr, window)), normal(text or "")) <= edits:
+        for window, item in zip(index.windows, index.items):
+            if edit_distance_inside("".join(map(chr, window)), normal(text or "")) <= int(0.05 * len(window) + 1e-9):
                 want.add((d, item))
         if normal(text or "") == "ab":
             want.add((d, 22))
@@ -197,6 +209,45 @@ def test_leaks_equal_brute_force(spark):
     assert decontaminate.without_leaks(odd(spark, docs), table(spark, items, "item_id long, text string")).count() == sum(d not in {x for x, _ in want} for d, _ in docs)
 
 
+@pytest.mark.parametrize("max_errors", [0.05, 0.1])
+def test_whole_edit_budget_at_all_lengths(max_errors):
+    rnd = random.Random(6)
+    word = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    n = 0
+    for m in range(12, 121):
+        item = word(m)
+        index = decontaminate.Index([(7, item)], max_errors, 100)
+        for clean in (False, True):
+            s = list(item)
+            for p in rnd.sample(range(m), int(max_errors * m + 1e-9)) if not clean else []:
+                s[p] = rnd.choice(["", "z", s[p] + "y"])
+            text = word(30) + ("".join(s) if not clean else word(m)) + word(30)
+            want = any(edit_distance_inside("".join(map(chr, w)), text) <= int(max_errors * len(w) + 1e-9) for w in index.windows)
+            assert bool(index.search([text])) == want, (m, item, text)
+            n += want
+    assert n > 80
+    with pytest.raises(ValueError, match="q-grams"):
+        decontaminate.Index([(1, word(40))], 0.4, 100)
+
+
+def test_leaks_in_runs_of_one_character():
+    index = decontaminate.Index([(1, "0" * 400)], 0.05, 100)
+    tracemalloc.start()
+    assert index.search(["0" * 20_000]) == [(0, 1, 0, 20_000, 0)]
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+
+
+def test_leak_query_against_verbatim_pieces(spark, sf_dir):
+    docs = {r["doc_id"]: normal(r["text"] or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    items = {r["item_id"]: normal(r["text"] or "") for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.op4(spark, sf_dir).collect()}
+    verbatim = {(d, i) for i, x in items.items() for d, t in docs.items() if any(x[a : a + m] in t for a, m in decontaminate.window_starts(len(x), 100))}
+    assert verbatim and verbatim <= got
+    for d, i in got - verbatim:
+        assert any(edit_distance_inside(items[i][a : a + m], docs[d]) <= int(0.05 * m) for a, m in decontaminate.window_starts(len(items[i]), 100))
+
+
 def test_leak_places(spark):
     item = "a passage of the benchmark that is long enough to be told from other text, number one"
     text = "é😀 intro:  " + item.replace(" ", "\n") + "!! and more"
@@ -245,6 +296,20 @@ def test_language(spark, sf_dir):
     assert docs.limit(2).select(none("text").getField("lang").alias("x")).first()[0] == "und"
 
 
+def test_language_query(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {r["doc_id"]: r for r in language_id.op5(spark, sf_dir).collect()}
+    truth = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    assert all(r["held_out"] == (zlib.crc32(str(d).encode()) % 5 == 0) for d, r in got.items())
+    # what held-out rows say of themselves is no input, nor are ids and sources of any row when it is predicted
+    other = docs.withColumn("lang", F.when(~language_id.held_out(F.col("doc_id")), F.col("lang"))).withColumn("source", F.lit("x"))
+    other.write.parquet(f"{tmp_path}/documents.parquet")
+    again = {r["doc_id"]: r for r in language_id.op5(spark, str(tmp_path)).collect()}
+    assert {d: (r["lang_pred"], round(r["score"], 9)) for d, r in got.items()} == {d: (r["lang_pred"], round(r["score"], 9)) for d, r in again.items()}
+    held = [d for d, r in got.items() if r["held_out"] and truth[d]]
+    assert np.mean([got[d]["lang_pred"] == truth[d] for d in held]) > 0.95
+
+
 def test_forward_sums_all_segmentations():
     vocabulary = ["▁", "▁a", "a", "b", "ab", "▁ab", "ba"]
     lattice = language_id.Lattice(vocabulary)
@@ -292,6 +357,15 @@ def test_bpe_equals_the_library(spark):
         assert (r["ids"], r["decoded"]) == (ids, library.decode(ids, skip_special_tokens=False))
 
 
+def test_bpe_query_equals_the_library(spark, sf_dir):
+    library, sha = bpe_library(), lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = {}
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect():
+        ids = library.encode(r["text"] or "", add_special_tokens=False).ids
+        want[r["doc_id"]] = (len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)))
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.op6(spark, sf_dir).collect()} == want
+
+
 def test_bpe_word_table_is_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "MAX_WORDS", 10)
     coder = bpe.Coder(bpe.load())
@@ -386,6 +460,13 @@ def test_near_components_equal_brute_force(spark, monkeypatch, k, percent):
     assert again.count() == 61 and again.where("doc_id is null and component_id is null").count() == 1
 
 
+def test_rows_of_one_doc_id(spark):
+    text = lambda s: " ".join(f"{s}{i}" for i in range(60))
+    rows = [(1, text("a")), (2, text("a") + " x"), (2, text("b")), (3, text("b") + " y"), (4, text("c")), (5, text("c")), (5, text("a") + " z"), (6, text("d")), (6, text("d"))]
+    found = lambda r: sorted(tuple(x) for x in near_dedup.near_components(table(spark, r), 3, 85).select("doc_id", "component_id").collect())
+    assert found(rows) == found(rows[::-1]) == [(1, 1), (2, 1), (2, 1), (3, 1), (4, 1), (5, 1), (5, 1), (6, 6), (6, 6)]
+
+
 def test_components(spark):
     rnd = random.Random(2)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, 2000 + i) for i in range(1, 90)]
