@@ -6,7 +6,10 @@
 4. decontaminate drops documents that leak a benchmark item.
 5. bpe gives each document's token ids and the text that they decode to.
 
-Stages 1 to 4 return the columns of their input. Empty input gives empty output in every stage.
+Stages 1 to 4 return the columns of their input, whatever their names. Empty input gives empty output in every stage. Null
+and empty texts, and texts without a letter, go in stage 1. Of rows with one doc_id that are kept by stage 1, stage 3 keeps all
+or none; stage 4 drops all of them if one leaks. Rows without a doc_id are never near copies or leaks. Very long texts are read
+whole.
 """
 
 from __future__ import annotations
@@ -22,15 +25,16 @@ MIN_SCORE = 0.5
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a predicted language of posterior MIN_SCORE or more."""
-    got = docs.withColumn("language_id_result", language_id.identify(docs)("text"))
-    sure = (F.col("language_id_result.lang") != language_id.UNKNOWN) & (F.col("language_id_result.score") >= MIN_SCORE)
-    return got.where(sure).drop("language_id_result")
+    got = docs.select(F.struct(*docs.columns).alias("row"), language_id.identify(docs)("text").alias("found"))
+    sure = (F.col("found.lang") != language_id.UNKNOWN) & (F.col("found.score") >= MIN_SCORE)
+    return got.where(sure).select("row.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the repeated lines."""
-    out = line_dedup.dedup_lines(docs).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
-    return out.select(*docs.columns)
+    out = line_dedup.dedup_lines(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")))
+    new = {"text": F.col("text"), "n_chars": F.coalesce(F.length("text"), F.lit(0)).cast("long")}
+    return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
