@@ -2,25 +2,30 @@ r"""WARC archives with revisit resolution.
 
 Pages become WARC/1.1 records. Their headers (never the payloads) are aggregated by payload digest; the page with the
 smallest id of each digest is the response and the others become revisit records, which carry fresh headers and no
-payload. Archives are written by Spark's text sink with the record end `CRLF CRLF` as separator, so tasks that are lost
-are run again and only committed files count. Reading goes by Content-Length, so payloads may hold anything. Revisit
-records are joined to the responses that they name by payload digest.
+payload. Each record is a gzip member of its own (records of 16 MB or more are several members), so that it can be read by
+its offset alone. Archives are written by Spark's text sink, one row a file, so tasks that are lost are run again and only
+committed files count. Reading goes by Content-Length, so payloads may hold anything. Revisit records are joined to the
+responses that they name by payload digest.
 
-Payloads are shuffled once at most, by the join that marks revisits, and each partition of it becomes archive files of at
-most `records` records. A reader task holds one compressed file and one record. Digests with very many pages are joined by
-broadcast (see common.join_by_key).
+Payloads are shuffled once at most, by the join that marks revisits, and each partition of it becomes archive files of
+about `file_bytes` compressed bytes, more only by the last record. A task holds one such file and one record. Digests with
+very many pages are joined by broadcast (see common.join_by_key).
 
 Defined results: null html is an empty payload. Payloads under `min_bytes` are all responses. A null page_id can be
-response only if all ids of its digest are null. Rows that repeat the smallest page_id are all responses. A null URL
-gives a record without WARC-Target-URI; control characters and blanks in URLs are percent-encoded.
+response only if all ids of its digest are null. Rows that repeat the smallest page_id are all responses, and revisits name
+the smallest of their URLs. Rows of one page_id and digest have the same WARC-Record-ID. A null URL gives a record without
+WARC-Target-URI, and revisits of it have no WARC-Refers-To-Target-URI; control characters and blanks in URLs are
+percent-encoded. All records of one writing have one WARC-Date. An empty table gives archives without records.
 """
 
 from __future__ import annotations
 
 import base64
+import datetime
 import gzip
 import hashlib
 import io
+import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
 
@@ -31,6 +36,10 @@ from pyspark.sql import functions as F
 from aquabill.llm import common
 
 END = "\r\n\r\n"
+#: Compressed bytes of an archive file, and rows of an Arrow batch that the reader gives.
+FILE_BYTES, READ_ROWS = 16 << 20, 1000
+#: Shorter gzip members end in a zero byte, the highest of their length.
+MEMBER_BYTES = (1 << 24) - 1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "page_id long, url string, record_type string, digest string, payload_bytes long, refers_digest string"
 
@@ -55,46 +64,78 @@ def headers(pages: DataFrame) -> DataFrame:
 
 
 def resolve(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """headers() with `original`: null for responses, else the page_id that the row revisits."""
+    """headers() with `original` and `original_url`: null for responses, else page_id and URL of the response that the row revisits."""
     head = headers(pages)
-    large = head.where(F.col("payload_bytes") >= min_bytes).select("page_id", "digest")
-    groups = large.groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first"))
-    repeated = common.materialise(groups.where("n > 1"), "warc-digests")
+    large = head.where(F.col("payload_bytes") >= min_bytes).select("page_id", "digest", "url")
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))
+    groups = large.groupBy("digest").agg(F.count("*").alias("n"), first.alias("first")).where("n > 1")
+    repeated = common.materialise(groups.select("digest", "n", F.col("first.page_id").alias("original"), F.col("first.url").alias("original_url")), "warc-digests")
     # only ids and digests meet the shuffle of repeated digests
-    copies = common.join_by_key(large, repeated, ["digest"], "n").where(~F.col("page_id").eqNullSafe(F.col("first")))
-    marks = copies.groupBy("page_id", "digest").agg(F.max("first").alias("original"))
-    m = marks.select(F.col("page_id").alias("m_id"), F.col("digest").alias("m_digest"), "original")
+    copies = common.join_by_key(large.select("page_id", "digest"), repeated, ["digest"], "n").where(~F.col("page_id").eqNullSafe(F.col("original")))
+    m = copies.select(F.col("page_id").alias("m_id"), F.col("digest").alias("m_digest"), "original", "original_url").distinct()
     same = F.col("page_id").eqNullSafe(F.col("m_id")) & (F.col("digest") == F.col("m_digest"))
-    return head.join(m, same, "left").select(*head.columns, "original")
+    return head.join(m, same, "left").select(*head.columns, "original", "original_url")
 
 
-def record(original: Column) -> Column:
-    """The text of one WARC record without its end."""
-    uri = F.regexp_replace("url", "[\x01-\x20\x7f]", "%20")
-    revisit = original.isNotNull()
-    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
+def record(date: str) -> Column:
+    """The text of one WARC record, with its end, of a row of resolve()."""
+    original, revisit = F.col("original"), F.col("original").isNotNull()
+    uri = lambda url: F.regexp_replace(url, "[\x01-\x20\x7f]", "%20")
+    line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
     uuid = lambda *cols: F.regexp_replace(F.md5(F.concat_ws("|", *cols)), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "<urn:uuid:$1-$2-$3-$4-$5>")
-    fields = [
+    names = F.concat(
+        line("WARC-Profile", F.lit(PROFILE)),
+        line("WARC-Refers-To", uuid(original.cast("string"), F.col("digest"))),
+        line("WARC-Refers-To-Target-URI", uri("original_url")),
+        line("WARC-Refers-To-Date", F.lit(date)),
+    )
+    return F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
         line("WARC-Record-ID", uuid(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.col("digest"))),
-        line("WARC-Date", F.lit("2024-01-01T00:00:00Z")),
-        F.coalesce(line("WARC-Target-URI", uri), F.lit("")),
-        F.coalesce(line("X-Page-Id", F.col("page_id").cast("string")), F.lit("")),
+        line("WARC-Date", F.lit(date)),
+        line("WARC-Target-URI", uri("url")),
+        line("X-Page-Id", F.col("page_id").cast("string")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", uuid(original.cast("string"), F.col("digest"))))).otherwise(F.lit("")),
+        F.when(revisit, names).otherwise(F.lit("")),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
         line("Content-Length", F.when(revisit, F.lit(0)).otherwise(F.col("payload_bytes")).cast("string")),
         F.lit("\r\n"),
         F.when(revisit, F.lit("")).otherwise(F.col("payload")),
-    ]
-    return F.concat(*fields)
+        F.lit(END),
+    )
 
 
-def write_archives(resolved: DataFrame, path: str, records: int = 20_000) -> None:
-    """Writes gzip-compressed WARC files of at most so many records."""
-    rows = resolved.select(record(F.col("original")).alias("value"))
-    rows.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
+def members(data: bytes) -> Iterator[bytes]:
+    """Gzip members of data, each of MEMBER_BYTES at most."""
+    for a in range(0, len(data), MEMBER_BYTES):
+        packer = zlib.compressobj(wbits=31)
+        yield packer.compress(data[a : a + MEMBER_BYTES]) + packer.flush()
+
+
+def write_archives(resolved: DataFrame, path: str, file_bytes: int = FILE_BYTES, date: str | None = None) -> None:
+    """Writes WARC files of about file_bytes each, every record compressed by itself; date is now if none is given."""
+    date = date or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = bytearray()
+
+        def full() -> pa.RecordBatch:
+            # the sink ends the row, and so the file, by the zero byte that is taken off here
+            return pa.RecordBatch.from_pydict({"value": pa.array([bytes(memoryview(own)[:-1])], pa.binary())})
+
+        for batch in batches:
+            for value in batch.column("value"):
+                for member in members(value.as_py().encode()):
+                    own += member
+                if len(own) >= file_bytes:
+                    yield full()
+                    own = bytearray()
+        if own:
+            yield full()
+
+    rows = resolved.select(record(date).alias("value")).mapInArrow(files, "value binary")
+    rows.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 
 def parse(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -131,6 +172,9 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     "page_id": int(page) if page else None, "url": f.get("warc-target-uri"), "record_type": f["warc-type"], "digest": digest,
                     "payload_bytes": None if revisit else len(block), "refers_digest": named if revisit else None,
                 })
+                if len(rows) == READ_ROWS:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows = []
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 

@@ -1,7 +1,10 @@
 """Operators on small and odd tables: nulls, empty texts, ties, repeated rows, clashing columns, empty tables."""
 
 import collections
+import glob
+import gzip
 import hashlib
+import io
 import random
 import re
 import time
@@ -121,11 +124,45 @@ def test_warc_round_trip(spark, tmp_path):
         data, low = (h or "").encode(), first[h or ""]
         want.append((i, len(data), __import__("base64").b32encode(hashlib.sha1(data).digest()).decode(), "response" if i == low else "revisit", None if i == low else low))
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    empty = warc.resolve(df.limit(0))
+    warc.write_archives(empty, f"{tmp_path}/none")
+    assert warc.follow_revisits(warc.read_archives(spark, f"{tmp_path}/none")).count() == 0
     only_long = warc.resolve(df, min_bytes=5)
     assert only_long.where("original is not null").count() == 1
     assert warc.resolve(df.limit(0)).count() == 0
 
 
+def test_warc_records_stand_alone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 40_000)
+    pages = [(i, f"http://a/{i}", f"page {i % 20} " * (20_000 if i == 3 else 50)) for i in range(40)]
+    df = table(spark, pages, "page_id long, url string, html string").repartition(2)
+    warc.write_archives(warc.resolve(df), f"{tmp_path}/w", file_bytes=1000, date="2020-02-03T04:05:06Z")
+    found, files = {}, glob.glob(f"{tmp_path}/w/part-*")
+    for name in files:
+        with open(name, "rb") as f:
+            rest = f.read()
+        starts = []  # of members, each unpacked by itself
+        while rest:
+            one = zlib.decompressobj(31)
+            starts.append((rest, one.decompress(rest)))
+            rest = one.unused_data
+        records = [rest for rest, text in starts if text.startswith(b"WARC/")]
+        for data in records:  # from a record's offset on, the first record is that one
+            fields, block = next(warc.parse(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data)))))
+            found[int(fields["x-page-id"])] = fields, block
+        assert sum(len(d) for d in records[-1:]) < 2000 and len(starts) < 20
+    assert len(files) > 4 and len(found) == 40
+    by_id = {f["warc-record-id"]: p for p, (f, _) in found.items()}
+    for i, url, html in pages:
+        fields, block = found[i]
+        assert fields["warc-target-uri"] == url and fields["warc-date"] == "2020-02-03T04:05:06Z"
+        low = min(j for j, _, h in pages if h == html)
+        assert (fields["warc-type"], block) == (("response", html.encode()) if i == low else ("revisit", b""))
+        if i != low:
+            assert by_id[fields["warc-refers-to"]] == low and fields["warc-refers-to-target-uri"] == f"http://a/{low}"
+            assert fields["warc-refers-to-date"] == "2020-02-03T04:05:06Z" and fields["warc-profile"] == warc.PROFILE
+
+
 # 3 URLs
 
 
