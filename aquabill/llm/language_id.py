@@ -5,11 +5,15 @@ sum over all its segmentations into pieces, by the forward algorithm; a text's i
 prediction is the language of the highest posterior under equal priors. Piece probabilities are learned by expectation
 maximisation from the word counts of a bounded sample: about `per_lang` labelled documents a language, chosen by a hash.
 
+`surprise` says how far a text is from the language that it is given: its negative log-likelihood a letter by that of the
+sample of the language. Natural text has about 1, gibberish and languages unlike the learned ones 2.5 and more. PRIOR_LETTERS
+letters of surprise 1 are added, so a short text must be odder than a long one.
+
 A word is a run of letters, lower-cased; words over MAX_WORD letters are cut every MAX_WORD letters, so whole texts count.
 The words of a part of a batch are looked up once each, and a task keeps about MAX_WORDS of them.
 
-Defined results: null text or text without a letter is `und` with score 0. Ties go to the language that sorts first. With no
-labelled document every text is `und`. Rows are independent, so repeated rows repeat and an empty table stays empty.
+Defined results: null text or text without a letter is `und` with score and surprise 0. Ties go to the language that sorts first. With no
+labelled document every text is `und`. Labelled rows without a doc_id are sampled by their texts. Rows are independent, so repeated rows repeat and an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -34,6 +38,7 @@ WORD = re.compile(r"[^\W\d_]+")
 MAX_PIECE, MAX_WORD, MAX_WORDS = 10, 32, 100_000
 #: Probability of a letter that no piece holds, and pseudo-count of a piece.
 RARE, PSEUDO = 1e-7, 0.01
+PRIOR_LETTERS = 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -107,8 +112,8 @@ def forward(lengths: np.ndarray, edges: list, p: np.ndarray) -> np.ndarray:
     return alpha
 
 
-def fit(lattice: Lattice, words: list[str], counts: np.ndarray, steps: int) -> np.ndarray:
-    """Piece probabilities of one language by expectation maximisation; the last entry is for unknown letters."""
+def fit(lattice: Lattice, words: list[str], counts: np.ndarray, steps: int) -> tuple[np.ndarray, float]:
+    """Piece probabilities of one language by expectation maximisation, the last one for unknown letters; and the words' negative log-likelihood a letter."""
     use = np.zeros(lattice.n + 1)
     parts = []
     for a in range(0, len(words), 20_000):
@@ -120,7 +125,7 @@ def fit(lattice: Lattice, words: list[str], counts: np.ndarray, steps: int) -> n
         p = (use[:-1] + PSEUDO) / (use[:-1].sum() + PSEUDO * lattice.n)
         p = np.append(p, RARE)[:, None]
         if step == steps:
-            return p[:, 0]
+            break
         use = np.zeros(lattice.n + 1)
         for lengths, edges, n in parts:
             alpha = forward(lengths, edges, p)[:, :, 0]
@@ -131,6 +136,8 @@ def fit(lattice: Lattice, words: list[str], counts: np.ndarray, steps: int) -> n
                 into = p[piece, 0] * beta[w, end]
                 use += np.bincount(piece, weight[w] * alpha[w, end - k] * into, lattice.n + 1)
                 beta[w, end - k] += into
+    like = sum((n * np.log(forward(lengths, edges, p)[np.arange(len(lengths)), lengths, 0])).sum() for lengths, edges, n in parts)
+    return p[:, 0], -like / sum((n * lengths).sum() for lengths, _, n in parts)
 
 
 def cut(word: str) -> list[str]:
@@ -148,17 +155,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, vocabulary: list[str], per_lang: int = 400, steps: int = 3) -> tuple[list[str], np.ndarray]:
-    """Languages in order and their piece probabilities, one column each. per_lang bounds the documents of a language."""
+def train(docs: DataFrame, vocabulary: list[str], per_lang: int = 400, steps: int = 3) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages in order, their piece probabilities, one column each, and their negative log-likelihoods a letter. per_lang bounds the documents of a language."""
     rows = learnable(docs).select("doc_id", "lang", "text")
     n = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
     if not n:
-        return [], np.zeros((len(vocabulary) + 1, 0))
+        return [], np.zeros((len(vocabulary) + 1, 0)), np.zeros(0)
     # a hash below a bound that leaves about per_lang documents of each language
     bound = F.lit(-1)
     for lang, count in n.items():
         bound = F.when(F.col("lang") == lang, int(min(1.0, per_lang / count) * (1 << 30))).otherwise(bound)
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < bound)
+    sample = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < bound)
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")).groupBy("lang", "word").count()
 
     def learn(key, table: pd.DataFrame) -> pd.DataFrame:
@@ -167,13 +174,14 @@ def train(docs: DataFrame, vocabulary: list[str], per_lang: int = 400, steps: in
             own = cut(word)
             parts += own
             counts += [count] * len(own)
-        return pd.DataFrame({"lang": key[0], "p": [fit(lattice, parts, np.array(counts, float), steps)]})
+        p, typical = fit(lattice, parts, np.array(counts, float), steps)
+        return pd.DataFrame({"lang": key[0], "p": [p], "typical": typical})
 
     # a group holds the distinct words of about per_lang documents
-    learned = words.groupBy("lang").applyInPandas(learn, "lang string, p array<double>").collect()
-    probabilities = {r["lang"]: r["p"] for r in learned}
-    langs = sorted(probabilities)
-    return langs, np.array([probabilities[x] for x in langs]).T.reshape(len(vocabulary) + 1, len(langs))
+    learned = words.groupBy("lang").applyInPandas(learn, "lang string, p array<double>, typical double").collect()
+    learned = sorted(learned, key=lambda r: r["lang"])
+    p = np.array([r["p"] for r in learned]).T.reshape(len(vocabulary) + 1, len(learned))
+    return [r["lang"] for r in learned], p, np.array([r["typical"] for r in learned])
 
 
 class Scorer:
@@ -186,6 +194,7 @@ class Scorer:
     def _clear(self) -> None:
         self.index: dict[str, int] = {}
         self.scores = np.zeros((0, self.p.shape[1]))
+        self.letters = np.zeros(0)
 
     def score_words(self, words: list[str]) -> np.ndarray:
         parts, owner = [], []
@@ -203,7 +212,7 @@ class Scorer:
         return out
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Log-likelihood of each text in each language, and the number of its words with a letter."""
+        """Log-likelihood of each text in each language, and the letters and marks of its words with a letter."""
         words, ends = [], [0]
         for t in texts:
             words += WORD.findall(t.lower())
@@ -215,34 +224,37 @@ class Scorer:
             scores = self.score_words(new)
             scores[[not any(map(str.isalpha, w)) for w in new]] = np.nan  # numerals such as a superscript two
             self.scores = np.concatenate([self.scores, scores])
+            self.letters = np.concatenate([self.letters, [len(w) + 1 for w in new]])
         which = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         got = self.scores[which]
         letter = ~np.isnan(got[:, :1])
         total = np.concatenate([np.zeros((1, got.shape[1])), np.cumsum(np.where(letter, got, 0), axis=0)])
-        number = np.concatenate([[0], np.cumsum(letter)])
+        number = np.concatenate([[0], np.cumsum(np.where(letter[:, 0], self.letters[which], 0))])
         ends = np.array(ends)
         return total[ends[1:]] - total[ends[:-1]], number[ends[1:]] - number[ends[:-1]]
 
 
-def predictor(spark: SparkSession, langs: list[str], vocabulary: list[str], p: np.ndarray):
-    """A column function: text -> struct(lang, score)."""
+def predictor(spark: SparkSession, langs: list[str], vocabulary: list[str], p: np.ndarray, typical: np.ndarray):
+    """A column function: text -> struct(lang, score, surprise)."""
     shared = spark.sparkContext.broadcast((vocabulary, p))  # the vocabulary's size times the number of languages
 
-    @F.arrow_udf("struct<lang:string,score:double>")
+    @F.arrow_udf("struct<lang:string,score:double,surprise:double>")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(*shared.value)
         for batch in batches:
-            names, scores = [], []
+            names, scores, odd = [], [], []
             for a, b, texts in common.text_parts(batch):
                 if not langs:
-                    names, scores = names + [UNKNOWN] * (b - a), scores + [0.0] * (b - a)
+                    names, scores, odd = names + [UNKNOWN] * (b - a), scores + [0.0] * (b - a), odd + [0.0] * (b - a)
                     continue
                 like, n = scorer.score(texts)
                 best = like.argmax(axis=1)
                 posterior = 1 / np.exp(like - like.max(axis=1, keepdims=True)).sum(axis=1)
                 names += [langs[k] if m else UNKNOWN for k, m in zip(best, n)]
                 scores += np.where(n > 0, posterior, 0.0).tolist()
-            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
+                surprise = (PRIOR_LETTERS - like.max(axis=1) / typical[best]) / (PRIOR_LETTERS + n)
+                odd += np.where(n > 0, surprise, 0.0).tolist()
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(odd, pa.float64())], ["lang", "score", "surprise"])
 
     return predict
 
@@ -250,7 +262,8 @@ def predictor(spark: SparkSession, langs: list[str], vocabulary: list[str], p: n
 def identify(docs: DataFrame, vocabulary: list[str] | None = None, per_lang: int = 400):
     """Trains on docs and returns the column function that predict() of other tables can use too."""
     vocabulary = vocabulary or pieces()
-    return predictor(docs.sparkSession, *(lambda langs, p: (langs, vocabulary, p))(*train(docs, vocabulary, per_lang)))
+    langs, p, typical = train(docs, vocabulary, per_lang)
+    return predictor(docs.sparkSession, langs, vocabulary, p, typical)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

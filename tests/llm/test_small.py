@@ -329,10 +329,24 @@ def test_language(spark, sf_dir):
     got = odd(spark, list(enumerate(texts))).select("doc_id", predict("text").alias("p")).collect()
     assert [r["p"]["lang"] == "und" for r in sorted(got)] == [True, True, True, False, False, False, True]
     assert all(0 <= r["p"]["score"] <= 1 for r in got)
+    foreign = ["ndiyo habari yako rafiki yangu mpendwa karibu nyumbani " * 9, "szczęśliwego nowego roku wszystkim przyjaciołom życzymy", "日本語の文章はここにあります", "hjkasdhf jkashdf kjashd fkjahs dfkjh asdkjfh"]
+    got = table(spark, list(enumerate(foreign))).select(predict("text").getField("surprise").alias("s")).collect()
+    assert min(r["s"] for r in got) > 2.5
+    whole = docs.select(predict("text").getField("surprise").alias("s")).agg(F.max("s"), F.median("s")).first()
+    assert whole[0] < 2.5 and 0.9 < whole[1] < 1.1
     none = language_id.identify(docs.limit(0), per_lang=10)
     assert docs.limit(2).select(none("text").getField("lang").alias("x")).first()[0] == "und"
 
 
+def test_language_sample_of_rows_without_ids(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("doc_id", F.lit(None).cast("long"))
+    seen = []
+    monkeypatch.setattr(language_id, "fit", lambda lattice, words, counts, steps: (np.zeros(lattice.n + 1), counts.sum()))
+    for per_lang in (5, 10_000):
+        seen.append(language_id.train(docs, ["▁", "a"], per_lang)[2].sum())
+    assert 0 < seen[0] < seen[1] / 3
+
+
 def test_language_query(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = {r["doc_id"]: r for r in language_id.op5(spark, sf_dir).collect()}
