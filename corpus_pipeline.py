@@ -1,6 +1,6 @@
 """The corpus pipeline: five stages over the table documents, each written as Parquet and read again by the next one.
 
-1. language_id drops documents whose language is undetermined or uncertain.
+1. language_id drops documents whose language is undetermined or uncertain, or whose text is unlike that of any learned language.
 2. line_dedup takes out lines that many documents share; n_chars follows the new text.
 3. near_dedup keeps one document, the one of the smallest doc_id, of each group of near copies.
 4. decontaminate drops documents that leak a benchmark item.
@@ -21,13 +21,15 @@ from aquabill.llm import bpe, common, decontaminate, language_id, line_dedup, ne
 
 #: A posterior below this is no decision for a language.
 MIN_SCORE = 0.5
+#: A text whose letters are so many times as surprising as those of its language is in none that was learned (related ones can be less).
+MAX_SURPRISE = 2.5
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a predicted language of posterior MIN_SCORE or more."""
+    """Documents with a predicted language of posterior MIN_SCORE or more and a surprise of MAX_SURPRISE or less."""
     got = docs.select(F.struct(*docs.columns).alias("row"), language_id.identify(docs)("text").alias("found"))
     sure = (F.col("found.lang") != language_id.UNKNOWN) & (F.col("found.score") >= MIN_SCORE)
-    return got.where(sure).select("row.*")
+    return got.where(sure & (F.col("found.surprise") <= MAX_SURPRISE)).select("row.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
