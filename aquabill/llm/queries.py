@@ -11,7 +11,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aquabill.llm import alignment, bpe, decontaminate, language_id, line_dedup, mixture, near_dedup, quality, secrets, token_shards, url_filter, warc
+from aquabill.llm import alignment, bpe, conversations, decontaminate, language_id, line_dedup, mixture, near_dedup, quality, secrets, token_shards, url_filter, warc
 
 
 def secret_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,12 +39,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_dedup": near_dedup.op8,
         "op9_line_dedup": line_dedup.op9,
         "op10_token_shards": token_shards.op10,
+        "op11_conversation_repair": conversations.op11,
         "op12_token_alignment": alignment.op12,
         "op13_mix_sources": mixture.op13,
         "pipeline": corpus_pipeline.run,
         "secret_patterns": secret_patterns,
         "url_rules": url_rules,
         "quality_base": quality_base,
+        "conversation_faults": conversations.faults_of,
     }
 
 
@@ -52,4 +54,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_warc_revisits": warc.ORACLE, "op8_near_dedup": near_dedup.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op13_mix_sources": mixture.ORACLE,
         "secret_patterns": secrets.ORACLE, "url_rules": url_filter.ORACLE, "quality_base": quality.ORACLE,
+        "conversation_faults": conversations.ORACLE,
     }
