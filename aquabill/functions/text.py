@@ -14,7 +14,10 @@ MONTH_NAMES = {
     "Julho": "07", "Agosto": "08", "Setembro": "09", "Outubro": "10", "Novembro": "11", "Dezembro": "12",
 }
 MONTH_ABBREVIATIONS = {"JAN": "01", "FEV": "02", "MAR": "03", "ABR": "04", "MAI": "05", "JUN": "06", "JUL": "07", "AGO": "08", "SET": "09", "OUT": "10", "NOV": "11", "DEZ": "12"}
+#: Fixed value: what older stores hold where a field was not found.
 NOT_FOUND = "NÃO ACHOU"
+#: Unicode white space.
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 @cache
@@ -36,7 +39,7 @@ def fold(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space at both ends, form feeds and no-break spaces included."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(SPACE))
 
 
 def squeeze(text: Column) -> Column:

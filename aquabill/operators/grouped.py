@@ -1,12 +1,12 @@
-"""Bills of the grouped layout: one file, many accounts. Line state is kept by windows over (path, line_no)."""
+"""Bills of the grouped layout: one file, many accounts. Line state runs through the whole file, a run of lines at a time."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from aquabill.functions import text as T
+from aquabill.operators import runs
 from aquabill.operators.route import GROUPED
 from aquabill.schema import BILL
 from aquabill.sources.files import stamp
@@ -19,22 +19,17 @@ ACCOUNT, NUMERIC = r"^(\d+\s\d)", r"^[\d.,]+$"
 _EXACT, _ANY = "(?udU)", "(?iudU)"
 
 
-def up_to(last: int = 0, *more: str):
-    """The rows of a file (and group) from its first up to `last` rows from the current one."""
-    return W.partitionBy("path", *more).orderBy("line_no").rowsBetween(W.unboundedPreceding, last)
+def split_lines(docs: DataFrame, size: int = runs.LINES) -> DataFrame:
+    """docs with line_no, line and run in place of content."""
+    return runs.split_lines(docs, size)
 
 
-def split_lines(docs: DataFrame) -> DataFrame:
-    """docs with line_no and line in place of content."""
-    return docs.select(*[c for c in docs.columns if c != "content"], F.posexplode(F.split("content", "\n")).alias("line_no", "line"))
+def forward_fill(value: Column, frame) -> Column:
+    """The last non-null value up to and including the row."""
+    return F.last(value, ignorenulls=True).over(frame)
 
 
-def forward_fill(value: Column, frame=None) -> Column:
-    """The last non-null value up to and including the row (in files, if no frame is given)."""
-    return F.last(value, ignorenulls=True).over(frame or up_to())
-
-
-def in_state(event: Column, frame=None) -> Column:
+def in_state(event: Column, frame) -> Column:
     """Whether the last event (1 starts, 0 ends, null is none) was a start."""
     return F.coalesce(forward_fill(event, frame) == 1, F.lit(False))
 
@@ -43,34 +38,66 @@ def _value(pattern: str) -> Column:
     return F.when(F.col("line").rlike(_ANY + pattern), F.regexp_extract("line", _ANY + pattern, 1))
 
 
-def with_state(lines: DataFrame) -> DataFrame:
-    """lines with the header values, the number of the last capture that ended and whether the line is a row of the table."""
-    u = F.upper("s")
-    marked = lines.withColumn("s", T.strip(F.col("line"))).select(
+HEADER = {"number": NUMBER, "month": MONTH, "due": DUE}
+
+
+def marked(lines: DataFrame) -> DataFrame:
+    """lines with what each says by itself, and how the run's own lines before it leave the capture (null: as it was entered)."""
+    u = F.col("u")
+    out = lines.withColumn("s", T.strip(F.col("line"))).withColumn("u", F.upper("s")).select(
         "*", u.rlike(_EXACT + TRIGGER).alias("trigger"), ((F.col("s") == "") | u.rlike(_EXACT + HEADING)).alias("heading"),
-        u.rlike(_EXACT + START).alias("start"), F.greatest(*[F.contains(u, F.lit(x)) for x in STOPS]).alias("stop"),
+        u.rlike(_EXACT + START).alias("start"), F.greatest(*[F.contains(u, F.lit(x)) for x in STOPS]).alias("stop"), *[_value(p).alias(n) for n, p in HEADER.items()],
+    )
+    out = out.withColumn("ends", F.col("s").rlike(_EXACT + NAME_LINE) & ~F.col("trigger") & ~F.col("heading"))
+    out = out.withColumn("turn", F.when(F.col("trigger"), 1).when(F.col("ends"), 0))
+    own = runs.within()
+    return out.select("*", runs.latest(F.col("turn"), -1).alias("held"), F.sum(F.col("trigger").cast("int")).over(own).alias("captures"), F.row_number().over(own).alias("place"))
+
+
+def _event(capturing: Column) -> Column:
+    """Whether a line starts (1) or ends (0) the table; lines of a capture are not seen by it."""
+    return F.when(F.col("trigger") | (capturing & F.col("heading")), None).when(F.col("start"), 1).when(F.col("stop"), 0)
+
+
+def entries(lines: DataFrame) -> DataFrame:
+    """(path, run, in): how each run of marked lines is entered, from the transitions of the runs before it."""
+    ways = [F.coalesce(F.col("held"), F.lit(c)) == 1 for c in (0, 1)]
+    per_way = lambda name, f: [f(w).alias(f"{name}{c}") for c, w in enumerate(ways)]
+    runs_of = lines.groupBy(*runs.RUN).agg(
+        F.count("*").alias("n"), F.max("captures").alias("captures"), runs.ending(F.col("turn")).alias("turn"), *per_way("event", lambda w: runs.ending(_event(w))),
+        *per_way("closed", lambda w: F.max(F.when(w & F.col("ends"), F.col("captures")))), *[runs.ending(F.col(c)).alias(c) for c in HEADER],
     )
-    ends = F.col("s").rlike(_EXACT + NAME_LINE) & ~F.col("trigger") & ~F.col("heading")
-    marked = marked.withColumn("ends", ends).withColumn("capturing", in_state(F.when(F.col("trigger"), 1).when(F.col("ends"), 0), up_to(-1)))
-    # lines of the capture are not seen by the table
+    came = runs_of.select("*", runs.entered(F.col("turn"), F.lit(0)).alias("turn_in"), runs.counted(F.col("captures")).alias("captures_in"), runs.counted(F.col("n")).alias("lines_in"))
+    true = lambda name: F.when(F.col("turn_in") == 1, F.col(f"{name}1")).otherwise(F.col(f"{name}0"))
+    came = came.withColumns({"event": true("event"), "closed": true("closed") + F.col("captures_in")})
+    said = {"event": runs.entered(F.col("event"), F.lit(0)), "closed": runs.entered(F.col("closed")), **{c: runs.entered(F.col(c)) for c in HEADER}}
+    return came.select(*runs.RUN, F.struct(F.col("turn_in").alias("turn"), F.col("captures_in").alias("captures"), F.col("lines_in").alias("lines"), *[v.alias(n) for n, v in said.items()]).alias("in"))
+
+
+def with_state(lines: DataFrame) -> DataFrame:
+    """lines with line_no counted over the file, the header values, the number of the last capture that ended and whether a line is a row of the table."""
+    said = marked(lines)
+    out = said.join(entries(said), runs.RUN).withColumn("capturing", F.coalesce(F.col("held"), F.col("in.turn")) == 1)
     masked = F.col("trigger") | (F.col("capturing") & F.col("heading"))
-    event = F.when(masked, None).when(F.col("start"), 1).when(F.col("stop"), 0)
     part = F.when(F.col("capturing") & ~F.col("trigger") & ~F.col("heading"), F.when(F.col("ends"), F.regexp_extract("s", _EXACT + NAME_LINE, 1)).otherwise(F.col("s")))
-    stated = marked.select("*", masked.alias("masked"), event.alias("event"), part.alias("part"), F.sum(F.col("trigger").cast("int")).over(up_to()).alias("capture"))
-    row = in_state(F.col("event")) & F.col("event").isNull() & ~F.col("masked") & F.col("s").rlike("(?U)" + ACCOUNT)
-    return stated.withColumn("closed", F.col("capturing") & F.col("ends")).select(
-        "*", row.alias("is_row"), forward_fill(_value(NUMBER)).alias("number"), forward_fill(_value(MONTH)).alias("month"),
-        forward_fill(_value(DUE)).alias("due"), forward_fill(F.when(F.col("closed"), F.col("capture"))).alias("last_capture"),
-    )
+    out = out.withColumns({"event": _event(F.col("capturing")), "masked": masked, "part": part, "capture": F.col("captures") + F.col("in.captures"), "closed": F.col("capturing") & F.col("ends")})
+    table = F.coalesce(runs.latest(F.col("event")), F.col("in.event")) == 1
+    row = table & F.col("event").isNull() & ~F.col("masked") & F.col("s").rlike("(?U)" + ACCOUNT)
+    filled = {"last_capture": F.coalesce(runs.latest(F.when(F.col("closed"), F.col("capture"))), F.col("in.closed")), **{c: F.coalesce(runs.latest(F.col(c)), F.col(f"in.{c}")) for c in HEADER}}
+    line_no = (F.col("in.lines") + F.col("place") - 1).cast("int")
+    kept = [c for c in lines.columns if c not in ("line_no", "run")]
+    return out.select(*kept, line_no.alias("line_no"), "s", "part", "capture", "closed", row.alias("is_row"), *[v.alias(n) for n, v in filled.items()])
 
 
 def grouping_bodies(lines: DataFrame) -> DataFrame:
-    """(path, last_capture, body: name, group, payer) of each capture that ended; its parts are put together once."""
+    """(path, last_capture, body: name, group, payer) of each capture that ended; its parts are put together once, those of others never."""
     parts = F.array_sort(F.collect_list(F.struct("line_no", "part")))
-    end = F.max(F.when(F.col("closed"), F.struct(F.regexp_extract("s", _EXACT + NAME_LINE, 2).alias("group"), F.regexp_extract("s", _EXACT + NAME_LINE, 3).alias("payer"))))
-    made = lines.where("part is not null").groupBy("path", F.col("capture").alias("last_capture")).agg(parts.alias("parts"), end.alias("end")).where("end is not null")
+    of = lambda i: F.regexp_extract("s", _EXACT + NAME_LINE, i)
+    ends = lines.where("closed").select("path", F.col("capture").alias("last_capture"), of(2).alias("group"), of(3).alias("payer"))
+    made = lines.where("part is not null").select("path", F.col("capture").alias("last_capture"), "line_no", "part").join(ends, ["path", "last_capture"])
+    made = made.groupBy("path", "last_capture").agg(parts.alias("parts"), F.first("group").alias("group"), F.first("payer").alias("payer"))
     name = F.array_join(F.transform("parts", lambda x: x["part"]), " ")
-    return made.select("path", "last_capture", F.struct(name.alias("name"), F.col("end.group").alias("group"), F.col("end.payer").alias("payer")).alias("body"))
+    return made.select("path", "last_capture", F.struct(name.alias("name"), "group", "payer").alias("body"))
 
 
 def parsed(rows: DataFrame) -> DataFrame:
@@ -89,9 +116,14 @@ def parsed(rows: DataFrame) -> DataFrame:
     )
 
 
-def extract(docs: DataFrame) -> DataFrame:
-    """BILL rows (and path, block_no = line number) of routed docs of the grouped layout."""
-    lines = with_state(split_lines(docs.where(F.col("EMPRESA") == GROUPED)))
+def extract(docs: DataFrame, size: int = runs.LINES) -> DataFrame:
+    """BILL rows (and path, block_no = line number) of routed docs of the grouped layout, in runs of size lines."""
+    return extract_lines(split_lines(docs.where(F.col("EMPRESA") == GROUPED), size))
+
+
+def extract_lines(read: DataFrame) -> DataFrame:
+    """BILL rows (and path, block_no = line number) of the routed lines of files, as split_lines() or files.scan_lines() give them."""
+    lines = with_state(read.where(F.col("EMPRESA") == GROUPED))
     rows = parsed(lines.where("is_row")).join(grouping_bodies(lines), ["path", "last_capture"], "left")
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     made = {

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from aquabill.functions import text as T
-from aquabill.operators.grouped import forward_fill, split_lines
+from aquabill.operators import runs
+from aquabill.operators.runs import split_lines
 from aquabill.operators.route import METERS
 
 # Patterns of the report.
@@ -26,19 +27,33 @@ def last_in_block(lines: DataFrame, starts, value, keys: list[str], order: list)
     return numbered.withColumn("value", value).where("value is not null").groupBy(*keys, "block").agg(F.max_by("value", at).alias("value"), F.max(at).alias("at"))
 
 
-def extract(docs: DataFrame) -> DataFrame:
-    """METER rows (and path, line_no) of routed docs that are meter reports."""
-    lines = split_lines(docs.where(F.col("EMPRESA") == METERS)).withColumn("u", F.upper(T.strip(F.col("line"))))
-    is_account = F.col("u").rlike(_EXACT + ACCOUNT)
-    account = F.when(is_account, F.concat_ws(" ", F.regexp_extract("u", _EXACT + ACCOUNT, 1), F.regexp_extract("u", _EXACT + ACCOUNT, 2)))
-    held = lines.withColumn("CONTA_DV", forward_fill(account)).withColumn("is_account", is_account)
-    meter = F.when(~F.col("is_account") & F.col("u").rlike(_EXACT + METER), F.regexp_extract("u", _EXACT + METER, 1))
-    value = F.when(meter.isNotNull(), F.struct(meter.alias("meter"), "CONTA_DV", "file_name", "dir"))
-    blocks = last_in_block(held, F.col("is_account"), value, ["path"], ["line_no"])
-    month = F.concat_ws("/", F.regexp_extract("value.file_name", FILE_MONTH, 1), F.regexp_extract("value.file_name", FILE_MONTH, 2))
+def extract(docs: DataFrame, size: int = runs.LINES) -> DataFrame:
+    """METER rows (and path, line_no) of routed docs that are meter reports, in runs of size lines."""
+    return extract_lines(split_lines(docs.where(F.col("EMPRESA") == METERS), size))
+
+
+def extract_lines(read: DataFrame) -> DataFrame:
+    """METER rows (and path, line_no) of the routed lines of files, as split_lines() or files.scan_lines() give them.
+
+    A run is reduced to its blocks; the block that is open where a run begins is put together with that block of the runs before.
+    """
+    lines = read.where(F.col("EMPRESA") == METERS).withColumn("u", F.upper(T.strip(F.col("line"))))
+    opens, own = F.col("u").rlike(_EXACT + ACCOUNT), runs.within()
+    account = F.when(opens, F.concat_ws(" ", F.regexp_extract("u", _EXACT + ACCOUNT, 1), F.regexp_extract("u", _EXACT + ACCOUNT, 2)))
+    meter = F.when(~opens & F.col("u").rlike(_EXACT + METER), F.regexp_extract("u", _EXACT + METER, 1))
+    told = lines.withColumns({"account": account, "meter": meter})
+    told = told.select("*", F.count("account").over(own).alias("block"), F.row_number().over(own).alias("place"))
+    pieces = told.groupBy(*runs.RUN, "block", "file_name", "dir").agg(
+        F.count("*").alias("n"), F.max("account").alias("account"), F.max(F.when(F.col("meter").isNotNull(), F.struct("place", "meter"))).alias("last"),
+    )
+    came = pieces.groupBy(*runs.RUN).agg(F.sum("n").alias("n"), F.max("block").alias("blocks")).select(*runs.RUN, runs.counted(F.col("n")).alias("lines_in"), runs.counted(F.col("blocks")).alias("blocks_in"))
+    at = F.when(F.col("last").isNotNull(), F.struct((F.col("lines_in") + F.col("last.place") - 1).cast("int").alias("line_no"), F.col("last.meter").alias("meter")))
+    whole = pieces.join(came, runs.RUN).select("path", "file_name", "dir", "account", (F.col("blocks_in") + F.col("block")).alias("block"), at.alias("at"))
+    blocks = whole.where("block > 0").groupBy("path", "file_name", "dir", "block").agg(F.max("account").alias("account"), F.max("at").alias("at")).where("at is not null")
+    month = F.concat_ws("/", F.regexp_extract("file_name", FILE_MONTH, 1), F.regexp_extract("file_name", FILE_MONTH, 2))
     return blocks.select(
-        "path", F.col("at.line_no").alias("line_no"), F.col("value.CONTA_DV").alias("CONTA_DV"), F.when(month == "/", "").otherwise(month).alias("MES_ANO_REF"),
-        F.col("value.meter").alias("NUM_HIDROMETRO_EXTRAIDO"), F.col("value.file_name").alias("ARQUIVO_ORIGEM"), F.col("value.dir").alias("PASTA_ORIGEM"),
+        "path", "at.line_no", F.col("account").alias("CONTA_DV"), F.when(month == "/", "").otherwise(month).alias("MES_ANO_REF"),
+        F.col("at.meter").alias("NUM_HIDROMETRO_EXTRAIDO"), F.col("file_name").alias("ARQUIVO_ORIGEM"), F.col("dir").alias("PASTA_ORIGEM"),
     )
 
 

@@ -126,6 +126,26 @@ def extract_meters(spark, d):
     return meters.extract(docs).select("CONTA_DV", "MES_ANO_REF", "NUM_HIDROMETRO_EXTRAIDO")
 
 
+def _by_lines(spark, docs: DataFrame, folder: str) -> DataFrame:
+    """The routed lines of docs as files of some hundred texts each, cut into runs of 1,000 lines."""
+    root = files.scratch(spark)
+    many_bills_a_file(docs, 500).select("value").write.option("maxRecordsPerFile", 1).text(f"{root}/{folder}")
+    return route.route(files.scan_lines(spark, root, 1_000))
+
+
+def grouped_segments(spark, d):
+    """The grouped layout from files that are read by lines, in more runs than files."""
+    lines = _by_lines(spark, render.grouped_documents(table(spark, d, "orders")), "Saneago")
+    return grouped.extract_lines(lines).select(*SHOWN, "COD_ORGAO_AGRUPADOR", "COD_ORGAO_PAGADOR", "NOME_ORGAO_AGRUPADOR")
+
+
+def meter_segments(spark, d):
+    docs = render.meter_documents(table(spark, d, "orders"), 10)
+    alone = docs.withColumn("content", F.replace("content", F.lit("Hidrômetro: X0\n"), F.lit("")))  # it would go to the account of the report before
+    lines = _by_lines(spark, alone, "Saneago analitica")
+    return meters.extract_lines(lines).select("CONTA_DV", "MES_ANO_REF", "NUM_HIDROMETRO_EXTRAIDO")
+
+
 # order-dependent operators
 
 
@@ -280,13 +300,13 @@ def load_with_register(spark, d):
 def stream_with_meters(spark, d):
     """Grouped bills and their meter reports as files, few and many of them a micro-batch."""
     root, orders = files.scratch(spark), table(spark, d, "orders")
-    size = max(100, orders.count() // 60)
-    for folder, docs in (("Saneago", render.grouped_documents(orders)), ("Saneago analitica", render.meter_documents(orders.where("o_orderkey % 3 = 0"), size))):
-        many_bills_a_file(docs, max(10, docs.count() // 4)).select("value").write.option("maxRecordsPerFile", 1).text(f"{root}/in/{folder}")
+    customers = orders.select("o_custkey").distinct().count()
+    for folder, docs in (("Saneago", render.grouped_documents(orders)), ("Saneago analitica", render.meter_documents(orders.where("o_orderkey % 3 = 0"), 50))):
+        many_bills_a_file(docs, 200).select("value").write.option("maxRecordsPerFile", 1).text(f"{root}/in/{folder}")
     out = None
-    for many in (3, 1000):
+    for many in (max(3, customers // 800), 1_000_000):  # some micro-batches, and one
         load_stream(spark, f"{root}/in", f"{root}/store{many}", f"{root}/checkpoint{many}", max_files=many).awaitTermination()
-        own = files.read_store(spark, f"{root}/store{many}").select(F.lit(many).alias("max_files"), "CONTA_DV", "NUM_HIDROMETRO")
+        own = files.read_store(spark, f"{root}/store{many}").select(F.lit(many == 1_000_000).alias("at_once"), "CONTA_DV", "NUM_HIDROMETRO")
         out = own if out is None else out.unionByName(own)
     return out
 
@@ -320,7 +340,7 @@ QUERIES = {
         norm_text, br_number, month_names, residual_fee, route_first_match, scan_lineage, split_lines, split_blocks, extract_all, extract_grouped,
         extract_meters, forward_fill, table_state, last_in_block, latest_per_key, distinct_keep_first, exact_then_fallback, relate_meters,
         enrich_left, new_only, union_by_name, redistribute, load_report, routing_report, file_report, csv_round_trip, incremental_twice, stream_load, bills_pipeline,
-        keep_keyed, extract_multi, load_two_issuers, register_source, load_with_register, stream_with_meters,
+        grouped_segments, meter_segments, keep_keyed, extract_multi, load_two_issuers, register_source, load_with_register, stream_with_meters,
     )
 } | {f"extract_{x.issuer.lower()}": _extract(x.issuer) for x in LAYOUTS}
 
@@ -344,6 +364,11 @@ _LAST = "row_number() over (partition by o_custkey order by o_orderdate desc, o_
 _REGISTER_ACCOUNT = "lpad(c_custkey::varchar, 7, '0') || '-' || (c_custkey % 10)"
 _METER = "case when o_orderkey % 3 = 0 then 'M' || acc end"
 
+_GROUPED = f"""with {_ORDERS} select acc as NUM_FATURA, '03/2021' as MES_ANO_REF, '10/04/2021' as VENCIMENTO, num || ' ' || dig as CONTA_DV,
+  'CLIENTE ' || o_orderpriority as NOME_CLIENTE, 'RUA ' || acc as LOGRADOURO, (o_orderkey % 100)::double as CONSUMO_M3, water as VALOR_AGUA, sewage as VALOR_ESGOTO,
+  water + sewage as BASE_CALCULO, o_totalprice as VALOR_TAXAS_EXTRAS, (water + sewage + o_totalprice::decimal(18,2))::decimal(18,2)::double as VALOR_TOTAL,
+  '1234' as COD_ORGAO_AGRUPADOR, acc as COD_ORGAO_PAGADOR, 'TRIBUNAL ' || acc || ' SEGUNDA LINHA' as NOME_ORGAO_AGRUPADOR from o"""
+
 ORACLES = {
     "norm_text": "select doc_id, strip_accents(lower(text)) as folded from documents",
     "br_number": "select l_orderkey, count(*) as n, max(l_extendedprice) as most, sum(l_extendedprice::decimal(18,2))::double as exact, 0.0::double as bad from lineitem group by 1",
@@ -367,14 +392,13 @@ ORACLES = {
   case when not (fa or fe or fx) then water when fa then coalesce(p[1], 0) else 0 end as VALOR_AGUA,
   case when not (fa or fe or fx) then sewage when fe then coalesce(p[1 + fa::int], 0) else 0 end as VALOR_ESGOTO,
   case when not (fa or fe or fx) then fee when fx then coalesce(p[1 + fa::int + fe::int], 0) else 0 end as VALOR_TAXAS_EXTRAS from r""",
-    "stream_with_meters": f"with {_ORDERS} select n::int as max_files, num || ' ' || dig as CONTA_DV, {_METER} as NUM_HIDROMETRO from o, (values (3), (1000)) t(n)",
+    "stream_with_meters": f"with {_ORDERS} select at_once, num || ' ' || dig as CONTA_DV, {_METER} as NUM_HIDROMETRO from o, (values (true), (false)) t(at_once)",
     "split_lines": "select doc_id, i::int as line_no, p[i + 1] as line from (select doc_id, p, unnest(range(len(p))) i from (select doc_id, string_split(text, chr(10)) p from documents))",
     "split_blocks": "select doc_id, i::int as block_no, p[i + 1] as block from (select doc_id, p, unnest(range(len(p))) i from (select doc_id, string_split(text, chr(10)) p from documents)) where length(trim(p[i + 1])) >= 100",
     "extract_all": f"with {_BILLS} select EMPRESA, 'f' || o_orderkey || '.txt' as ARQUIVO_ORIGEM, NUM_FATURA, MES_ANO_REF, CONTA_DV, o_totalprice as VALOR_TOTAL from b",
-    "extract_grouped": f"""with {_ORDERS} select acc as NUM_FATURA, '03/2021' as MES_ANO_REF, '10/04/2021' as VENCIMENTO, num || ' ' || dig as CONTA_DV,
-  'CLIENTE ' || o_orderpriority as NOME_CLIENTE, 'RUA ' || acc as LOGRADOURO, (o_orderkey % 100)::double as CONSUMO_M3, water as VALOR_AGUA, sewage as VALOR_ESGOTO,
-  water + sewage as BASE_CALCULO, o_totalprice as VALOR_TAXAS_EXTRAS, (water + sewage + o_totalprice::decimal(18,2))::decimal(18,2)::double as VALOR_TOTAL,
-  '1234' as COD_ORGAO_AGRUPADOR, acc as COD_ORGAO_PAGADOR, 'TRIBUNAL ' || acc || ' SEGUNDA LINHA' as NOME_ORGAO_AGRUPADOR from o""",
+    "extract_grouped": _GROUPED,
+    "grouped_segments": _GROUPED,
+    "meter_segments": f"with {_ORDERS} select num || ' ' || dig as CONTA_DV, '' as MES_ANO_REF, 'M' || acc as NUM_HIDROMETRO_EXTRAIDO from o",
     "extract_meters": f"with {_ORDERS} select num || ' ' || dig as CONTA_DV, mes as MES_ANO_REF, 'M' || acc as NUM_HIDROMETRO_EXTRAIDO from o",
     "forward_fill": f"select event_id, last_value(case when event_type = 'purchase' then value end ignore nulls) {_USER} as v from events",
     "table_state": f"select event_id from (select *, last_value(x ignore nulls) {_USER} as st from (select *, case event_type when 'signup' then 1 when 'error' then 0 end x from events)) where st = 1 and x is null",

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from aquabill.operators import runs
 from aquabill.schema import BILL, METER_ROW, REGISTER, REGISTER_ALIASES, STORED
 
 
@@ -41,8 +42,8 @@ def qualified(spark: SparkSession, root: str) -> str:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri().getPath()
 
 
-def with_lineage(raw: DataFrame, root: str) -> DataFrame:
-    """DOC rows of a whole-text read of root, and root: its own name.
+def with_lineage(raw: DataFrame, root: str, *more: Column) -> DataFrame:
+    """DOC rows of a whole-text read of root, and root: its own name; and more.
 
     dir is the file's folder below root, with all folders on the way; the whole folder if root is a glob.
     """
@@ -50,7 +51,7 @@ def with_lineage(raw: DataFrame, root: str) -> DataFrame:
     folder = F.regexp_extract(F.regexp_replace(path, r"^[A-Za-z][\w+.-]*:(//[^/]*)?", ""), "^(.*)/[^/]*$", 1)
     below = F.when(folder == top, "").when(folder.startswith(top + "/"), F.substring(folder, len(top) + 2, 1 << 20)).otherwise(F.ltrim(folder, F.lit("/")))
     name = F.lit(re.sub(r"^.*/", "", top))
-    return raw.select(path.alias("path"), _unescaped(F.col("_metadata.file_name")).alias("file_name"), below.alias("dir"), decoded(F.col("value")).alias("content"), name.alias("root"))
+    return raw.select(path.alias("path"), _unescaped(F.col("_metadata.file_name")).alias("file_name"), below.alias("dir"), decoded(F.col("value")).alias("content"), name.alias("root"), *more)
 
 
 def skipped_texts(spark: SparkSession, root: str) -> int:
@@ -72,6 +73,18 @@ def scan_texts(spark: SparkSession, root: str) -> DataFrame:
     return with_lineage(reader.text(root, wholetext=True), root)
 
 
+def scan_lines(spark: SparkSession, root: str, size: int = runs.LINES) -> DataFrame:
+    """The lines of every *.txt file under root with their files' names (DOC without content, and root), run and line_no.
+
+    Files are read split by split, so that one may be larger than a task or a row can hold; line_no counts within a run.
+    """
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[tT][xX][tT]")
+    at = F.monotonically_increasing_id()  # rows of a split stand in one task, in order
+    raw = reader.text(root).select("value", "_metadata", at.alias("line_no"))
+    piece = runs.run(F.col("_metadata.file_block_start"), F.floor(F.col("line_no") / size))
+    return with_lineage(raw, root, F.col("line_no"), piece.alias("run")).withColumnRenamed("content", "line")
+
+
 def stamp() -> Column:
     """The run's timestamp, one value a query."""
     return F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")

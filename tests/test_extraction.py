@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from aquabill.functions import text as T
 from aquabill.operators import blocks, grouped, meters, route
+from aquabill.sources import files
 
 TEXTS = {
     ("DEMAE", "f.txt"): """Fatura nº: 6827883      Matrícula: 21544-9
@@ -201,6 +202,42 @@ def test_grouped_states_equal_a_model(spark):
     assert found == {f: m for (_, f), t in files.items() if (m := model(t))}
 
 
+@pytest.mark.parametrize("size", [1, 3, 7])
+def test_runs_of_any_length_give_the_same(spark, size):
+    rnd = random.Random(8)
+    grouped_lines = ["NOME DO ÓRGÃO AGRUPADOR", "CÓD ÓRG", "", "ABC  123  456", "parte", "CONTA DV NOME CLIENTE", "TOTAL", "12 3  A  B  1  2,00", "77 1  X  5", "Nº FATURA: 12", "MÊS/ANO REF: 01/2020", "VENCIMENTO: 1/1/2020"]
+    meter_lines = ["CONTA Nº: 12 - 3", "Conta N. 5-1", "HIDROMETRO: A1", "Hidrômetro: B2", "x", ""]
+    texts = {("Saneago", f"f{i}.txt"): "\n".join(rnd.choice(grouped_lines) for _ in range(rnd.randint(0, 40))) for i in range(80)}
+    texts |= {("Saneago", f"analitica_0{1 + i % 9}-2021_{i}.txt"): "\n".join(rnd.choice(meter_lines) for _ in range(rnd.randint(0, 30))) for i in range(80)}
+    routed = docs(spark, texts)
+    for module in (grouped, meters):
+        shown = lambda df: sorted(map(str, df.drop("DATA_PROCESSAMENTO").collect()))
+        assert len(want := shown(module.extract(routed))) > 50 and shown(module.extract(routed, size)) == want
+
+
+def test_a_file_read_by_lines_in_many_tasks(spark, tmp_path):
+    """One file of many lines, in splits of a task each, gives what the whole text gives."""
+    rnd, lines = random.Random(9), []
+    for i in range(3_000):
+        lines += [f"Nº FATURA: {i}"] if rnd.random() < 0.2 else []
+        lines += ["NOME DO ÓRGÃO AGRUPADOR", f"TRIBUNAL {i}", "LINHA  1234  5678"] if rnd.random() < 0.2 else []
+        lines += ["CONTA DV NOME CLIENTE"] if rnd.random() < 0.5 else []
+        lines += [f"{i} 1   NOME   RUA   3   1,00   2,00"] * 20
+        lines += ["TOTAL"] if rnd.random() < 0.5 else []
+    (tmp_path / "Saneago").mkdir()
+    (tmp_path / "Saneago" / "fatura.txt").write_text("\n".join(lines))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300000")
+    try:
+        read = route.route(files.scan_lines(spark, str(tmp_path), 5_000))
+        assert read.rdd.getNumPartitions() >= 8 and read.select("run").distinct().count() > 12
+        got = grouped.extract_lines(read).drop("DATA_PROCESSAMENTO", "path").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    want = grouped.extract(route.route(files.scan_texts(spark, str(tmp_path))), 10**9).drop("DATA_PROCESSAMENTO", "path").collect()
+    assert len(want) > 20_000 and sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_a_long_capture_costs_its_length(spark):
     lines = ["Nº FATURA: 1", "NOME DO ÓRGÃO AGRUPADOR"] + [f"PARTE {i}" for i in range(100_000)]
     end = ["FIM   1234   5678", "CONTA DV   NOME CLIENTE", "12345 6   NOME   RUA   3   1,00   2,00   3,00"]
