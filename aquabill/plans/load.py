@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aquabill.functions import text as T
 from aquabill.operators import grouped, meters, route
 from aquabill.operators.meters import keep_first
 from aquabill.schema import KEYS, METER_ROW
-from aquabill.sources import files
+from aquabill.sources.store import INDEX, Load, Manifest, Store, bucket, in_buckets, index_key
+
+REPORT = "EMPRESA string, bills long, added long, ignored long, files long, no_total long"
 
 
 def new_rows(rows: DataFrame, store: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -17,9 +19,21 @@ def new_rows(rows: DataFrame, store: DataFrame, keys: list[str] = KEYS) -> DataF
 
     Duplicates inside rows stay.
     """
-    known = store.select(*[T.found(F.col(k).cast("string")).alias(f"known_{k}") for k in keys])
-    same = [T.found(F.col(k).cast("string")) == F.col(f"known_{k}") for k in keys]
-    return rows.join(known, same, "left_anti")
+    # the issuer is compared as it is, so that the store's folders can be pruned by it
+    key = lambda k: F.col(k) if k == "EMPRESA" else T.found(F.col(k).cast("string"))
+    known = store.select(*[key(k).alias(f"known_{k}") for k in keys])
+    return rows.join(known, [key(k) == F.col(f"known_{k}") for k in keys], "left_anti")
+
+
+def unseen(batch: DataFrame, store: Store, manifest: Manifest) -> DataFrame:
+    """Rows of batch whose keys a version of the store does not hold, by its key index: only the batch is shuffled.
+
+    Of the index the batch's issuers are read; their number is that of the layouts.
+    """
+    issuers = [r["EMPRESA"] for r in batch.select("EMPRESA").distinct().collect()]
+    own = batch.withColumns({f"own_{k}": index_key(k, c) for k, c in INDEX.items()})
+    known = store.keys(manifest, issuers)
+    return own.join(known, [own[f"own_{k}"] == known[k] for k in INDEX], "left_anti").select(batch.columns)
 
 
 def union_by_name(*frames: DataFrame) -> DataFrame:
@@ -50,32 +64,55 @@ def file_report(bills: DataFrame) -> DataFrame:
     return bills.groupBy("EMPRESA", "PASTA_ORIGEM", "ARQUIVO_ORIGEM").agg(F.count("*").alias("bills"), F.round(F.sum("VALOR_TOTAL"), 2).alias("total"))
 
 
-def remember_meters(told: DataFrame, path: str) -> DataFrame:
-    """Adds unseen meter rows to those kept beside the store at path, and returns all of them."""
-    files.append_meters(new_rows(told, files.read_meters(told.sparkSession, path), METER_ROW.names), path)
-    return files.read_meters(told.sparkSession, path)
+def take_meters(own: Load, told: DataFrame) -> None:
+    """Adds the meter rows that the store does not hold to a load."""
+    stored = own.store.meters(own.base)
+    own.add_meters(new_rows(told, stored, METER_ROW.names))
 
 
-def relate_again(spark: SparkSession, path: str) -> None:
-    """Relates the stored bills of the grouped layout to all stored meter rows, and writes them anew if a meter changed."""
-    stored = files.read_store(spark, path).where(F.col("EMPRESA") == grouped.GROUPED)
-    # the relation depends on account and month alone
-    known = stored.select("CONTA_DV", "MES_ANO_REF", "NUM_HIDROMETRO").distinct()
-    told = files.read_meters(spark, path)
-    if not meters.relate(known, told).exceptAll(known).isEmpty():
-        files.replace_in_store(meters.relate(stored, told), path)
+def take_bills(own: Load, batch: DataFrame, dedupe_batch: bool = False, known: Manifest | None = None) -> list[dict]:
+    """Adds the batch's bills that a version of the store (the load's own base) does not hold to a load, and returns its report."""
+    batch = batch.persist()
+    try:
+        added = unseen(batch, own.store, known or own.base)
+        if dedupe_batch:
+            added = keep_first(added, KEYS, ["PASTA_ORIGEM", "ARQUIVO_ORIGEM"])
+        own.add_bills(added)
+        return [r.asDict() for r in report(batch, own.own_bills()).collect()]  # one row an issuer
+    finally:
+        batch.unpersist()
+
+
+def revise(own: Load) -> None:
+    """Relates stored bills anew to the load's meter rows: those of accounts that it brings meter rows for.
+
+    The buckets of these accounts are read, and of them only those in which a meter changes are written, under new names. A load without
+    new meter rows reads no bills.
+    """
+    if not (buckets := own.meter_buckets()):
+        return
+    accounts = own.own_meters().select(T.account_key(F.col("CONTA_DV")).alias("told_key")).distinct()
+    told = own.meters(buckets)
+    key = T.account_key(F.col("CONTA_DV")) == F.col("told_key")
+    n, store = own.base.buckets, own.store
+    grouped_folders = [f for f in own.base.data if f"/EMPRESA={grouped.GROUPED}/" in f]
+
+    def related(folders: list[str]) -> tuple[DataFrame, DataFrame]:
+        """Bills of the accounts with what they hold now as `held`, and all other bills."""
+        stored = store.bills(folders=folders)
+        theirs = stored.join(accounts, key, "left_semi").withColumn("held", F.col("NUM_HIDROMETRO"))
+        return meters.relate(theirs, told.join(accounts, key, "left_semi")), stored.join(accounts, key, "left_anti")
+
+    theirs, _ = related(in_buckets(grouped_folders, buckets))
+    changed = theirs.where(~F.col("held").eqNullSafe(F.nullif("NUM_HIDROMETRO", F.lit("")))).select(bucket(F.col("CONTA_DV"), n).alias("b")).distinct()
+    if touched := in_buckets(grouped_folders, [r["b"] for r in changed.collect()]):
+        theirs, others = related(touched)
+        own.replace_bills(touched, theirs.drop("held").unionByName(others))
 
 
 def load(batch: DataFrame, path: str, dedupe_batch: bool = False) -> DataFrame:
-    """Appends the batch's new bills to the store at path and returns the report."""
-    batch = batch.persist()
-    added = new_rows(batch, files.read_store(batch.sparkSession, path))
-    if dedupe_batch:
-        added = keep_first(added, KEYS, ["PASTA_ORIGEM", "ARQUIVO_ORIGEM"])
-    added = added.persist()
-    out = report(batch, added)
-    rows = out.collect()  # before the append: one row an issuer
-    files.append_store(added, path)
-    added.unpersist()
-    batch.unpersist()
-    return batch.sparkSession.createDataFrame(rows, out.schema)
+    """Adds the batch's new bills to the store at path as a version of its own, and returns the report."""
+    own = Store(batch.sparkSession, path).begin()
+    rows = take_bills(own, batch, dedupe_batch)
+    own.commit(rows)
+    return batch.sparkSession.createDataFrame(rows, REPORT)

@@ -12,6 +12,7 @@ from aquabill.operators.layouts import LAYOUTS
 from aquabill.plans import load, pipeline, render
 from aquabill.schema import BILL, KEYS
 from aquabill.sources import files
+from aquabill.sources.store import Store, history
 from aquabill.streaming.load import load_stream
 
 SHOWN = ["NUM_FATURA", "MES_ANO_REF", "VENCIMENTO", "CONTA_DV", "NOME_CLIENTE", "LOGRADOURO", "CONSUMO_M3", "VALOR_AGUA", "VALOR_ESGOTO", "BASE_CALCULO", "VALOR_TAXAS_EXTRAS", "VALOR_TOTAL"]
@@ -253,7 +254,7 @@ def incremental_twice(spark, d):
     for i, r in enumerate(reports):
         r = r.select(F.lit(i).alias("load"), "EMPRESA", "added", "ignored")
         out = r if out is None else out.unionByName(r)
-    stored = files.read_store(spark, path).groupBy("EMPRESA").agg(F.count("*").alias("stored"))
+    stored = Store(spark, path).bills().groupBy("EMPRESA").agg(F.count("*").alias("stored"))
     return out.join(stored, "EMPRESA").select("load", "EMPRESA", "added", "ignored", "stored")
 
 
@@ -294,7 +295,62 @@ def load_with_register(spark, d):
     docs.select("value").write.option("maxRecordsPerFile", 1).text(f"{root}/in/DEMAE")
     write_register(spark, d, f"{root}/register")
     pipeline.run(spark, f"{root}/in", f"{root}/store", f"{root}/register", redistribute=True)
-    return files.read_store(spark, f"{root}/store").select("NUM_FATURA", "CONTA_DV", "id_CONTA", "UNIDADE", "VALOR_AGUA", "VALOR_ESGOTO", "VALOR_TAXAS_EXTRAS")
+    return Store(spark, f"{root}/store").bills().select("NUM_FATURA", "CONTA_DV", "id_CONTA", "UNIDADE", "VALOR_AGUA", "VALOR_ESGOTO", "VALOR_TAXAS_EXTRAS")
+
+
+def _bills(orders: DataFrame, issuer: str, account) -> DataFrame:
+    """The keys and totals of the bills that orders stand for, without the texts between."""
+    key, customer = F.lpad(F.col("o_orderkey").cast("string"), 9, "0"), F.lpad(F.col("o_custkey").cast("string"), 7, "0")
+    digit = (F.col("o_custkey") % 10).cast("string")
+    none = F.lit(None).cast("string")
+    return orders.select(
+        F.lit(issuer).alias("EMPRESA"), key.alias("NUM_FATURA"), F.date_format("o_orderdate", "MM/yyyy").alias("MES_ANO_REF"), account(key, customer, digit).alias("CONTA_DV"),
+        none.alias("NUM_HIDROMETRO"), F.col("o_totalprice").alias("VALOR_TOTAL"), none.alias("PASTA_ORIGEM"), none.alias("ARQUIVO_ORIGEM"),
+    )
+
+
+def new_only_indexed(spark, d):
+    """Bills of two issuers with the same numbers, against a store that holds a third of one issuer's."""
+    path, orders = files.scratch(spark), table(spark, d, "orders")
+    one, other = (_bills(orders, x, lambda key, customer, digit: customer) for x in ("DEMAE", "SAE"))
+    load.load(one.where("cast(NUM_FATURA as bigint) % 3 = 0"), path)
+    store = Store(spark, path)
+    return load.unseen(one.unionByName(other), store, store.manifest()).select("EMPRESA", "NUM_FATURA")
+
+
+def store_snapshot(spark, d):
+    """Two versions of a store, each as it was, while a load is written that is never published."""
+    path, bills = files.scratch(spark), _bills(table(spark, d, "orders"), "DEMAE", lambda key, customer, digit: customer)
+    third = F.col("NUM_FATURA").cast("long") % 3
+    for part in (third == 0, third == 1):
+        load.load(bills.where(part), path)
+    store = Store(spark, path)
+    store.begin().add_bills(bills.where(third == 2))
+    first, second = (store.bills(store.manifest(v)).select(F.lit(v).alias("version"), "NUM_FATURA") for v in (1, 2))
+    return first.unionByName(second)
+
+
+def relate_delta(spark, d):
+    """Stored bills after two loads that bring nothing but meter rows, the later ones of a later month."""
+    path, orders = files.scratch(spark), table(spark, d, "orders")
+    bills = _bills(orders, "SANEAGO", lambda key, customer, digit: F.concat_ws(" ", key, digit))
+    load.load(bills, path)
+    for k, mark, month in ((3, "M", "01/1980"), (6, "N", "02/1980")):
+        told = bills.where(F.col("NUM_FATURA").cast("long") % k == 0).select("CONTA_DV", F.lit(month).alias("MES_ANO_REF"), F.concat(F.lit(mark), F.col("NUM_FATURA")).alias("NUM_HIDROMETRO_EXTRAIDO"))
+        none = F.lit("").alias("path")
+        own = Store(spark, path).begin()
+        load.take_meters(own, told.select("*", F.lit("").alias("ARQUIVO_ORIGEM"), F.lit("").alias("PASTA_ORIGEM"), none, F.lit(0).alias("line_no")))
+        load.revise(own)
+        own.commit()
+    return Store(spark, path).bills().select("CONTA_DV", "NUM_HIDROMETRO")
+
+
+def stream_report(spark, d):
+    """What all micro-batches of a stream did; each is a version of the store."""
+    root, orders = files.scratch(spark), table(spark, d, "orders")
+    many_bills_a_file(render.documents(orders, ["DEMAE"]), 500).select("value").write.option("maxRecordsPerFile", 1).text(f"{root}/in/DEMAE")
+    load_stream(spark, f"{root}/in", f"{root}/store", f"{root}/checkpoint", max_files=max(2, orders.count() // 2_000)).awaitTermination()
+    return history(spark, f"{root}/store").groupBy("EMPRESA").agg(*[F.sum(c).alias(c) for c in ("bills", "added", "ignored", "no_total")], (F.max("version") > 1).alias("several"))
 
 
 def stream_with_meters(spark, d):
@@ -306,7 +362,7 @@ def stream_with_meters(spark, d):
     out = None
     for many in (max(3, customers // 800), 1_000_000):  # some micro-batches, and one
         load_stream(spark, f"{root}/in", f"{root}/store{many}", f"{root}/checkpoint{many}", max_files=many).awaitTermination()
-        own = files.read_store(spark, f"{root}/store{many}").select(F.lit(many == 1_000_000).alias("at_once"), "CONTA_DV", "NUM_HIDROMETRO")
+        own = Store(spark, f"{root}/store{many}").bills().select(F.lit(many == 1_000_000).alias("at_once"), "CONTA_DV", "NUM_HIDROMETRO")
         out = own if out is None else out.unionByName(own)
     return out
 
@@ -322,7 +378,7 @@ def stream_load(spark, d):
     whole.select("value").repartition(n_files).write.option("maxRecordsPerFile", 2).text(f"{root}/in/DEMAE")
     for i in range(2):
         load_stream(spark, f"{root}/in", f"{root}/store", f"{root}/checkpoint{i}", max_files=n_files // 2).awaitTermination()
-    return files.read_store(spark, f"{root}/store").select(*KEYS, "VALOR_TOTAL")
+    return Store(spark, f"{root}/store").bills().select(*KEYS, "VALOR_TOTAL")
 
 
 def bills_pipeline(spark, d):
@@ -340,7 +396,7 @@ QUERIES = {
         norm_text, br_number, month_names, residual_fee, route_first_match, scan_lineage, split_lines, split_blocks, extract_all, extract_grouped,
         extract_meters, forward_fill, table_state, last_in_block, latest_per_key, distinct_keep_first, exact_then_fallback, relate_meters,
         enrich_left, new_only, union_by_name, redistribute, load_report, routing_report, file_report, csv_round_trip, incremental_twice, stream_load, bills_pipeline,
-        grouped_segments, meter_segments, keep_keyed, extract_multi, load_two_issuers, register_source, load_with_register, stream_with_meters,
+        grouped_segments, meter_segments, new_only_indexed, store_snapshot, relate_delta, stream_report, keep_keyed, extract_multi, load_two_issuers, register_source, load_with_register, stream_with_meters,
     )
 } | {f"extract_{x.issuer.lower()}": _extract(x.issuer) for x in LAYOUTS}
 
@@ -408,6 +464,11 @@ ORACLES = {
     "exact_then_fallback": f"""with t as (select *, strftime(o_orderdate, '%m/%Y') as m, case when o_orderkey % 2 = 0 then o_orderpriority else '' end as v from orders where o_orderkey % 3 = 0),
   e as (select * from t qualify row_number() over (partition by o_custkey, m order by o_orderkey) = 1), l as (select * from t qualify {_LAST})
   select o.o_orderkey, coalesce(nullif(e.v, ''), l.v) as value from orders o left join e on e.o_custkey = o.o_custkey and e.m = strftime(o.o_orderdate, '%m/%Y') left join l on l.o_custkey = o.o_custkey""",
+    "new_only_indexed": """select 'DEMAE' as EMPRESA, lpad(o_orderkey::varchar, 9, '0') as NUM_FATURA from orders where o_orderkey % 3 <> 0
+  union all select 'SAE', lpad(o_orderkey::varchar, 9, '0') from orders""",
+    "store_snapshot": "select v::int as version, lpad(o_orderkey::varchar, 9, '0') as NUM_FATURA from orders, (values (1), (2)) t(v) where o_orderkey % 3 < v",
+    "relate_delta": f"with {_ORDERS} select num || ' ' || dig as CONTA_DV, case when o_orderkey % 6 = 0 then 'N' || num when o_orderkey % 3 = 0 then 'M' || num end as NUM_HIDROMETRO from o",
+    "stream_report": "select 'DEMAE' as EMPRESA, count(*) as bills, count(*) as added, 0::bigint as ignored, 0::bigint as no_total, true as several from orders",
     "relate_meters": f"with {_ORDERS} select num || ' ' || dig as CONTA_DV, {_METER} as NUM_HIDROMETRO from o",
     "enrich_left": "select o_orderkey, o_custkey || ' 1' as CONTA_DV, c_custkey as id_CONTA, c_name as UNIDADE from orders left join customer on c_custkey = o_custkey and c_custkey % 5 <> 0",
     "new_only": "select o_orderkey from orders where o_orderkey % 3 <> 0",

@@ -1,4 +1,4 @@
-"""Text scan with lineage, register, CSV and Parquet stores."""
+"""Text scan with lineage, register, CSV."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from aquabill.operators import runs
-from aquabill.schema import BILL, METER_ROW, REGISTER, REGISTER_ALIASES, STORED
+from aquabill.schema import BILL, REGISTER, REGISTER_ALIASES, STORED
 
 
 def scratch(spark: SparkSession, name: str = "bills") -> str:
@@ -26,6 +26,12 @@ def scratch(spark: SparkSession, name: str = "bills") -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def decoded(content: Column) -> Column:
     """CRLF and CR -> LF; the text source has turned invalid UTF-8 into U+FFFD already."""
     return F.regexp_replace(content, "\r\n?", "\n")
@@ -104,48 +110,11 @@ def read_register(spark: SparkSession, path: str) -> DataFrame | None:
     return raw.select(*[F.coalesce(c, F.col(f"`{REGISTER_ALIASES[c]}`")).alias(c) if c in REGISTER_ALIASES else F.col(c) for c in REGISTER.names])
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """The Parquet store (STORED); empty if there is none yet. Register columns that older files lack are null."""
-    return _parquet(spark, path, STORED)
-
-
-def _parquet(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
 def stored_columns(bills: DataFrame) -> DataFrame:
     """bills in the columns of STORED; those that bills lack are null."""
     return bills.select(*[F.col(f.name) if f.name in bills.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in STORED.fields])
 
 
-def append_store(bills: DataFrame, path: str) -> None:
-    """One folder an issuer; columns always in the order of STORED."""
-    stored_columns(bills).write.mode("append").partitionBy("EMPRESA").parquet(path)
-
-
-def replace_in_store(bills: DataFrame, path: str) -> None:
-    """Puts bills in place of the folders of their issuers; they may be read from those folders."""
-    stored_columns(bills).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("EMPRESA").parquet(path)
-
-
-def _meter_path(path: str) -> str:
-    return path.rstrip("/") + "-meters"
-
-
-def read_meters(spark: SparkSession, path: str) -> DataFrame:
-    """All meter rows that came with the bills of the store at path; they lie in a folder beside it."""
-    return _parquet(spark, _meter_path(path), METER_ROW)
-
-
-def append_meters(meters: DataFrame, path: str) -> None:
-    meters.select(*METER_ROW.names).write.mode("append").parquet(_meter_path(path))
-
-
 def export_csv(bills: DataFrame, path: str) -> None:
     """Semicolon CSV with a header, one folder an issuer, in the columns of STORED that bills have; nulls are empty fields."""
     bills.select(*[c for c in STORED.names if c in bills.columns]).write.mode("overwrite").partitionBy("EMPRESA").option("sep", ";").option("header", True).option("emptyValue", "").csv(path)

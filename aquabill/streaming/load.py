@@ -2,40 +2,40 @@
 
 from __future__ import annotations
 
-import uuid
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from aquabill.operators import meters
-from aquabill.plans.load import new_rows, relate_again, remember_meters
-from aquabill.plans.pipeline import bills_of_routed, staged
-from aquabill.schema import KEYS
+from aquabill.plans.pipeline import take
 from aquabill.sources import files
+from aquabill.sources.store import Store
+
+
+def _identity(spark: SparkSession, checkpoint: str) -> str:
+    """The stream's name, which its checkpoint keeps."""
+    text = spark.read.text(f"{checkpoint.rstrip('/')}/metadata", wholetext=True).first()["value"]
+    return json.loads(text)["id"]
 
 
 def load_stream(
     spark: SparkSession, root: str, store: str, checkpoint: str, max_files: int = 1000, register_path: str | None = None, redistribute: bool = False
 ) -> StreamingQuery:
-    """Starts the stream over what root holds now. The store is its state, so a new checkpoint adds nothing twice.
+    """Starts the stream over what root holds now. Each micro-batch is a version of the store; `store.history` tells what it did.
 
     The store then holds what one batch over the same files would have given, in however many micro-batches they come:
     bills are related to all meter rows so far, stored bills to those that come after them, and only bills whose keys the
-    store held at the start are left out. After a failure the stream starts anew from the store as it then is, so repeats
-    of bills that were stored before the failure are left out too.
+    store's version at the start holds are left out. A manifest names the last epoch of each stream, so a micro-batch that is replayed
+    after a failure adds nothing; a stream that is started again after one leaves out what was stored before it.
     """
-    known = f"{checkpoint.rstrip('/')}/known-{uuid.uuid4().hex}"  # the store's files may be replaced meanwhile
-    files.read_store(spark, store).select(*KEYS).distinct().write.parquet(known)  # small columns only
+    known = Store(spark, store).begin().base
 
     def add(batch: DataFrame, epoch: int) -> None:
-        session, routed = batch.sparkSession, staged(batch)
-        register = files.read_register(session, register_path) if register_path else None
-        own = meters.extract(routed)
-        told = remember_meters(own, store)
-        files.append_store(new_rows(bills_of_routed(routed, told, register, redistribute), session.read.parquet(known)), store)
-        # also after a failure between the two writes, when the meter rows are no longer new
-        if not own.isEmpty():
-            relate_again(session, store)
+        session = batch.sparkSession
+        own, stream = Store(session, store).begin(), _identity(session, checkpoint)
+        if own.base.epochs.get(stream, -1) < epoch:
+            register = files.read_register(session, register_path) if register_path else None
+            own.commit(take(own, batch, register, redistribute, known=known), stream, epoch)
 
     # wholetext must be given as an argument; an option of that name is overridden by the argument's default
     raw = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[tT][xX][tT]").option("maxFilesPerTrigger", max_files).text(root, wholetext=True)

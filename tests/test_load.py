@@ -8,6 +8,7 @@ from aquabill.operators import enrich, meters, route
 from aquabill.plans import load, pipeline, render
 from aquabill.schema import BILL, STORED
 from aquabill.sources import files
+from aquabill.sources.store import Store, history
 from aquabill.streaming.load import load_stream
 
 
@@ -45,7 +46,7 @@ def test_pipeline_stream_and_store(spark, tmp_path):
     assert {k: r["added"] for k, r in first.items()} == {"DEMAE": 1, "IPAMERI": 1, "BURITI_ALEGRE": 1, "SAAE_ABADIANIA": 1, "SAAE_CORUMBA": 1, "SAAE_MINEIROS": 1, "CODEGO": 2, "SAE": 1, "SANEAGO": 3}
     assert sum(r["added"] for r in pipeline.run(spark, str(root), store).collect()) == 0
     load_stream(spark, str(root), store, str(tmp_path / "checkpoint")).awaitTermination()
-    stored = files.read_store(spark, store)
+    stored = Store(spark, store).bills()
     assert stored.count() == 12 and stored.columns == [*STORED.names[:20], *STORED.names[21:], "EMPRESA"]
     assert {r["EMPRESA"] for r in stored.collect()} == set(first)  # meter reports are no bills
     assert stored.where("DATA_PROCESSAMENTO rlike '^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$'").count() == 12
@@ -71,13 +72,13 @@ def test_stream_in_many_batches_equals_one(spark, tmp_path):
     store = str(tmp_path / "store")
     for i in range(2):  # a second stream adds nothing
         load_stream(spark, str(tmp_path / "in"), store, str(tmp_path / f"checkpoint{i}"), max_files=1).awaitTermination()
-        assert shown(files.read_store(spark, store)) == want
+        assert shown(Store(spark, store).bills()) == want
     # a report of a later run, by itself
     (tmp_path / "more" / "Saneago").mkdir(parents=True)
     (tmp_path / "more" / "Saneago" / "saneago_analitica_03-2021.txt").write_text(REPORT.replace("A2", "A4"))
     assert [(r["documents"], r["added"]) for r in pipeline.run(spark, str(tmp_path / "more"), store).collect()] == [(1, 0)]
-    assert shown(files.read_store(spark, store)) == [w.replace("A3", "A4") for w in want]
-    assert files.read_meters(spark, store).count() == 7
+    assert shown(Store(spark, store).bills()) == [w.replace("A3", "A4") for w in want]
+    assert Store(spark, store).meters().count() == 7
 
 
 def test_relation(spark):
@@ -122,7 +123,7 @@ def test_stored_register(spark, tmp_path):
     pipeline.run(spark, str(root), stores[0], str(path), redistribute=True)
     load_stream(spark, str(root), stores[1], str(tmp_path / "checkpoint"), 2, str(path), True).awaitTermination()
     for store in stores:
-        got = {r["CONTA_DV"]: r for r in files.read_store(spark, store).where("UNIDADE is not null and EMPRESA <> 'SAE'").collect()}
+        got = {r["CONTA_DV"]: r for r in Store(spark, store).bills().where("UNIDADE is not null and EMPRESA <> 'SAE'").collect()}
         assert {k: (r["id_CONTA"], r["UNIDADE"], r["NUM_HIDROMETRO"]) for k, r in got.items()} == {"21544-9": (1, "Forum", None), "12345 6": (2, "B", "A2")}
         assert (got["21544-9"]["VALOR_AGUA"], got["21544-9"]["VALOR_ESGOTO"]) == (0.0, 497.84)
 
