@@ -3,8 +3,10 @@ r"""Benchmark decontamination by q-gram lemma filtering and banded alignment.
 Texts are normalised: lower case, and every run of characters that are neither letters nor digits is one blank. Benchmark
 items are cut into windows of `window` characters, one every tenth of that, and of PART characters, one every STRIDE (the
 last one flush with the item's end; a shorter item is one window). A document leaks an item when some window lies within
-`max_errors` x its length edits of a part of it. So a passage of PART + STRIDE - 1 characters or more is found wherever
-in the item it begins.
+`max_errors` x its length edits of a part of it. Where none of these does, windows at every place are tried, of each length from PART up to
+`window` at which one more edit is allowed (50, 60 and 80 characters for 5 %). They find every passage of PART characters or more with
+edits of up to `max_errors` x its own length, wherever it begins and the edits lie: a passage shorter than `window` holds the
+window of its own budget, and of the halves of a longer one (PART or more for a `window` of twice that) one has no more than its share of the edits.
 
 A window of m characters with at most e edits shares at least m + 1 - q (e + 1) of its q-grams with that part, and all of
 them lie on diagonals (place in the document less place in the item) that differ by at most e. So shared q-grams are
@@ -43,6 +45,8 @@ CHUNK, BATCH, TRIES, HITS = 1_000_000, 2048, 250_000, 1_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 RESULT = "doc_id long, item_id long, start int, end int, edits int"
 _wordish: list[np.ndarray] = []
+#: start in the items, length, edits allowed, first diagonal, item
+Windows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def wordish() -> np.ndarray:
@@ -98,12 +102,27 @@ def window_starts(n: int, window: int) -> list[tuple[int, int]]:
     return sorted({(s, min(m, n)) for s, m in out})
 
 
+def _expanded(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (n[0] of them), first[1], ..."""
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - n), n)
+
+
+def _slices(n: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Slices of about TRIES in all, of one at least."""
+    ends, a = np.cumsum(n), 0
+    while a < len(n):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + TRIES, "right")))
+        yield a, b
+        a = b
+
+
 class Index:
     """q-grams of a block of items, each place once, and the items' windows."""
 
     def __init__(self, items: list[tuple[int, str]], max_errors: float, window: int):
         self.whole: dict[bytes, list[int]] = {}
-        names, texts, cuts, sizes, at = [], [], [], [], 0
+        names, owners, texts, cuts, sizes, at = [], [], [], [], [], 0
         for item, text in items:
             codes = normalised([text])[0]  # a zero at the end
             n = len(codes) - 1
@@ -113,11 +132,12 @@ class Index:
                 continue
             own = window_starts(n, window)
             names += [item] * len(own)
+            owners.append(item)
             cuts += [(at + s, m) for s, m in own]
             sizes.append((at, n, len(own)))
             texts.append(codes)
             at += n + 1
-        self.items = np.array(names, np.int64)
+        self.items, self.names = np.array(names, np.int64), np.array(owners, np.int64)
         self.starts, self.lengths = np.array(cuts, np.int64).reshape(-1, 2).T
         self.item_starts, self.item_lengths, self.n_windows = np.array(sizes, np.int64).reshape(-1, 3).T
         self.first_window = np.cumsum(self.n_windows) - self.n_windows
@@ -127,7 +147,14 @@ class Index:
         if self.q < LEAST_Q:
             raise ValueError(f"max_errors {max_errors} would need q-grams of {self.q} characters; at least {LEAST_Q} are needed")
         self.least = self.lengths + 1 - self.q * (self.edits + 1)
+        # windows at every place: the shortest length of each number of edits
+        budgets = range(int(np.floor(PART * max_errors + 1e-9)), int(np.floor(window * max_errors + 1e-9)) + 1)
+        sizes = {max(PART, -int(-k // max_errors) if max_errors else PART): k for k in budgets}
+        self.ladder = [(m, k, m + 1 - self.q * (k + 1)) for m, k in sizes.items() if m < max(window, PART + 1)]
+        least_of = np.array([x for *_, x in self.ladder] + [1 << 30])
+        fits = np.array([m for m, *_ in self.ladder] + [0]) <= self.item_lengths[:, None]
         self.item_least = np.minimum.reduceat(self.least, self.first_window) if texts else self.least
+        self.item_least = np.minimum(self.item_least, np.where(fits, least_of, 1 << 30).min(axis=1)) if texts else self.item_least
         h = qgrams(self.codes, self.q)
         zeros = np.concatenate([[0], np.cumsum(self.codes == 0)])
         places = np.flatnonzero(zeros[self.q :] == zeros[: len(h)]) if len(h) else np.zeros(0, np.int64)  # within one item
@@ -143,8 +170,8 @@ class Index:
     def windows(self) -> list[np.ndarray]:
         return [self.codes[s : s + m] for s, m in zip(self.starts, self.lengths)]
 
-    def candidates(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(window, first diagonal) of the bands of diagonals that share enough q-grams, some at a time.
+    def candidates(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(item, band, hits) of the bands of diagonals that share enough q-grams for some window of an item, some at a time.
 
         Shared q-grams are gathered from left to right, at most about HITS at once; a band is judged when no later place of
         the text can be on it.
@@ -174,38 +201,48 @@ class Index:
             until = ((hits >> 32) + 2) * self.step - self.shift + self.item_starts[item] + self.item_lengths[item]
             over = until < at[b] if b < len(at) else np.ones(len(hits), bool)
             open_, a = hits[~over], b
-            yield from self._enough(hits[over], item[over])
-
-    def _enough(self, hits: np.ndarray, item: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Windows and diagonals of the bands in which the hits reach a window's bound."""
-        new = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (hits[1:] >> 32 != hits[:-1] >> 32)])) if len(hits) else np.zeros(0, np.int64)
-        shared = np.diff(np.append(new, len(hits)))
-        new = new[shared >= self.item_least[item[new]]]
-        item, band = item[new], hits[new] >> 32
-        ends = np.cumsum(self.n_windows[item])
-        a = 0
-        while a < len(item):  # every window of the items, at most TRIES or one item's at a time
-            done = ends[a - 1] if a else 0
-            b = max(a + 1, int(np.searchsorted(ends, done + TRIES, "right")))
+            hits, item = hits[over], item[over]
+            new = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (hits[1:] >> 32 != hits[:-1] >> 32)])) if len(hits) else np.zeros(0, np.int64)
+            shared = np.diff(np.append(new, len(hits)))
+            new = new[shared >= self.item_least[item[new]]]
+            yield item[new], hits[new] >> 32, hits
+
+    def _enough(self, band: np.ndarray, start: np.ndarray, length: np.ndarray, least: np.ndarray, hits: np.ndarray) -> np.ndarray:
+        """Which windows share enough q-grams in their bands."""
+        low = band << 32 | start
+        return np.searchsorted(hits, low + length - self.q, "right") - np.searchsorted(hits, low) >= least
+
+    def coarse(self, item: np.ndarray, band: np.ndarray, hits: np.ndarray) -> Iterator[Windows]:
+        """The items' own windows that share enough q-grams; TRIES or one item's are tried at a time."""
+        for a, b in _slices(self.n_windows[item]):
             n = self.n_windows[item[a:b]]
-            owner = np.repeat(self.first_window[item[a:b]] - (ends[a:b] - n - done), n) + np.arange(ends[b - 1] - done)
-            own = np.repeat(band[a:b], n)
-            low = own << 32 | self.starts[owner]
-            shared = np.searchsorted(hits, low + self.lengths[owner] - self.q, "right") - np.searchsorted(hits, low)
-            enough = shared >= self.least[owner]
-            if enough.any():
-                yield owner[enough], own[enough] * self.step - self.shift + self.starts[owner[enough]]
-            a = b
-
-    def verify(self, codes: np.ndarray, owner: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            owner, own = _expanded(self.first_window[item[a:b]], n), np.repeat(band[a:b], n)
+            good = self._enough(own, self.starts[owner], self.lengths[owner], self.least[owner], hits)
+            owner, own = owner[good], own[good]
+            yield self.starts[owner], self.lengths[owner], self.edits[owner], own * self.step - self.shift + self.starts[owner], np.repeat(item[a:b], n)[good]
+
+    def fine(self, item: np.ndarray, band: np.ndarray, hits: np.ndarray) -> Iterator[Windows]:
+        """Windows of the ladder's lengths at every place of the items that share enough q-grams."""
+        for m, k, least in self.ladder:
+            long = np.flatnonzero(self.item_lengths[item] >= m)
+            places = self.item_lengths[item[long]] - m + 1
+            for a, b in _slices(places):
+                which, n = long[a:b], places[a:b]
+                start, own = _expanded(self.item_starts[item[which]], n), np.repeat(band[which], n)
+                good = np.flatnonzero(self._enough(own, start, m, least, hits))
+                start, own = start[good], own[good]
+                every = np.full(len(good), 1)
+                yield start, every * m, every * k, own * self.step - self.shift + start, np.repeat(item[which], n)[good]
+
+    def verify(self, codes: np.ndarray, start: np.ndarray, length: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least edits of each window within its band, and the place after its last character."""
-        edits, stops = np.zeros(len(owner), np.int64), np.zeros(len(owner), np.int64)
+        edits, stops = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
         width = 4 * self.step  # the band and room for edits at both sides
-        for m in np.unique(self.lengths[owner]):
-            every = np.flatnonzero(self.lengths[owner] == m)
+        for m in np.unique(length):
+            every = np.flatnonzero(length == m)
             for a in range(0, len(every), BATCH):
                 rows = every[a : a + BATCH]
-                pattern = self.codes[self.starts[owner[rows]][:, None] + np.arange(m)[None]]
+                pattern = self.codes[start[rows][:, None] + np.arange(m)[None]]
                 left = diagonal[rows] - self.step
                 place = left[:, None] + np.arange(m + width)[None]
                 text = np.where((place >= 0) & (place < len(codes)), codes[np.clip(place, 0, len(codes) - 1)], 0)
@@ -219,6 +256,25 @@ class Index:
                 edits[rows], stops[rows] = cost[np.arange(len(rows)), best], left + best + m
         return edits, stops
 
+    def _add(self, windows: Windows, codes: np.ndarray, place: np.ndarray, starts: np.ndarray, text_of, found: dict) -> None:
+        """Verifies windows and adds the leaks among them to found."""
+        start, length, allowed, diagonal, item = windows
+        edits, stops = self.verify(codes, start, length, diagonal)
+        good = np.flatnonzero(edits <= allowed)
+        length, edits, stops, item = length[good], edits[good], stops[good], item[good]
+        t = text_of(stops - 1)
+        last = np.maximum(np.minimum(np.clip(stops - 1, 0, len(codes) - 1), starts[t + 1] - 2), starts[t])  # not the zero after the text
+        first = np.maximum(stops - length, starts[t])
+        pair, which = np.unique(np.stack([t, self.names[item]]), axis=1, return_inverse=True)
+        which = which.ravel()
+        low, high, least = np.full(pair.shape[1], 1 << 62), np.zeros(pair.shape[1], np.int64), np.full(pair.shape[1], 1 << 62)
+        np.minimum.at(low, which, place[first])
+        np.maximum.at(high, which, place[last] + 1)
+        np.minimum.at(least, which, edits)
+        for key, span in zip(zip(*pair.tolist()), zip(low.tolist(), high.tolist(), least.tolist())):
+            old = found.get(key, span)
+            found[key] = (min(old[0], span[0]), max(old[1], span[1]), min(old[2], span[2]))
+
     def search(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, start, end, least edits) of every leaked item; start and end are code points of the text."""
         codes, place, starts = normalised(texts)
@@ -228,23 +284,15 @@ class Index:
                 own = codes[starts[t] : starts[t + 1] - 1]
                 for item in self.whole.get(own.tobytes(), []) if len(own) < LEAST else []:
                     found[t, item] = (0, len(texts[t]), 0)
-        for owner, diagonal in self.candidates(codes) if len(self.items) else []:
-            edits, stops = self.verify(codes, owner, diagonal)
-            good = np.flatnonzero(edits <= self.edits[owner])
-            owner, edits, stops = owner[good], edits[good], stops[good]
-            last = np.clip(stops - 1, 0, len(codes) - 1)
-            t = np.searchsorted(starts, last, "right") - 1
-            last = np.maximum(np.minimum(last, starts[t + 1] - 2), starts[t])  # not the zero after the text
-            first = np.maximum(stops - self.lengths[owner], starts[t])
-            pair, which = np.unique(np.stack([t, self.items[owner]]), axis=1, return_inverse=True)
-            which = which.ravel()
-            low, high, least = np.full(pair.shape[1], 1 << 62), np.zeros(pair.shape[1], np.int64), np.full(pair.shape[1], 1 << 62)
-            np.minimum.at(low, which, place[first])
-            np.maximum.at(high, which, place[last] + 1)
-            np.minimum.at(least, which, edits)
-            for key, span in zip(zip(*pair.tolist()), zip(low.tolist(), high.tolist(), least.tolist())):
-                old = found.get(key, span)
-                found[key] = (min(old[0], span[0]), max(old[1], span[1]), min(old[2], span[2]))
+        text_of = lambda place: np.searchsorted(starts, np.clip(place, 0, len(codes) - 1), "right") - 1
+        for item, band, hits in self.candidates(codes) if len(self.items) else []:
+            for windows in self.coarse(item, band, hits):
+                self._add(windows, codes, place, starts, text_of, found)
+            for start, length, edits, diagonal, own in self.fine(item, band, hits):
+                # not where the item was found in the text in which the window's middle would lie
+                t = text_of(diagonal + length // 2)
+                new = np.array([(x, y) not in found for x, y in zip(t.tolist(), self.names[own].tolist())], bool)
+                self._add((start[new], length[new], edits[new], diagonal[new], own[new]), codes, place, starts, text_of, found)
         return [(t, item, *span) for (t, item), span in sorted(found.items())]
 
 
