@@ -13,7 +13,8 @@ SERVICES = {"AGUA": "VALOR_AGUA", "ESGOTO": "VALOR_ESGOTO", "SMRSU": "VALOR_TAXA
 
 def unique_register(register: DataFrame) -> DataFrame:
     """One row per normalised account (column key); of equal ones the smallest id_CONTA stays."""
-    return keep_first(register.withColumn("key", T.account_key(F.col("CONTA_DV"))), ["key"], [F.col("id_CONTA").asc_nulls_last()])
+    known = register.withColumn("key", T.account_key(F.col("CONTA_DV")))
+    return keep_first(known, ["key"], [F.col("id_CONTA").isNull(), "id_CONTA", F.struct(*register.columns)])
 
 
 def repeated_accounts(register: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -58,13 +58,24 @@ def extract_lines(read: DataFrame) -> DataFrame:
 
 
 def keep_first(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """One row per keys, the first in order (not an arbitrary one, as dropDuplicates would keep)."""
-    return rows.withColumn("keep_first_rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("keep_first_rank = 1").drop("keep_first_rank")
+    """One row per keys, the first in order (not an arbitrary one, as dropDuplicates would keep). Orders ascend, nulls first.
+
+    An aggregate, so that each task sends on one row a key: a key of any number of rows is met in no task at once.
+    """
+    others = [c for c in rows.columns if c not in keys]
+    by = [F.col(c) if isinstance(c, str) else c for c in order]
+    first = F.min_by(F.struct(*others), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(by)]))
+    return rows.groupBy(*keys).agg(first.alias("keep_first_row")).select(*[c if c in keys else F.col("keep_first_row").getField(c).alias(c) for c in rows.columns])
+
+
+def newest_first(date: Column) -> Column:
+    """An order in which later times come first and null last."""
+    return F.coalesce(-F.unix_micros(date.cast("timestamp")), F.lit((1 << 63) - 1))
 
 
 def latest(meters: DataFrame) -> DataFrame:
     """(key, latest): each account's meter of the latest month ever; bad months come last."""
-    order = [T.month_date(F.col("MES_ANO_REF")).desc_nulls_last(), "path", "line_no"]
+    order = [newest_first(T.month_date(F.col("MES_ANO_REF"))), "path", "line_no"]
     return keep_first(meters, ["key"], order).select("key", F.col("NUM_HIDROMETRO_EXTRAIDO").alias("latest"))
 
 
@@ -85,7 +96,9 @@ def relate(bills: DataFrame, meters: DataFrame) -> DataFrame:
     m = meters.withColumn("key", T.account_key(F.col("CONTA_DV"))).withColumn("month", month(meters))
     exact = keep_first(m, ["key", "month"], ["path", "line_no"]).withColumnRenamed("NUM_HIDROMETRO_EXTRAIDO", "meter")
     last = latest(m).withColumnRenamed("latest", "meter")
-    b = bills.withColumn("key", T.account_key(F.col("CONTA_DV"))).withColumn("month", month(bills))
+    # meter rows always have an account; bills without one match nothing and are dealt evenly instead of to one task
+    account, spread = T.account_key(F.col("CONTA_DV")), F.concat(F.lit("\0"), F.pmod(F.xxhash64(*bills.columns), F.lit(10_000)).cast("string"))
+    b = bills.withColumn("key", F.when(T.missing(account), spread).otherwise(account)).withColumn("month", month(bills))
     out = exact_then_latest(b, exact, last, ["key", "month"], "key", "meter")
     some = meters.limit(1).agg(F.count("*") > 0).scalar()  # a part of the query, not a job of its own
     return out.withColumn("NUM_HIDROMETRO", F.when(some, F.col("meter")).otherwise(F.col("NUM_HIDROMETRO"))).select(bills.columns)

@@ -171,7 +171,7 @@ def last_in_block(spark, d):
 
 
 def latest_per_key(spark, d):
-    return meters.keep_first(table(spark, d, "orders"), ["o_custkey"], [F.col("o_orderdate").desc_nulls_last(), "o_orderkey"]).select("o_custkey", "o_orderkey")
+    return meters.keep_first(table(spark, d, "orders"), ["o_custkey"], [meters.newest_first(F.col("o_orderdate")), "o_orderkey"]).select("o_custkey", "o_orderkey")
 
 
 def distinct_keep_first(spark, d):
@@ -186,7 +186,7 @@ def exact_then_fallback(spark, d):
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.date_format("o_orderdate", "MM/yyyy").alias("month"), "o_orderdate", "o_orderpriority")
     told = orders.where("o_orderkey % 3 = 0").withColumn("value", F.expr("case when o_orderkey % 2 = 0 then o_orderpriority else '' end"))
     exact = meters.keep_first(told, ["o_custkey", "month"], ["o_orderkey"])
-    last = meters.keep_first(told, ["o_custkey"], [F.col("o_orderdate").desc(), "o_orderkey"])
+    last = meters.keep_first(told, ["o_custkey"], [meters.newest_first(F.col("o_orderdate")), "o_orderkey"])
     return meters.exact_then_latest(orders, exact, last, ["o_custkey", "month"], "o_custkey", "value").select("o_orderkey", "value")
 
 
@@ -244,6 +244,20 @@ def csv_round_trip(spark, d):
     return files.read_csv(spark, path).select(*KEYS, "VALOR_TOTAL", "NUM_HIDROMETRO")
 
 
+def csv_quarantine(spark, d):
+    """Bills as CSV lines of which some lack fields, hold no number or go on too long; these come back as they are."""
+    path, orders = files.scratch(spark), table(spark, d, "orders")
+    fields = {"NUM_FATURA": F.col("o_orderkey").cast("string"), "VALOR_TOTAL": F.col("o_totalprice").cast("string")}
+    line = F.concat_ws(";", *[fields.get(f.name, F.lit("x" if f.dataType.typeName() == "string" else "1.0")) for f in BILL.fields])
+    key = F.col("o_orderkey") % 10
+    bad = F.when(key == 0, F.concat(F.col("o_orderkey").cast("string"), F.lit(";half"))).when(key == 1, F.replace(line, F.lit("1.0"), F.lit("1,0"))).when(key == 2, F.concat(line, F.lit(";more")))
+    rows = orders.select(render.part(F.lit(orders.count()), F.col("o_orderkey"), 1_000).alias("part"), F.coalesce(bad, line).alias("line"))
+    whole = rows.groupBy("part").agg(F.concat(F.lit(";".join(BILL.names) + "\n"), F.array_join(F.collect_list("line"), "\n")).alias("value"))
+    whole.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    good, rejected = files.read_csv_checked(spark, path)
+    return good.select(F.lit(True).alias("fits"), "NUM_FATURA", "VALOR_TOTAL").unionByName(rejected.select(F.lit(False).alias("fits"), F.split("line", "[;]")[0].alias("NUM_FATURA")), allowMissingColumns=True)
+
+
 def incremental_twice(spark, d):
     """The same batch loaded twice, and a larger one after it."""
     path = files.scratch(spark)
@@ -395,7 +409,7 @@ QUERIES = {
     for f in (
         norm_text, br_number, month_names, residual_fee, route_first_match, scan_lineage, split_lines, split_blocks, extract_all, extract_grouped,
         extract_meters, forward_fill, table_state, last_in_block, latest_per_key, distinct_keep_first, exact_then_fallback, relate_meters,
-        enrich_left, new_only, union_by_name, redistribute, load_report, routing_report, file_report, csv_round_trip, incremental_twice, stream_load, bills_pipeline,
+        enrich_left, new_only, union_by_name, redistribute, load_report, routing_report, file_report, csv_round_trip, csv_quarantine, incremental_twice, stream_load, bills_pipeline,
         grouped_segments, meter_segments, new_only_indexed, store_snapshot, relate_delta, stream_report, keep_keyed, extract_multi, load_two_issuers, register_source, load_with_register, stream_with_meters,
     )
 } | {f"extract_{x.issuer.lower()}": _extract(x.issuer) for x in LAYOUTS}
@@ -483,6 +497,8 @@ ORACLES = {
   from (select ['SANEAGO', 'SANEAGO_ANALITICA', 'UNKNOWN', 'CHESP', 'SANESC', 'SAE', 'UNKNOWN'][1 + (o_orderkey % 7)] as n from orders) group by 1""",
     "file_report": f"with {_ORDERS} select 'fatura_' || acc || '.txt' as ARQUIVO_ORIGEM, count(*) as bills, sum((water + sewage)::decimal(18,2) + o_totalprice::decimal(18,2))::double as total from o group by 1",
     "csv_round_trip": f"with {_BILLS} select EMPRESA, NUM_FATURA, MES_ANO_REF, CONTA_DV, o_totalprice as VALOR_TOTAL, null::varchar as NUM_HIDROMETRO from b",
+    "csv_quarantine": """select o_orderkey % 10 > 2 as fits, case when o_orderkey % 10 = 1 or o_orderkey % 10 = 2 then 'x' when o_orderkey % 10 = 0 then o_orderkey::varchar else o_orderkey::varchar end as NUM_FATURA,
+  case when o_orderkey % 10 > 2 then o_totalprice end as VALOR_TOTAL from orders""",
     "incremental_twice": f"""with {_BILLS}, c as (select EMPRESA, count(*) n, count(*) filter (where half) h from b group by 1)
   select 0::int as load, EMPRESA, h as added, 0::bigint as ignored, n as stored from c where h > 0 union all select 1, EMPRESA, 0, h, n from c where h > 0 union all select 2, EMPRESA, n - h, h, n from c""",
     "stream_load": f"with {_ORDERS} select 'DEMAE' as EMPRESA, num as NUM_FATURA, mes as MES_ANO_REF, {_HYPHEN} as CONTA_DV, o_totalprice as VALOR_TOTAL from o",

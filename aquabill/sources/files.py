@@ -123,3 +123,14 @@ def export_csv(bills: DataFrame, path: str) -> None:
 def read_csv(spark: SparkSession, path: str, schema: StructType = BILL) -> DataFrame:
     """Semicolon CSV under a fixed schema, so that keys keep their leading zeros."""
     return spark.read.schema(schema).option("sep", ";").option("header", True).csv(path)
+
+
+def read_csv_checked(spark: SparkSession, path: str, schema: StructType = BILL) -> tuple[DataFrame, DataFrame]:
+    """The rows of read_csv() whose lines fit the schema, and (file, line) of those that lack fields, have too many, or hold no number where there must be one."""
+    wide = StructType([*schema.fields]).add("csv_rejected", "string")
+    reader = spark.read.schema(wide).option("sep", ";").option("header", True).option("columnNameOfCorruptRecord", "csv_rejected")
+    rows = reader.csv(path).select("*", F.col("_metadata.file_path").alias("csv_file"))
+    # always true: a line is judged by the fields that are read, so all are, whichever are selected later
+    rows = rows.where(F.xxhash64(*schema.names) >= F.lit(-(1 << 63)))
+    good, bad = rows.where("csv_rejected is null").select(*schema.names), rows.where("csv_rejected is not null")
+    return good, bad.select(_unescaped(F.col("csv_file")).alias("file"), F.col("csv_rejected").alias("line"))
