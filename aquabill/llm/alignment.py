@@ -23,6 +23,7 @@ repeat. Rows are otherwise independent; only doc_id and text are read. An empty
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -36,7 +37,9 @@ from pyspark.sql import functions as F
 from aquabill.llm import bpe, common
 
 BYTE_TOKENS, PIECE_TOKENS = "byte_bpe_50k.json", "piece_bpe_32k.model"
-MAX_CHUNKS, MAX_BYTES, MAX_PAIRS = 100_000, 8_000_000, 4_000_000
+MAX_CHUNKS, MAX_BYTES, MAX_PAIRS = 400_000, 40_000_000, 4_000_000
+#: Chunks that are encoded as one text, and characters beyond which the slower but steadier encoder takes a text.
+BLOCK, MOST_AT_ONCE = 2_000, 200_000
 #: A blank after something else than white space begins a chunk.
 CHUNK = re.compile(r"(?<=\S) ")
 SHIFT = np.int64(32)
@@ -56,6 +59,7 @@ class Pair:
     def __init__(self, byte_path: str, piece_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
+        import tiktoken
         import tokenizers
 
         self.byte = tokenizers.Tokenizer.from_file(byte_path)
@@ -65,6 +69,13 @@ class Pair:
         self.piece = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         code = {c: b for b, c in enumerate(bpe.byte_letters())}
         vocabulary = self.byte.get_vocab(with_added_tokens=True)
+        # where ids follow the merges, the ids are ranks: then a faster encoder of the same vocabulary gives the same ids
+        model = json.load(open(byte_path, encoding="utf-8"))["model"]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.ranks = None
+        if [model["vocab"][a + b] for a, b in merges] == list(range(256, 256 + len(merges))):
+            ranks = {bytes(map(code.__getitem__, t)): i for t, i in model["vocab"].items() if i < 256 + len(merges)}
+            self.ranks = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.a_bytes[i] = bytes(code[c] for c in token) if all(c in code for c in token) else token.encode()
@@ -72,14 +83,46 @@ class Pair:
         self.b_bytes = [bytes([int(t[1:-1], 16)]) if self.piece.is_byte(i) else t.replace("▁", " ").encode() for i, t in enumerate(names)]
         # otherwise a piece could reach over the start of a chunk
         self.local = not any(" " in t.decode("utf-8", "replace").lstrip(" ") for i, t in enumerate(self.b_bytes) if not self.piece.is_byte(i))
+        self.names = [f"{i}{sign}" for i in range(max(len(self.a_bytes), len(self.b_bytes))) for sign in (",", "|", ";", "")]
         self.blank = self.piece.piece_to_id("▁")
         self.a_size, self.b_size = np.array(list(map(len, self.a_bytes))), np.array(list(map(len, self.b_bytes)))
 
-    def encode(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of chunks that begin with a blank, which the second tokenizer adds by itself."""
-        a = [e.ids for e in self.byte.encode_batch_fast(chunks, add_special_tokens=False)]
-        b = self.piece.encode([c[1:] for c in chunks], num_threads=1)
-        return a, [ids if c != " " else [self.blank] for c, ids in zip(chunks, b)]  # nothing at all gets no blank
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a text that begins with a blank, which the second tokenizer adds by itself."""
+        if self.ranks and len(text) <= MOST_AT_ONCE:
+            a = self.ranks.encode_ordinary(text)
+        else:
+            a = self.byte.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        b = self.piece.encode(text[1:], num_threads=1) if text != " " else [self.blank]  # nothing at all gets no blank
+        return np.array(a, np.int64), np.array(b, np.int64)
+
+    def spell(self, ids: tuple[np.ndarray, np.ndarray], data: bytes) -> bool:
+        """Whether the tokens of both sides spell data."""
+        return all(b"".join(map(own.__getitem__, x.tolist())) == data for own, x in zip((self.a_bytes, self.b_bytes), ids))
+
+    def encode_chunks(self, chunks: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """Flat ids of both sides, how many tokens each chunk has, and whether its tokens spell it.
+
+        Chunks that end with something else than white space are encoded as one text, since both tokenizers end a token after each; the
+        ends of the tokens tell the chunks apart. Where that does not come out, and for all others, each chunk is a text of its own.
+        """
+        data = [c.encode("utf-8", "surrogatepass") for c in chunks]
+        ends = np.cumsum(np.fromiter(map(len, data), np.int64, len(data)))
+        ids, cuts = self.encode("".join(chunks)), []
+        if self.spell(ids, b"".join(data)):
+            for x, size in zip(ids, (self.a_size, self.b_size)):
+                stops = np.cumsum(size[x])
+                at = np.searchsorted(stops, ends)
+                if not np.array_equal(stops[at], ends):
+                    break
+                cuts.append(np.diff(at + 1, prepend=0))
+        if len(cuts) == 2:
+            return [*ids], cuts, np.ones(len(chunks), bool)
+        if len(chunks) > 1:
+            half = len(chunks) // 2
+            left, right = self.encode_chunks(chunks[:half]), self.encode_chunks(chunks[half:])
+            return [*map(np.concatenate, zip(left[0], right[0]))], [*map(np.concatenate, zip(left[1], right[1]))], np.concatenate([left[2], right[2]])
+        return [np.zeros(0, np.int64)] * 2, [np.zeros(1, np.int64)] * 2, np.zeros(1, bool)
 
     def chunks(self, text: str) -> list[str]:
         """blank + text in chunks that both tokenizers encode by themselves."""
@@ -90,10 +133,10 @@ class Pair:
 
 
 class Aligned:
-    """What the second pass and the first need of each chunk, flat; chunks have numbers 0, 1, ..."""
+    """What the passes need of each chunk, flat; chunks have numbers 0, 1, ... The first pass does without the groups' text."""
 
-    def __init__(self, pair: Pair):
-        self.pair = pair
+    def __init__(self, pair: Pair, shown: bool = True):
+        self.pair, self.shown = pair, shown
         self.clear()
 
     def clear(self) -> None:
@@ -118,13 +161,17 @@ class Aligned:
         return np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks)), np.array(ends)
 
     def _learn(self, new: list[str]) -> None:
-        ids_a, ids_b = self.pair.encode(new)
-        good = np.array([b"".join(map(self.pair.a_bytes.__getitem__, a)) == (c := t.encode("utf-8", "surrogatepass")) and b"".join(map(self.pair.b_bytes.__getitem__, b)) == c for t, a, b in zip(new, ids_a, ids_b)])
-        for i in np.flatnonzero(~good):
-            ids_a[i], ids_b[i] = [], []
-        counts, groups, links, sizes = align(ids_a, ids_b, self.pair.a_size, self.pair.b_size)
-        self.index.update(zip(new, range(len(self.good), len(self.good) + len(new))))
-        self.bytes += sum(map(len, new)) + sum(map(len, groups))
+        joint = [c for c in new if not c[-1].isspace()]
+        blocks = [joint[i : i + BLOCK] for i in range(0, len(joint), BLOCK)] + [[c] for c in new if c[-1].isspace()]
+        if not blocks:
+            return
+        got = [self.pair.encode_chunks(block) for block in blocks]
+        (a, b), (na, nb) = ([np.concatenate([x[k][side] for x in got]) for side in (0, 1)] for k in (0, 1))
+        good = np.concatenate([x[2] for x in got])
+        counts, groups, links, sizes = align(a, na, b, nb, self.pair, self.shown)
+        names = [c for block in blocks for c in block]
+        self.index.update(zip(names, range(len(self.good), len(self.good) + len(names))))
+        self.bytes += sum(map(len, names)) + sum(map(len, groups))
         self.good = np.concatenate([self.good, good])
         self.counts = np.concatenate([self.counts, counts])
         self.groups += groups
@@ -132,14 +179,15 @@ class Aligned:
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
 
 
-def align(ids_a: list[list[int]], ids_b: list[list[int]], size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
-    """Of pieces of text with tokens of both sides that spell the same bytes: COUNTS, groups, links (a << 32 | b), links a piece."""
-    n = len(ids_a)
-    na, nb = np.array(list(map(len, ids_a))), np.array(list(map(len, ids_b)))
-    a, b = (np.fromiter((x for ids in all_ids for x in ids), np.int64, int(k.sum())) for all_ids, k in ((ids_a, na), (ids_b, nb)))
+def align(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, pair: Pair, shown: bool = True) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """Of pieces of text with tokens of both sides that spell the same bytes: COUNTS, groups, links (a << 32 | b), links a piece.
+
+    a and b are the flat ids, na and nb how many each piece has. Groups are left out unless they are to be shown.
+    """
+    n = len(na)
     # pieces lie one after the other on one line of bytes, so no token overlaps one of another piece
-    end_a, end_b = np.cumsum(size_a[a]), np.cumsum(size_b[b])
-    start_a, start_b = end_a - size_a[a], end_b - size_b[b]
+    end_a, end_b = np.cumsum(pair.a_size[a]), np.cumsum(pair.b_size[b])
+    start_a, start_b = end_a - pair.a_size[a], end_b - pair.b_size[b]
     starts, ends = np.concatenate([start_a, start_b]), np.concatenate([end_a, end_b])
     order = np.lexsort((ends, starts))
     reached = np.maximum.accumulate(ends[order]) if len(order) else ends
@@ -150,22 +198,24 @@ def align(ids_a: list[list[int]], ids_b: list[list[int]], size_a: np.ndarray, si
     first, last = np.searchsorted(end_b, start_a, "right"), np.searchsorted(start_b, end_a, "left")
     links = np.repeat(a, last - first) << SHIFT | b[expanded(first, last - first)]
     piece_a, piece_b = np.repeat(np.arange(n), na), np.repeat(np.arange(n), nb)
-    n_links = np.bincount(np.repeat(piece_a, last - first), minlength=n)
-    group_a, group_b = group[: len(a)], group[len(a) :]
-    new_a = np.diff(group_a, prepend=-1) > 0
-    n_groups = np.bincount(piece_a[new_a], minlength=n)
-    texts_a, texts_b = _joined(a, group_a), _joined(b, group_b)
-    both = [f"{x}|{y}" for x, y in zip(texts_a, texts_b)]
-    cuts = np.concatenate([[0], np.cumsum(n_groups)]).tolist()
-    groups = [";".join(both[i:j]) for i, j in zip(cuts[:-1], cuts[1:])]
-    return np.stack([na, nb, n_groups, n_links], axis=1), groups, links, n_links
-
-
-def _joined(ids: np.ndarray, group: np.ndarray) -> list[str]:
-    """The ids of each group, with commas between them."""
-    names = list(map(str, ids.tolist()))
-    cuts = [*np.flatnonzero(np.diff(group, prepend=-1)).tolist(), len(names)]
-    return [",".join(names[i:j]) for i, j in zip(cuts[:-1], cuts[1:])]
+    n_links = np.bincount(piece_a, last - first, n).astype(np.int64)
+    n_groups = np.bincount(piece_a[np.diff(group[: len(a)], prepend=-1) > 0], minlength=n)
+    counts = np.stack([na, nb, n_groups, n_links], axis=1)
+    groups = _shown_groups(np.concatenate([a, b]), group, np.concatenate([piece_a, piece_b]), len(a), n, pair) if shown else []
+    return counts, groups, links, n_links
+
+
+def _shown_groups(ids: np.ndarray, group: np.ndarray, piece: np.ndarray, n_a: int, n: int, pair: Pair) -> list[str]:
+    """The groups of each piece as text: every id with the sign that follows it, put together piece by piece."""
+    side = np.arange(len(ids)) >= n_a
+    order = np.lexsort((side, group))  # stable: tokens of a group and side stay in order
+    group, side, piece = group[order], side[order], piece[order]
+    same, inside = np.append(group[1:] == group[:-1], False)[: len(ids)], np.append(piece[1:] == piece[:-1], False)[: len(ids)]
+    turns = np.append(side[1:] != side[:-1], False)[: len(ids)]
+    sign = np.where(same, np.where(turns, 1, 0), np.where(inside, 2, 3))
+    words = list(map(pair.names.__getitem__, (ids[order] * 4 + sign).tolist()))
+    cuts = [0, *np.cumsum(np.bincount(piece, minlength=n)).tolist()]
+    return ["".join(words[i:j]) for i, j in zip(cuts[:-1], cuts[1:])]
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -176,7 +226,7 @@ def pair_counts(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
     """(a, b, n): id pairs, and how many rows of docs hold each linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Aligned(Pair(*paths))
+        known = Aligned(Pair(*paths), shown=False)
         for batch in batches:
             for _, _, texts in common.text_parts(batch.column("text")):
                 chunk, starts = known.of(texts)
