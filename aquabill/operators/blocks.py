@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -23,7 +24,9 @@ def long_enough(block: Column) -> Column:
 
 
 def by_issuer(layouts: list[Layout], value: Callable[[Layout], Column]) -> Column:
-    """value of the row's layout; only that branch is evaluated."""
+    """value of the row's layout; only that branch is evaluated. Rows are of one of the layouts."""
+    if len(layouts) == 1:
+        return value(layouts[0])
     out = None
     for x in layouts:
         out = F.when(F.col("EMPRESA") == x.issuer, value(x)) if out is None else out.when(F.col("EMPRESA") == x.issuer, value(x))
@@ -55,3 +58,12 @@ def extract(docs: DataFrame, layouts: list[Layout] = LAYOUTS) -> DataFrame:
         "PASTA_ORIGEM": F.col("dir"),
     }
     return kept.select("path", "block_no", *[made.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in BILL.fields])
+
+
+def extract_each(routed: DataFrame, layouts: list[Layout] = LAYOUTS) -> DataFrame:
+    """extract() of routed docs that lie in a folder an issuer: each layout's patterns over its own folder, pruned to it.
+
+    So no generated method holds the patterns of several layouts. Docs that are not stored would be made anew for each.
+    """
+    parts = [extract(routed.where(F.col("EMPRESA") == x.issuer), [x]) for x in layouts]
+    return functools.reduce(DataFrame.unionByName, parts)

@@ -34,23 +34,31 @@ def in_state(event: Column, frame) -> Column:
     return F.coalesce(forward_fill(event, frame) == 1, F.lit(False))
 
 
-def _value(pattern: str) -> Column:
-    return F.when(F.col("line").rlike(_ANY + pattern), F.regexp_extract("line", _ANY + pattern, 1))
+def _fits(pattern: str, word: str) -> Column:
+    """Whether the line in capitals fits a pattern, every match of which holds word; most lines do not even hold that."""
+    return F.contains("u", F.lit(word)) & F.col("u").rlike(_EXACT + pattern)
 
 
-HEADER = {"number": NUMBER, "month": MONTH, "due": DUE}
+def _value(pattern: str, word: str) -> Column:
+    return F.when(F.contains("u", F.lit(word)) & F.col("line").rlike(_ANY + pattern), F.regexp_extract("line", _ANY + pattern, 1))
 
 
-def marked(lines: DataFrame) -> DataFrame:
-    """lines with what each says by itself, and how the run's own lines before it leave the capture (null: as it was entered)."""
-    u = F.col("u")
+#: Header values: pattern, and a part of each match in capitals.
+HEADER = {"number": (NUMBER, "FATURA:"), "month": (MONTH, "REF"), "due": (DUE, "MENTO:")}
+
+
+def signs(lines: DataFrame) -> DataFrame:
+    """lines with what each says by itself."""
     out = lines.withColumn("s", T.strip(F.col("line"))).withColumn("u", F.upper("s")).select(
-        "*", u.rlike(_EXACT + TRIGGER).alias("trigger"), ((F.col("s") == "") | u.rlike(_EXACT + HEADING)).alias("heading"),
-        u.rlike(_EXACT + START).alias("start"), F.greatest(*[F.contains(u, F.lit(x)) for x in STOPS]).alias("stop"), *[_value(p).alias(n) for n, p in HEADER.items()],
+        *lines.columns, "s", _fits(TRIGGER, "AGRUPADOR").alias("trigger"), ((F.col("s") == "") | _fits(HEADING, "RG")).alias("heading"),
+        _fits(START, "CLIENTE").alias("start"), F.greatest(*[F.contains("u", F.lit(x)) for x in STOPS]).alias("stop"), *[_value(*p).alias(n) for n, p in HEADER.items()],
     )
-    out = out.withColumn("ends", F.col("s").rlike(_EXACT + NAME_LINE) & ~F.col("trigger") & ~F.col("heading"))
-    out = out.withColumn("turn", F.when(F.col("trigger"), 1).when(F.col("ends"), 0))
-    own = runs.within()
+    return out.withColumn("ends", F.col("s").rlike(_EXACT + NAME_LINE) & ~F.col("trigger") & ~F.col("heading"))
+
+
+def marked(told: DataFrame) -> DataFrame:
+    """signs() with how the run's own lines before it leave the capture (null: as it was entered)."""
+    out, own = told.withColumn("turn", F.when(F.col("trigger"), 1).when(F.col("ends"), 0)), runs.within()
     return out.select("*", runs.latest(F.col("turn"), -1).alias("held"), F.sum(F.col("trigger").cast("int")).over(own).alias("captures"), F.row_number().over(own).alias("place"))
 
 
@@ -74,9 +82,13 @@ def entries(lines: DataFrame) -> DataFrame:
     return came.select(*runs.RUN, F.struct(F.col("turn_in").alias("turn"), F.col("captures_in").alias("captures"), F.col("lines_in").alias("lines"), *[v.alias(n) for n, v in said.items()]).alias("in"))
 
 
-def with_state(lines: DataFrame) -> DataFrame:
+def with_state(lines: DataFrame, scratch: str | None = None) -> DataFrame:
     """lines with line_no counted over the file, the header values, the number of the last capture that ended and whether a line is a row of the table."""
-    said = marked(lines)
+    told = signs(lines)
+    if scratch:  # the patterns are then tried once, for all that reads what the lines say
+        told.drop("line").write.parquet(scratch)
+        told = lines.sparkSession.read.schema(told.drop("line").schema).parquet(scratch)
+    said = marked(told)
     out = said.join(entries(said), runs.RUN).withColumn("capturing", F.coalesce(F.col("held"), F.col("in.turn")) == 1)
     masked = F.col("trigger") | (F.col("capturing") & F.col("heading"))
     part = F.when(F.col("capturing") & ~F.col("trigger") & ~F.col("heading"), F.when(F.col("ends"), F.regexp_extract("s", _EXACT + NAME_LINE, 1)).otherwise(F.col("s")))
@@ -85,7 +97,7 @@ def with_state(lines: DataFrame) -> DataFrame:
     row = table & F.col("event").isNull() & ~F.col("masked") & F.col("s").rlike("(?U)" + ACCOUNT)
     filled = {"last_capture": F.coalesce(runs.latest(F.when(F.col("closed"), F.col("capture"))), F.col("in.closed")), **{c: F.coalesce(runs.latest(F.col(c)), F.col(f"in.{c}")) for c in HEADER}}
     line_no = (F.col("in.lines") + F.col("place") - 1).cast("int")
-    kept = [c for c in lines.columns if c not in ("line_no", "run")]
+    kept = [c for c in lines.columns if c not in ("line_no", "run", "line")]
     return out.select(*kept, line_no.alias("line_no"), "s", "part", "capture", "closed", row.alias("is_row"), *[v.alias(n) for n, v in filled.items()])
 
 
@@ -116,14 +128,17 @@ def parsed(rows: DataFrame) -> DataFrame:
     )
 
 
-def extract(docs: DataFrame, size: int = runs.LINES) -> DataFrame:
-    """BILL rows (and path, block_no = line number) of routed docs of the grouped layout, in runs of size lines."""
-    return extract_lines(split_lines(docs.where(F.col("EMPRESA") == GROUPED), size))
+def extract(docs: DataFrame, size: int = runs.LINES, scratch: str | None = None) -> DataFrame:
+    """BILL rows (and path, block_no = line number) of routed docs of the grouped layout, in runs of size lines.
+
+    At scratch, if given, the lines are written with what they say, so that no text is looked at twice.
+    """
+    return extract_lines(split_lines(docs.where(F.col("EMPRESA") == GROUPED), size), scratch)
 
 
-def extract_lines(read: DataFrame) -> DataFrame:
+def extract_lines(read: DataFrame, scratch: str | None = None) -> DataFrame:
     """BILL rows (and path, block_no = line number) of the routed lines of files, as split_lines() or files.scan_lines() give them."""
-    lines = with_state(read.where(F.col("EMPRESA") == GROUPED))
+    lines = with_state(read.where(F.col("EMPRESA") == GROUPED), scratch)
     rows = parsed(lines.where("is_row")).join(grouping_bodies(lines), ["path", "last_capture"], "left")
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     made = {

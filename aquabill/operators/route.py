@@ -47,5 +47,9 @@ def names(docs: DataFrame) -> Column:
 
 
 def route(docs: DataFrame, rules=ISSUERS) -> DataFrame:
-    """docs with EMPRESA; documents that no rule fits are dropped."""
-    return docs.withColumn("EMPRESA", first_match(names(docs), rules)).where("EMPRESA is not null")
+    """docs with EMPRESA; documents that no rule fits are dropped.
+
+    The names are folded once a document: a generated column is not put into the filters and projections above it.
+    """
+    issuer = F.transform(F.array(names(docs)), lambda text: first_match(text, rules))
+    return docs.select("*", F.explode(F.filter(issuer, lambda x: x.isNotNull())).alias("EMPRESA"))

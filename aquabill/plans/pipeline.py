@@ -20,9 +20,9 @@ def staged(docs: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(routed.schema).parquet(path)
 
 
-def bills_of_routed(routed: DataFrame, told: DataFrame, register: DataFrame | None = None, redistribute: bool = False) -> DataFrame:
+def bills_of_routed(routed: DataFrame, told: DataFrame, register: DataFrame | None = None, redistribute: bool = False, scratch: str | None = None) -> DataFrame:
     """BILL rows of routed docs related to the meter rows told, with the register's columns if there is one."""
-    bills = blocks.extract(routed).unionByName(meters.relate(grouped.extract(routed), told)).select(*BILL.names)
+    bills = blocks.extract_each(routed).unionByName(meters.relate(grouped.extract(routed, scratch=scratch), told)).select(*BILL.names)
     out = enrich.enrich(bills, register)
     return enrich.redistribute(out) if redistribute and register is not None else out
 
@@ -33,7 +33,7 @@ def bills_of(docs: DataFrame, register: DataFrame | None = None, redistribute: b
     path = files.scratch(docs.sparkSession, "meters")
     told = meters.extract(routed)
     told.write.parquet(path)
-    return bills_of_routed(routed, docs.sparkSession.read.schema(told.schema).parquet(path), register, redistribute)
+    return bills_of_routed(routed, docs.sparkSession.read.schema(told.schema).parquet(path), register, redistribute, files.scratch(docs.sparkSession, "lines"))
 
 
 def take(own: Load, docs: DataFrame, register: DataFrame | None, redistribute: bool = False, dedupe_batch: bool = False, known: Manifest | None = None) -> list[dict]:
@@ -41,9 +41,9 @@ def take(own: Load, docs: DataFrame, register: DataFrame | None, redistribute: b
     spark = docs.sparkSession
     path = files.scratch(spark, "routed")
     try:
-        routed = staged(docs, path)
+        routed = staged(docs, f"{path}/texts")
         take_meters(own, meters.extract(routed))
-        rows = take_bills(own, bills_of_routed(routed, own.meters(), register, redistribute), dedupe_batch, known)
+        rows = take_bills(own, bills_of_routed(routed, own.meters(), register, redistribute, f"{path}/lines"), dedupe_batch, known)
         revise(own)
         return rows
     finally:

@@ -113,13 +113,13 @@ def extract_multi(spark, d):
 
 
 def extract_all(spark, d):
-    docs = route.route(render.documents(table(spark, d, "orders")))
-    return blocks.extract(docs).select("ARQUIVO_ORIGEM", *KEYS, "VALOR_TOTAL")
+    routed = pipeline.staged(render.documents(table(spark, d, "orders")))
+    return blocks.extract_each(routed).select("ARQUIVO_ORIGEM", *KEYS, "VALOR_TOTAL")
 
 
 def extract_grouped(spark, d):
     docs = route.route(render.grouped_documents(table(spark, d, "orders")))
-    return grouped.extract(docs).select(*SHOWN, "COD_ORGAO_AGRUPADOR", "COD_ORGAO_PAGADOR", "NOME_ORGAO_AGRUPADOR")
+    return grouped.extract(docs, scratch=files.scratch(spark, "lines")).select(*SHOWN, "COD_ORGAO_AGRUPADOR", "COD_ORGAO_PAGADOR", "NOME_ORGAO_AGRUPADOR")
 
 
 def extract_meters(spark, d):
@@ -193,7 +193,7 @@ def exact_then_fallback(spark, d):
 def relate_meters(spark, d):
     orders = table(spark, d, "orders")
     docs = route.route(render.grouped_documents(orders).unionByName(render.meter_documents(orders.where("o_orderkey % 3 = 0"))))
-    return meters.relate(grouped.extract(docs), meters.extract(docs)).select("CONTA_DV", "NUM_HIDROMETRO")
+    return meters.relate(grouped.extract(docs, scratch=files.scratch(spark, "lines")), meters.extract(docs)).select("CONTA_DV", "NUM_HIDROMETRO")
 
 
 def enrich_left(spark, d):
