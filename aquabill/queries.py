@@ -244,6 +244,35 @@ def csv_round_trip(spark, d):
     return files.read_csv(spark, path).select(*KEYS, "VALOR_TOTAL", "NUM_HIDROMETRO")
 
 
+def absent_register(spark, d):
+    """Bills with a register that is not there."""
+    bills = _bills(table(spark, d, "orders"), "DEMAE", lambda key, customer, digit: customer)
+    return enrich.enrich(bills, files.read_register(spark, f"{files.scratch(spark)}/none.json")).select("NUM_FATURA", "CONTA_DV")
+
+
+def batch_stamp(spark, d):
+    """All bills of a run have one time of processing."""
+    bills = blocks.extract(route.route(render.documents(table(spark, d, "orders"), ["DEMAE"])))
+    fits = F.col("DATA_PROCESSAMENTO").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$")
+    return bills.agg(F.count("*").alias("bills"), F.count_distinct("DATA_PROCESSAMENTO").alias("stamps"), F.every(fits).alias("fit"))
+
+
+def reports_are_no_bills(spark, d):
+    """Bills of texts of which a third are meter reports, by issuer."""
+    orders = table(spark, d, "orders")
+    docs = route.route(render.documents(orders, ["DEMAE"]).unionByName(render.meter_documents(orders.where("o_orderkey % 3 = 0"))))
+    bills = blocks.extract(docs).unionByName(grouped.extract(docs))
+    return bills.groupBy("EMPRESA").agg(F.count("*").alias("bills"))
+
+
+def older_keys(spark, d):
+    """A batch against a store of an older kind, which writes a text where a number was not found."""
+    bills = _bills(table(spark, d, "orders"), "DEMAE", lambda key, customer, digit: key)
+    batch = bills.withColumn("NUM_FATURA", F.when(F.col("CONTA_DV").cast("long") % 5 > 0, F.col("NUM_FATURA")).otherwise(""))
+    stored = batch.where(F.col("CONTA_DV").cast("long") % 3 == 0).withColumn("NUM_FATURA", F.coalesce(F.nullif("NUM_FATURA", F.lit("")), F.lit(T.NOT_FOUND)))
+    return load.new_rows(batch, stored).select("NUM_FATURA", "CONTA_DV")
+
+
 def csv_quarantine(spark, d):
     """Bills as CSV lines of which some lack fields, hold no number or go on too long; these come back as they are."""
     path, orders = files.scratch(spark), table(spark, d, "orders")
@@ -409,7 +438,7 @@ QUERIES = {
     for f in (
         norm_text, br_number, month_names, residual_fee, route_first_match, scan_lineage, split_lines, split_blocks, extract_all, extract_grouped,
         extract_meters, forward_fill, table_state, last_in_block, latest_per_key, distinct_keep_first, exact_then_fallback, relate_meters,
-        enrich_left, new_only, union_by_name, redistribute, load_report, routing_report, file_report, csv_round_trip, csv_quarantine, incremental_twice, stream_load, bills_pipeline,
+        enrich_left, new_only, union_by_name, redistribute, load_report, routing_report, file_report, csv_round_trip, csv_quarantine, absent_register, batch_stamp, reports_are_no_bills, older_keys, incremental_twice, stream_load, bills_pipeline,
         grouped_segments, meter_segments, new_only_indexed, store_snapshot, relate_delta, stream_report, keep_keyed, extract_multi, load_two_issuers, register_source, load_with_register, stream_with_meters,
     )
 } | {f"extract_{x.issuer.lower()}": _extract(x.issuer) for x in LAYOUTS}
@@ -497,6 +526,11 @@ ORACLES = {
   from (select ['SANEAGO', 'SANEAGO_ANALITICA', 'UNKNOWN', 'CHESP', 'SANESC', 'SAE', 'UNKNOWN'][1 + (o_orderkey % 7)] as n from orders) group by 1""",
     "file_report": f"with {_ORDERS} select 'fatura_' || acc || '.txt' as ARQUIVO_ORIGEM, count(*) as bills, sum((water + sewage)::decimal(18,2) + o_totalprice::decimal(18,2))::double as total from o group by 1",
     "csv_round_trip": f"with {_BILLS} select EMPRESA, NUM_FATURA, MES_ANO_REF, CONTA_DV, o_totalprice as VALOR_TOTAL, null::varchar as NUM_HIDROMETRO from b",
+    "absent_register": "select lpad(o_orderkey::varchar, 9, '0') as NUM_FATURA, lpad(o_custkey::varchar, 7, '0') as CONTA_DV from orders",
+    "batch_stamp": "select count(*) as bills, 1::bigint as stamps, true as fit from orders",
+    "reports_are_no_bills": "select 'DEMAE' as EMPRESA, count(*) as bills from orders",
+    "older_keys": """select case when o_orderkey % 5 > 0 then lpad(o_orderkey::varchar, 9, '0') else '' end as NUM_FATURA, lpad(o_orderkey::varchar, 9, '0') as CONTA_DV
+  from orders where o_orderkey % 3 <> 0""",
     "csv_quarantine": """select o_orderkey % 10 > 2 as fits, case when o_orderkey % 10 = 1 or o_orderkey % 10 = 2 then 'x' when o_orderkey % 10 = 0 then o_orderkey::varchar else o_orderkey::varchar end as NUM_FATURA,
   case when o_orderkey % 10 > 2 then o_totalprice end as VALOR_TOTAL from orders""",
     "incremental_twice": f"""with {_BILLS}, c as (select EMPRESA, count(*) n, count(*) filter (where half) h from b group by 1)
