@@ -16,6 +16,7 @@ that a newer Unicode version made letters can be cut otherwise than by a library
 from __future__ import annotations
 
 import json
+import os
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -95,6 +96,7 @@ class Coder:
         for name, signs in LATIN.items():
             latin = latin.replace(name, signs)
         self.latin_word = re.compile(latin)
+        self.mark = os.path.commonprefix([*vocabulary.special])  # texts without it hold no special token; '' is in all
         self.split = regex.compile("|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True)))) if vocabulary.special else None
         self._clear()
 
@@ -105,7 +107,7 @@ class Coder:
         self.starts = np.arange(len(self.v.special) + 1, dtype=np.int64)
 
     def words(self, text: str) -> list[str]:
-        if self.split and "<|" in text and (found := list(self.split.finditer(text))):
+        if self.split and self.mark in text and (found := list(self.split.finditer(text))):
             out, at = [], 0
             for m in found:
                 out += [*self._plain(text[at : m.start()]), "\0" + m[0]]

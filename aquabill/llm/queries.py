@@ -7,11 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aquabill.llm import alignment, bpe, conversations, decontaminate, language_id, line_dedup, mixture, near_dedup, quality, secrets, token_shards, url_filter, warc
+from aquabill.llm import alignment, bpe, conversations, decontaminate, language_id, line_dedup, mixture, near_dedup, pipeline, quality, secrets, token_shards, url_filter, warc
 
 
 def secret_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +41,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op11_conversation_repair": conversations.op11,
         "op12_token_alignment": alignment.op12,
         "op13_mix_sources": mixture.op13,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
         "secret_patterns": secret_patterns,
         "url_rules": url_rules,
         "quality_base": quality_base,
