@@ -46,6 +46,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialise() has written and nothing reads any more."""
+    for t in tables:
+        if found := t.inputFiles():
+            remove(t.sparkSession, found[0].rpartition("/")[0])
+
+
 def text_parts(texts: pa.Array, size: int = PART_BYTES) -> Iterator[tuple[int, int, list[str]]]:
     """(start, stop, texts with '' for null) of slices of about size bytes; one longer text is a slice of its own."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)

@@ -142,12 +142,14 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= percent * union."""
-    left = sets.select(F.col("doc").alias("a"), F.col("s").alias("sa"))  # of every text of a doc_id
+    """Pairs (a, b) with 100 * intersection >= percent * union. The pairs of a leader a are dealt to parts of about BLOCK, each with a copy of its set."""
+    parts = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
+    dealt = common.join_by_key(pairs, parts, ["a"], "n").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    copies = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    left = sets.select(F.col("doc").alias("a"), F.col("s").alias("sa")).join(parts, "a").select("a", "sa", copies)  # of every text of a doc_id
     right = sets.select(F.col("doc").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    # the side that many pairs name (a leader) joins last, so that its set is copied only where it is compared
-    return pairs.join(right, "b").join(left, "a").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    return dealt.join(right, "b").join(left, ["a", "part"]).where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -176,7 +178,9 @@ def components(links: DataFrame) -> DataFrame:
     edges = common.materialise(ordered.distinct(), "star-edges")
     before = mark(edges)
     while before[0]:
-        edges = star(star(edges, large=True), large=False)
+        half = star(edges, large=True)
+        last, edges = edges, star(half, large=False)
+        common.discard(last, half)
         if (now := mark(edges)) == before:
             break
         before = now
@@ -271,6 +275,7 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     named = groups.join(found.withColumnRenamed("node", "doc"), "doc", "left")
     table = common.materialise(named.select("w1", "w2", "n", F.coalesce("component", "doc").alias("component_id")), "near-table")
+    common.discard(buckets, members, sets, pairs, links, more)
     linked = common.join_by_key(some.select("doc_id", "n_shingles", "w1", "w2"), table, ["w1", "w2"], "n").select("doc_id", "n_shingles", "component_id")
     return linked.unionByName(none.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
