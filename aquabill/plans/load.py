@@ -9,7 +9,7 @@ from aquabill.functions import text as T
 from aquabill.operators import grouped, meters, route
 from aquabill.operators.meters import keep_first
 from aquabill.schema import KEYS, METER_ROW
-from aquabill.sources.store import INDEX, Load, Manifest, Store, bucket, in_buckets, index_key
+from aquabill.sources.store import BUCKETS, INDEX, Load, Manifest, Store, bucket, in_buckets, index_key
 
 REPORT = "EMPRESA string, bills long, added long, ignored long, files long, no_total long"
 
@@ -110,9 +110,9 @@ def revise(own: Load) -> None:
         own.replace_bills(touched, theirs.drop("held").unionByName(others))
 
 
-def load(batch: DataFrame, path: str, dedupe_batch: bool = False) -> DataFrame:
-    """Adds the batch's new bills to the store at path as a version of its own, and returns the report."""
-    own = Store(batch.sparkSession, path).begin()
+def load(batch: DataFrame, path: str, dedupe_batch: bool = False, buckets: int = BUCKETS) -> DataFrame:
+    """Adds the batch's new bills to the store at path (made with so many buckets) as a version of its own, and returns the report."""
+    own = Store(batch.sparkSession, path, buckets).begin()
     rows = take_bills(own, batch, dedupe_batch)
     own.commit(rows)
     return batch.sparkSession.createDataFrame(rows, REPORT)

@@ -9,7 +9,7 @@ from aquabill.operators import blocks, enrich, grouped, meters, route
 from aquabill.plans.load import REPORT, revise, routing_report, take_bills, take_meters
 from aquabill.schema import BILL
 from aquabill.sources import files
-from aquabill.sources.store import Load, Manifest, Store
+from aquabill.sources.store import BUCKETS, Load, Manifest, Store
 
 
 def staged(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -50,15 +50,15 @@ def take(own: Load, docs: DataFrame, register: DataFrame | None, redistribute: b
         files.remove(spark, path)
 
 
-def run(spark: SparkSession, root: str, store: str, register_path: str | None = None, redistribute: bool = False, dedupe_batch: bool = False) -> DataFrame:
+def run(spark: SparkSession, root: str, store: str, register_path: str | None = None, redistribute: bool = False, dedupe_batch: bool = False, buckets: int = BUCKETS) -> DataFrame:
     """Loads the unseen bills of all texts under root into the store, with their account's columns of the register, as one version.
 
-    Meter rows are kept in the store: bills are related to those of earlier runs too, and stored bills to new ones.
+    A new store is made with so many buckets of accounts and keys. Meter rows are kept in the store: bills are related to those of earlier runs too, and stored bills to new ones.
     Returns one row an issuer: EMPRESA, documents, parsed (whether there is a layout for it), and what the load did with its
     bills. Documents of nobody count as UNKNOWN, files that are not read as SKIPPED, and accounts that the register repeats as REPEATED.
     """
     register = files.read_register(spark, register_path) if register_path else None
-    docs, own = files.scan_texts(spark, root), Store(spark, store).begin()
+    docs, own = files.scan_texts(spark, root), Store(spark, store, buckets).begin()
     rows = take(own, docs, register, redistribute, dedupe_batch)
     own.commit(rows)
     # names only: no text is read again

@@ -28,8 +28,8 @@ from aquabill.operators.route import GROUPED
 from aquabill.schema import KEYS, METER_ROW, STORED
 from aquabill.sources.files import qualified, stored_columns
 
-#: Buckets of a new store's accounts and keys; a large store takes more.
-BUCKETS = 16
+#: Buckets of a new store's accounts and keys; a large store is made with more.
+BUCKETS = 8
 INDEX = {"issuer": "EMPRESA", "number": "NUM_FATURA", "month": "MES_ANO_REF", "account": "CONTA_DV"}
 HISTORY = "version long, load string, report array<struct<EMPRESA string, bills long, added long, ignored long, files long, no_total long>>"
 

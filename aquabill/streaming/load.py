@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from aquabill.plans.pipeline import take
 from aquabill.sources import files
-from aquabill.sources.store import Store
+from aquabill.sources.store import BUCKETS, Store
 
 
 def _identity(spark: SparkSession, checkpoint: str) -> str:
@@ -19,7 +19,7 @@ def _identity(spark: SparkSession, checkpoint: str) -> str:
 
 
 def load_stream(
-    spark: SparkSession, root: str, store: str, checkpoint: str, max_files: int = 1000, register_path: str | None = None, redistribute: bool = False
+    spark: SparkSession, root: str, store: str, checkpoint: str, max_files: int = 1000, register_path: str | None = None, redistribute: bool = False, buckets: int = BUCKETS
 ) -> StreamingQuery:
     """Starts the stream over what root holds now. Each micro-batch is a version of the store; `store.history` tells what it did.
 
@@ -28,11 +28,11 @@ def load_stream(
     store's version at the start holds are left out. A manifest names the last epoch of each stream, so a micro-batch that is replayed
     after a failure adds nothing; a stream that is started again after one leaves out what was stored before it.
     """
-    known = Store(spark, store).begin().base
+    known = Store(spark, store, buckets).begin().base
 
     def add(batch: DataFrame, epoch: int) -> None:
         session = batch.sparkSession
-        own, stream = Store(session, store).begin(), _identity(session, checkpoint)
+        own, stream = Store(session, store, buckets).begin(), _identity(session, checkpoint)
         if own.base.epochs.get(stream, -1) < epoch:
             register = files.read_register(session, register_path) if register_path else None
             own.commit(take(own, batch, register, redistribute, known=known), stream, epoch)

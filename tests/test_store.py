@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aquabill.plans import load
-from aquabill.sources.store import Load, Store, history, in_buckets
+from aquabill.sources.store import BUCKETS, Load, Store, history, in_buckets
 from aquabill.streaming.load import load_stream
 
 BILL = "EMPRESA string, NUM_FATURA string, MES_ANO_REF string, CONTA_DV string, NUM_HIDROMETRO string, VALOR_TOTAL double, PASTA_ORIGEM string, ARQUIVO_ORIGEM string"
@@ -69,7 +69,7 @@ def test_only_buckets_of_new_meters_are_revised(spark, tmp_path, monkeypatch):
 
     first = revised(("7 1", "01/2020", "A"), ("7 1", "03/2020", "B"), ("no bill", "01/2020", "C"))
     gone, came = set(before.data) - set(first.data), set(first.data) - set(before.data)
-    assert len(gone) == len(came) == 1 and len(before.data) == 16
+    assert len(gone) == len(came) == 1 and len(before.data) == BUCKETS
     held = {r["CONTA_DV"]: r["NUM_HIDROMETRO"] for r in store.bills().collect()}
     assert held == {a: "A" if a == "7 1" else None for a in accounts}
     # the same rows again, and rows that change nothing, read no bills or write none
