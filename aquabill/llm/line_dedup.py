@@ -51,6 +51,7 @@ class LineRuns:
         self.spark, self.min_chars, self.fanout = spark, min_chars, fanout
         self.root = (root or common.new_path(spark, "line-runs")).rstrip("/")
         self.levels: dict[int, list[str]] = {}
+        self.merged_away: list[str] = []
         self.version, self.buckets = 0, int(spark.conf.get("spark.sql.shuffle.partitions"))
         if known := self._manifest():
             self.version, self.buckets = known[0]["version"], known[0]["buckets"]
@@ -73,6 +74,20 @@ class LineRuns:
         self.version += 1
         rows = [(self.version, self.buckets, level, i, name) for level, names in self.levels.items() for i, name in enumerate(names)]
         self.spark.createDataFrame(rows or [(self.version, self.buckets, 0, 0, None)], MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
+        for name in self.merged_away:  # no version to come reads them
+            self._drop(name)
+        self.merged_away = []
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"drop table if exists {name}")
+        common.remove(self.spark, f"{self.root}/{name}")
+
+    def drop(self) -> None:
+        """Deletes all runs and the manifest."""
+        for names in self.levels.values():
+            for name in names:
+                self._drop(name)
+        common.remove(self.spark, self.root)
 
     def _write(self, level: int, run: DataFrame) -> None:
         name = f"line_run_{uuid.uuid4().hex}"
@@ -118,6 +133,7 @@ class LineRuns:
     def _merge(self, names: list[str], level: int) -> None:
         while len(names) > 1:
             self._write(level, self.merged(self._read(names[0]), self._read(names[1])))
+            self.merged_away += names[:2]
             names = [*names[2:], self.levels[level].pop()]
         self.levels.setdefault(level, []).extend(names)
 
@@ -170,7 +186,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, n_batch
 
     Columns of docs that are called n_lines or n_dropped are replaced. n_batches sets only the size of a batch.
     """
-    frequent = common.materialise(index(docs, n_batches, min_chars).frequent(min_docs), "frequent-lines")
+    runs = index(docs, n_batches, min_chars)
+    frequent = common.materialise(runs.frequent(min_docs), "frequent-lines")
+    runs.drop()
     drops = dropped_lines(docs, frequent, min_chars)
     t1, t2 = common.text_hash(F.coalesce(F.col("text"), F.lit("")))
     cols = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
