@@ -14,8 +14,8 @@ very many pages are joined by broadcast (see common.join_by_key).
 Defined results: null html is an empty payload. Payloads under `min_bytes` are all responses. A null page_id can be
 response only if all ids of its digest are null. Rows that repeat the smallest page_id are all responses, and revisits name
 the smallest of their URLs. Rows of one page_id and digest have the same WARC-Record-ID. A null URL gives a record without
-WARC-Target-URI, and revisits of it have no WARC-Refers-To-Target-URI; control characters and blanks in URLs are
-percent-encoded. All records of one writing have one WARC-Date. An empty table gives archives without records.
+WARC-Target-URI, and revisits of it have no WARC-Refers-To-Target-URI. Control characters and blanks in URLs are percent-encoded, each by
+its own value; the record of such a URL also has its own text (X-Url, base64), which the reader gives back. All records of one writing have one WARC-Date. An empty table gives archives without records.
 """
 
 from __future__ import annotations
@@ -77,16 +77,28 @@ def resolve(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return head.join(m, same, "left").select(*head.columns, "original", "original_url")
 
 
+def header_url(url: Column) -> Column:
+    """A URL for a header line: control characters and blanks are percent-encoded, each by its own value; all else stays."""
+    out = url
+    for c in [*range(0x21), 0x7F]:
+        out = F.replace(out, F.lit(chr(c)), F.lit(f"%{c:02X}"))
+    return F.when(unfit(url), out).otherwise(url)
+
+
+def unfit(url: Column) -> Column:
+    """Whether a URL holds what no header line can."""
+    return F.rlike(url, F.lit(r"[\x00-\x20\x7F]"))
+
+
 def record(date: str) -> Column:
     """The text of one WARC record, with its end, of a row of resolve()."""
     original, revisit = F.col("original"), F.col("original").isNotNull()
-    uri = lambda url: F.regexp_replace(url, "[\x01-\x20\x7f]", "%20")
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
     uuid = lambda *cols: F.regexp_replace(F.md5(F.concat_ws("|", *cols)), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "<urn:uuid:$1-$2-$3-$4-$5>")
     names = F.concat(
         line("WARC-Profile", F.lit(PROFILE)),
         line("WARC-Refers-To", uuid(original.cast("string"), F.col("digest"))),
-        line("WARC-Refers-To-Target-URI", uri("original_url")),
+        line("WARC-Refers-To-Target-URI", header_url(F.col("original_url"))),
         line("WARC-Refers-To-Date", F.lit(date)),
     )
     return F.concat(
@@ -94,7 +106,8 @@ def record(date: str) -> Column:
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
         line("WARC-Record-ID", uuid(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.col("digest"))),
         line("WARC-Date", F.lit(date)),
-        line("WARC-Target-URI", uri("url")),
+        line("WARC-Target-URI", header_url(F.col("url"))),
+        line("X-Url", F.when(unfit(F.col("url")), F.translate(F.base64(F.encode("url", "UTF-8")), "\r\n", ""))),
         line("X-Page-Id", F.col("page_id").cast("string")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         F.when(revisit, names).otherwise(F.lit("")),
@@ -146,7 +159,7 @@ def parse(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
         fields = {}
         while (line := stream.readline().strip()) != b"":
             name, _, value = line.decode("utf-8", "replace").partition(":")
-            fields[name.strip().lower()] = value.strip()
+            fields[name.strip().lower()] = value.strip(" \t\r\n")
         block = stream.read(int(fields["content-length"]))
         stream.read(len(END))
         yield fields, block
@@ -167,9 +180,10 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 digest = named if revisit else base64.b32encode(hashlib.sha1(block).digest()).decode()
                 if named != digest:
                     raise ValueError("payload digest does not fit")
-                page = f.get("x-page-id")
+                page, url = f.get("x-page-id"), f.get("warc-target-uri")
+                url = base64.b64decode(f["x-url"]).decode() if "x-url" in f else url
                 rows.append({
-                    "page_id": int(page) if page else None, "url": f.get("warc-target-uri"), "record_type": f["warc-type"], "digest": digest,
+                    "page_id": int(page) if page else None, "url": url, "record_type": f["warc-type"], "digest": digest,
                     "payload_bytes": None if revisit else len(block), "refers_digest": named if revisit else None,
                 })
                 if len(rows) == READ_ROWS:
