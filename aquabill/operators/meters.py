@@ -13,6 +13,8 @@ from aquabill.operators.route import METERS
 
 # Patterns of the report.
 FILE_MONTH, ACCOUNT, METER = r"(\d{2})[_\.\-](\d{4})", r"CONTA\s*N.*?(\d+)\s*-\s*(\d+)", r"HIDR.*?METRO.*?:\s*([A-Z0-9]+)"
+#: What Spark makes up of the name of a file that it writes; a month in there is a chance match.
+PART_NAME = r"^part-\d+-.*?[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}"
 _EXACT = "(?udU)"
 
 
@@ -50,7 +52,8 @@ def extract_lines(read: DataFrame) -> DataFrame:
     at = F.when(F.col("last").isNotNull(), F.struct((F.col("lines_in") + F.col("last.place") - 1).cast("int").alias("line_no"), F.col("last.meter").alias("meter")))
     whole = pieces.join(came, runs.RUN).select("path", "file_name", "dir", "account", (F.col("blocks_in") + F.col("block")).alias("block"), at.alias("at"))
     blocks = whole.where("block > 0").groupBy("path", "file_name", "dir", "block").agg(F.max("account").alias("account"), F.max("at").alias("at")).where("at is not null")
-    month = F.concat_ws("/", F.regexp_extract("file_name", FILE_MONTH, 1), F.regexp_extract("file_name", FILE_MONTH, 2))
+    name = F.regexp_replace("file_name", PART_NAME, "")
+    month = F.concat_ws("/", F.regexp_extract(name, FILE_MONTH, 1), F.regexp_extract(name, FILE_MONTH, 2))
     return blocks.select(
         "path", "at.line_no", F.col("account").alias("CONTA_DV"), F.when(month == "/", "").otherwise(month).alias("MES_ANO_REF"),
         F.col("at.meter").alias("NUM_HIDROMETRO_EXTRAIDO"), F.col("file_name").alias("ARQUIVO_ORIGEM"), F.col("dir").alias("PASTA_ORIGEM"),

@@ -271,3 +271,11 @@ def test_text_functions(spark):
         T.residual_fee(F.lit(10.1), F.lit(3.05), F.lit(8.0)).alias("fee"),
     ).first()
     assert row.asDict() == {"fold": "acao e i", "strip": "a b", "squeeze": "a b", "n": 1234.56, "half": 0.5, "bad": 0.0, "worse": 0.0, "d": "1005.10", "m": "03", "x": "Xyz", "dez": "12", "p": "07", "none": None, "gone": "", "fee": -0.95}
+
+
+def test_month_of_a_report_is_not_read_from_a_made_up_name(spark):
+    """Part files of Spark hold random hexadecimal digits, which can look like a month."""
+    names = {"part-00000-33441278-2021-4123-8271-590212345678-c000.txt": "", "part-00071-5902ab31-8652-4f03-a871-590212345678.c001.txt": "", "part-03-2021.txt": "03/2021"}
+    names |= {"part-7-tid-12-2021-33441278-2021-4123-8271-590212345678-c000.txt": "", "abril 04.2021 part-00000.txt": "04/2021"}
+    got = meters.extract(docs(spark, {("Saneago analitica", n): REPORT for n in names})).select("ARQUIVO_ORIGEM", "MES_ANO_REF").distinct().collect()
+    assert {tuple(r) for r in got} == set(names.items())
