@@ -92,7 +92,7 @@ def encoded(table: DataFrame, path: str, length: int, vocabulary: bpe.Vocabulary
             yield 0, len(batch), column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, before, part = bpe.Coder(shared.value) if shared else None, 0, TaskContext.get().partitionId()
+        coder, before, part = bpe.coder(shared.value) if shared else None, 0, TaskContext.get().partitionId()
         for batch in batches:
             for a, b, ids, starts in flat(batch, coder):
                 if len(ids) and not 0 <= ids.min() <= ids.max() < end:

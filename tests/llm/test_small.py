@@ -476,6 +476,21 @@ def test_bpe_word_table_is_bounded(monkeypatch):
     assert len(coder.index) < 200
 
 
+def test_bpe_keeps_the_words_it_meets_most(monkeypatch):
+    """Each rare word is learned once, and so is a common one, however many rare ones come between."""
+    monkeypatch.setattr(bpe, "MAX_WORDS", 10)
+    coder, learned, whole = bpe.Coder(bpe.load()), collections.Counter(), bpe.Coder(bpe.load())
+    merge = coder.merge
+    monkeypatch.setattr(coder, "merge", lambda words: (learned.update(words), merge(words))[1])
+    for i in range(20):
+        texts = [f"the letter{'abcdefghijklmnopqrst'[i]}{x} the" for x in "abcdefghijklmnopqrst"] + ["<|endoftext|> the"]
+        ids, starts = coder.encode(texts)
+        for a, b, t in zip(starts[:-1], starts[1:], texts):
+            alone, _ = whole.encode([t])
+            assert ids[a:b].tolist() == alone.tolist()
+    assert learned[b"the"] == 1 and len(learned) == 401 == learned.total()
+
+
 # 7 quality
 
 
