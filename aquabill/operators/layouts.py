@@ -23,10 +23,25 @@ def stripped(pattern: str, group: int = 1, flags: str = FLAGS) -> Callable[[Colu
     return lambda block: T.strip(first(pattern, group, flags)(block))
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) for an f that reads value several times, in branches too, where Spark would look for it again each time."""
+    return F.transform(F.array(value), f)[0]
+
+
+def match(pattern: str) -> Callable[[Column], Column]:
+    """The first match, '' without one. Groups are then read from it alone, so the pattern must not look around its match."""
+    return first(pattern, 0)
+
+
+def of_match(pattern: str, group: int) -> Callable[[Column], Column]:
+    """As first(), for a pattern of which several fields are groups: it is looked for once."""
+    return lambda block: first(pattern, group)(match(pattern)(block))
+
+
 def joined(pattern: str, sep: str, left: Callable[[Column], Column] = lambda c: c, groups: tuple[int, int] = (1, 2)) -> Callable[[Column], Column]:
     """Two groups of one match with sep between them, '' without a match."""
     a, b = first(pattern, groups[0]), first(pattern, groups[1])
-    return lambda block: F.when(a(block) == "", "").otherwise(F.concat(left(a(block)), F.lit(sep), b(block)))
+    return lambda block: once(match(pattern)(block), lambda m: F.when(m == "", "").otherwise(F.concat(left(a(m)), F.lit(sep), b(m))))
 
 
 def address(pattern: str, *rubbish: str) -> Callable[[Column], Column]:
@@ -89,17 +104,17 @@ LAYOUTS = [
         "VALOR_TOTAL": first(r"TOTAL A PAGAR\s+([\d\.,]+)"),
     }),
     Layout("SAAE_ABADIANIA", "SAAE_ABADIANIA", BACK, {
-        "NUM_FATURA": first(STUB, 3),
-        "VENCIMENTO": first(STUB, 4),
-        "CONTA_DV": first(STUB, 1),
-        "MES_ANO_REF": lambda block: F.when(first(STUB, 2)(block) == "", "").otherwise(
-            F.concat(T.month_by_abbreviation(F.substring(first(STUB, 2)(block), 1, 3)), F.substring(first(STUB, 2)(block), 4, 5))
+        "NUM_FATURA": of_match(STUB, 3),
+        "VENCIMENTO": of_match(STUB, 4),
+        "CONTA_DV": of_match(STUB, 1),
+        "MES_ANO_REF": lambda block: once(
+            of_match(STUB, 2)(block), lambda m: F.when(m == "", "").otherwise(F.concat(T.month_by_abbreviation(F.substring(m, 1, 3)), F.substring(m, 4, 5)))
         ),
         "NOME_CLIENTE": stripped(r"NOME:\s*(.*?)(?=\s+LOCALIZA[ÇC][AÃ]O|\n)"),
         "CONSUMO_M3": first(r"(?:[A-Z]{3}/\d{2})\s+(\d+)\s+\d{3}\s+\d{2,3}"),
         "VALOR_AGUA": first(r"TARIFA DE [AÁ]GUA.*?\s([\d\.,]+)\s*\n"),
         "VALOR_ESGOTO": first(r"TARIFA DE ESGOTO.*?\s([\d\.,]+)\s*\n"),
-        "VALOR_TOTAL": first(STUB, 5),
+        "VALOR_TOTAL": of_match(STUB, 5),
     }),
     Layout("SAAE_CORUMBA", "SAAE_CORUMBA", MECHANICAL, {
         "NUM_FATURA": first(r"N\.\s+(\d+)\s+Parcela"),
@@ -124,8 +139,8 @@ LAYOUTS = [
         "VALOR_TOTAL": first(r"\(-\)\s*Valor do Pagamento\s*R\$\s*([\d\.,]+)"),
     }),
     Layout("CODEGO", "CODEGO", LOTTERY, {
-        "NUM_FATURA": first(HEADER, 3),
-        "VENCIMENTO": first(HEADER, 2),
+        "NUM_FATURA": of_match(HEADER, 3),
+        "VENCIMENTO": of_match(HEADER, 2),
         "CONTA_DV": first(METER),  # the issuer prints no other account
         "MES_ANO_REF": joined(r"Hidrometro:[^\n]*\n\s*(\p{L}+)/(\d{4})", "/", T.month_by_name),
         "NOME_CLIENTE": stripped(r"Pagador\s+(.*?)\s*Código de Baixa"),
@@ -133,7 +148,7 @@ LAYOUTS = [
         "CONSUMO_M3": first(r"Consumo:\s*M[³3]\s*([\d\.,]+)"),
         "VALOR_AGUA": first(r"Agua:\s*([\d\.,]+)"),
         "VALOR_ESGOTO": first(r"Coleta/Esgoto:\s*([\d\.,]+)"),
-        "VALOR_TOTAL": first(HEADER, 1),
+        "VALOR_TOTAL": of_match(HEADER, 1),
     }),
     Layout("SAE", "SAE CATALÃO", None, {
         "MES_ANO_REF": first(r"M[êe]s/Ano Faturamento:?\s*(\d{2}/\d{4})"),

@@ -70,9 +70,12 @@ def take_meters(own: Load, told: DataFrame) -> None:
     own.add_meters(new_rows(told, stored, METER_ROW.names))
 
 
-def take_bills(own: Load, batch: DataFrame, dedupe_batch: bool = False, known: Manifest | None = None) -> list[dict]:
-    """Adds the batch's bills that a version of the store (the load's own base) does not hold to a load, and returns its report."""
-    batch = batch.persist()
+def take_bills(own: Load, batch: DataFrame, dedupe_batch: bool = False, known: Manifest | None = None, persist: bool = True) -> list[dict]:
+    """Adds the batch's bills that a version of the store (the load's own base) does not hold to a load, and returns its report.
+
+    The batch is read three times: from a persisted copy, or anew without persist, as is better if it comes from files as it is.
+    """
+    batch = batch.persist() if persist else batch
     try:
         added = unseen(batch, own.store, known or own.base)
         if dedupe_batch:
@@ -80,7 +83,8 @@ def take_bills(own: Load, batch: DataFrame, dedupe_batch: bool = False, known: M
         own.add_bills(added)
         return [r.asDict() for r in report(batch, own.own_bills()).collect()]  # one row an issuer
     finally:
-        batch.unpersist()
+        if persist:
+            batch.unpersist()
 
 
 def revise(own: Load) -> None:
@@ -110,9 +114,12 @@ def revise(own: Load) -> None:
         own.replace_bills(touched, theirs.drop("held").unionByName(others))
 
 
-def load(batch: DataFrame, path: str, dedupe_batch: bool = False, buckets: int = BUCKETS) -> DataFrame:
-    """Adds the batch's new bills to the store at path (made with so many buckets) as a version of its own, and returns the report."""
+def load(batch: DataFrame, path: str, dedupe_batch: bool = False, buckets: int = BUCKETS, persist: bool = True) -> DataFrame:
+    """Adds the batch's new bills to the store at path (made with so many buckets) as a version of its own, and returns the report.
+
+    persist=False is for a batch that is read from files as it is; no copy of it is then kept in memory and on disk meanwhile.
+    """
     own = Store(batch.sparkSession, path, buckets).begin()
-    rows = take_bills(own, batch, dedupe_batch)
+    rows = take_bills(own, batch, dedupe_batch, persist=persist)
     own.commit(rows)
     return batch.sparkSession.createDataFrame(rows, REPORT)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aquabill.functions import text as T
-from aquabill.operators import blocks, grouped, meters, route
+from aquabill.operators import blocks, grouped, layouts as L, meters, route
 from aquabill.sources import files
 
 TEXTS = {
@@ -279,3 +279,16 @@ def test_month_of_a_report_is_not_read_from_a_made_up_name(spark):
     names |= {"part-7-tid-12-2021-33441278-2021-4123-8271-590212345678-c000.txt": "", "abril 04.2021 part-00000.txt": "04/2021"}
     got = meters.extract(docs(spark, {("Saneago analitica", n): REPORT for n in names})).select("ARQUIVO_ORIGEM", "MES_ANO_REF").distinct().collect()
     assert {tuple(r) for r in got} == set(names.items())
+
+
+def test_groups_read_from_the_match_alone(spark):
+    stub = "1.2  JAN/2021  12345678  05/02/2021  9,50"
+    texts = [None, "", "none", f"x {stub}\n3.4 FEV/2022 87654321 01/02/2022 1,00", f"1.2 JAN/202 {stub}1. 7", f"0 {stub}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, block string")
+    pair = r"Referência\s*(\d{1,2})\s*/\s*(\d{4})"
+    df = df.unionByName(spark.createDataFrame([(10, "Referência 3 / 20219 Referência 4/2022"), (11, "REFERÊNCIA12/2021"), (12, "Referência 123/2021")], df.schema))
+    for g in range(1, 6):
+        got = df.select(L.of_match(L.STUB, g)(F.col("block")).alias("a"), L.first(L.STUB, g)(F.col("block")).alias("b")).collect()
+        assert all(r["a"] == r["b"] for r in got)
+    got = df.orderBy("i").select(L.joined(pair, "/", T.pad2)(F.col("block")).alias("a")).collect()
+    assert [r["a"] for r in got] == [None, "", "", "", "", "", "03/2021", "12/2021", ""]

@@ -1,9 +1,11 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 from test_extraction import GROUPED, REPORT, TEXTS
 
+from aquabill import queries
 from aquabill.operators import enrich, meters, route
 from aquabill.plans import load, pipeline, render
 from aquabill.schema import BILL, STORED
@@ -153,3 +155,24 @@ def test_rendered_reports_grow_in_number(spark, sf_dir):
     docs = render.meter_documents(orders, size=3).select("path", F.regexp_count("content", F.lit("linha")).alias("n")).collect()
     assert sum(r["n"] for r in docs) == orders.count() and len({r["path"] for r in docs}) == len(docs)
     assert max(r["n"] for r in docs) < largest * 0.6
+
+
+@pytest.mark.parametrize("name", ["incremental_twice"])
+def test_texts_are_not_looked_at_again_for_each_load(spark, sf_dir, monkeypatch, name):
+    plans, real = [], load.load
+
+    def loaded(batch, *args, **more):
+        plans.append(batch._jdf.queryExecution().optimizedPlan().toString())
+        return real(batch, *args, **more)
+
+    monkeypatch.setattr(load, "load", loaded)
+    queries.QUERIES[name](spark, sf_dir)
+    assert len(plans) == 3 and not any("regexp_extract" in p for p in plans)
+
+
+def test_a_load_without_a_persisted_copy_gives_the_same(spark, tmp_path):
+    rows = bill(spark, ("1", "01/2021", "7"), ("2", "01/2021", "7"), ("", None, "8"))
+    batch = rows.select("*", *[F.lit(None).cast("string").alias(c) for c in ("NUM_HIDROMETRO", "PASTA_ORIGEM", "ARQUIVO_ORIGEM")], F.lit(0.0).alias("VALOR_TOTAL"))
+    got = [[load.load(b, str(tmp_path / str(p)), persist=p).collect() for b in (batch.where("NUM_FATURA = '1'"), batch)] for p in (True, False)]
+    assert got[0] == got[1]
+    assert [(r["added"], r["ignored"]) for told in got[0] for r in told] == [(1, 0), (2, 1)]
