@@ -176,3 +176,16 @@ def test_a_load_without_a_persisted_copy_gives_the_same(spark, tmp_path):
     got = [[load.load(b, str(tmp_path / str(p)), persist=p).collect() for b in (batch.where("NUM_FATURA = '1'"), batch)] for p in (True, False)]
     assert got[0] == got[1]
     assert [(r["added"], r["ignored"]) for told in got[0] for r in told] == [(1, 0), (2, 1)]
+
+
+def test_a_stream_that_keeps_one_version_leaves_no_other_folders(spark, tmp_path):
+    root = tmp_path / "in" / "Saneago"
+    root.mkdir(parents=True)
+    for i, (name, text) in enumerate([("fatura.txt", GROUPED), ("saneago_analitica_01-2021.txt", REPORT)]):
+        (root / name).write_text(text)
+        os.utime(root / name, (1_600_000_000 + 100 * i,) * 2)
+    load_stream(spark, str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "checkpoint"), max_files=1, keep=1).awaitTermination()
+    store = Store(spark, str(tmp_path / "store"))
+    listed = store.manifest()
+    assert listed.version == 2 and sorted(store._names("data/*/*/bucket=*")) == sorted(f"data/{f}" for f in listed.data)
+    assert len({f.split("/")[0] for f in listed.data}) == 1 and store.bills().where("NUM_HIDROMETRO is not null").count() > 0
